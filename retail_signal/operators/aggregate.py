@@ -73,9 +73,7 @@ def valid_lines(sales: DataFrame) -> DataFrame:
     return sales.where(F.col("store").isNotNull() & F.col("date").isNotNull())
 
 
-def store_day_aggregates(sales: DataFrame, exact_median: bool = True) -> DataFrame:
-    """The 60 store-day aggregates (D3–D12), one row per (store, date)."""
-    lines = valid_lines(sales)
+def _store_day_exprs(exact_median: bool):
     plain, distinct = [], []
     for column, aggs in STORE_DAY_AGGS:
         for agg in aggs:
@@ -85,18 +83,32 @@ def store_day_aggregates(sales: DataFrame, exact_median: bool = True) -> DataFra
                 plain.append(pd_median(column, exact=exact_median).alias(agg_name(column, agg)))
             else:
                 plain.append(AGG_FUNCS[agg](column).alias(agg_name(column, agg)))
-    moments = lines.groupBy(*KEYS).agg(*plain)
+    return plain, distinct
+
+
+def store_day_aggregates(sales: DataFrame, exact_median: bool = True,
+                         extra_aggs=()) -> DataFrame:
+    """The 60 store-day aggregates (D3–D12), one row per (store, date).
+
+    ``extra_aggs`` ride along in the first aggregate (same keys, same
+    shuffle)."""
+    lines = valid_lines(sales)
+    plain, distinct = _store_day_exprs(exact_median)
+    moments = lines.groupBy(*KEYS).agg(*plain, *extra_aggs)
     counts = lines.groupBy(*KEYS).agg(*distinct)
     return moments.join(counts, KEYS, "inner")
 
 
-def item_details(sales: DataFrame) -> DataFrame:
-    """Distinct item records per (store, date) as a sorted array of
-    structs.  The set buffer is deduplicated map-side; the array holds the
-    distinct records of one store-day, which is the requested output."""
+def item_details_agg():
+    """Distinct item records of a group as a sorted array of structs.
+    The set buffer is deduplicated map-side; the array holds the distinct
+    records of one store-day, which is the requested output."""
     rec = F.struct(*[F.col(c) for c in ITEM_DETAIL_FIELDS])
-    return (valid_lines(sales).groupBy(*KEYS)
-            .agg(F.array_sort(F.collect_set(rec)).alias("item_details")))
+    return F.array_sort(F.collect_set(rec)).alias("item_details")
+
+
+def item_details(sales: DataFrame) -> DataFrame:
+    return valid_lines(sales).groupBy(*KEYS).agg(item_details_agg())
 
 
 def store_day(sales: DataFrame, *, exact_median: bool = True,
@@ -108,13 +120,12 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
     three ratios whose zero-denominator NULLs are filled with the global
     median (a lazy scalar subquery, no join).
     """
-    lines = valid_lines(sales)
-    # Per-day first attribute values travel with the moments aggregate.
-    day_attrs = lines.groupBy(*KEYS).agg(
-        *[first_non_null(c, "invoice_line_no").alias(f"_first_{c}") for c in STORE_ATTRIBUTES])
-    sd = store_day_aggregates(sales, exact_median=exact_median).join(day_attrs, KEYS, "inner")
+    # Per-day first attribute values and the item records travel with the
+    # moments aggregate: one shuffle of the lines for all of them.
+    extra = [first_non_null(c, "invoice_line_no").alias(f"_first_{c}") for c in STORE_ATTRIBUTES]
     if with_item_details:
-        sd = sd.join(item_details(sales), KEYS, "inner")
+        extra.append(item_details_agg())
+    sd = store_day_aggregates(sales, exact_median=exact_median, extra_aggs=extra)
 
     w_store = Window.partitionBy("store")
     attrs = [F.min_by(F.col(f"_first_{c}"),
@@ -142,8 +153,9 @@ def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     Each median is a scalar subquery evaluated once; its result is a single
     value per column, so nothing grows with the data on the driver.
     """
-    meds = {c: df.select(F.percentile(F.col(c), F.lit(0.5))).scalar() for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c), meds[c]) for c in columns})
+    meds = df.select(F.struct(*[F.percentile(F.col(c), F.lit(0.5)).alias(c)
+                                for c in columns])).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), meds.getField(c)) for c in columns})
 
 
 # ---------------------------------------------------------------------------

@@ -32,6 +32,10 @@ def get_spark(app: str = "retail_signal", master: str | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs everything in the driver JVM; give it the memory
+        # an executor would have (only effective before the JVM starts).
+        conf["spark.driver.memory"] = os.environ.get("RETAIL_SIGNAL_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -59,9 +59,12 @@ def sales_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", "p_retailprice")
 
-    geo = (sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey, "left")
-              .join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey, "left"))
-    j = (li.join(geo, li.l_suppkey == geo.s_suppkey, "left")
+    # Lines meet each growing dimension directly (a pre-joined
+    # supplier⋈nation⋈region side would get a product size estimate and
+    # lose its broadcast); nation and region are fixed-size.
+    j = (li.join(sup, li.l_suppkey == sup.s_suppkey, "left")
+           .join(F.broadcast(nat), F.col("s_nationkey") == nat.n_nationkey, "left")
+           .join(F.broadcast(reg), F.col("n_regionkey") == reg.r_regionkey, "left")
            .join(part, li.l_partkey == part.p_partkey, "left"))
 
     sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1),
