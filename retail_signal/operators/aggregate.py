@@ -112,13 +112,16 @@ def item_details(sales: DataFrame) -> DataFrame:
 
 
 def store_day(sales: DataFrame, *, exact_median: bool = True,
-              with_item_details: bool = True, fill_medians: bool = True) -> DataFrame:
+              with_item_details: bool = True, fill_medians: bool = True,
+              materialize: bool = False) -> DataFrame:
     """Invoice lines → one row per (store, date).
 
     Columns: keys, the six store attributes (first non-NULL per store in date
     order), ``lon``/``lat``, optionally ``item_details``, 60 aggregates and
     three ratios whose zero-denominator NULLs are filled with the global
-    median (a lazy scalar subquery, no join).
+    median (a lazy scalar subquery, no join).  With ``materialize`` the
+    table is checkpointed before the fill, so the median subquery reads the
+    checkpoint instead of re-running the aggregation.
     """
     # Per-day first attribute values and the item records travel with the
     # moments aggregate: one shuffle of the lines for all of them.
@@ -141,12 +144,17 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
         "avg_price_per_liter": safe_div("sale_dollars", "sale_liters"),
         "avg_items_per_transaction": safe_div("unique_items", "transaction_count"),
     })
+    if materialize:
+        from ..session import cut_lineage
+        sd = cut_lineage(sd)
     if fill_medians:
-        sd = fill_with_median(sd, ["avg_price_per_bottle", "avg_price_per_liter",
-                                   "avg_items_per_transaction"])
+        sd = fill_with_median(sd, RATIO_COLUMNS)
     return sd
 
 
+RATIO_COLUMNS = ["avg_price_per_bottle", "avg_price_per_liter", "avg_items_per_transaction"]
+
+
 def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace NULLs by the column's global median.
 

@@ -58,5 +58,5 @@ def r6(expr: str, alias: str) -> str:
 
 def load_all() -> dict[str, Query]:
     # Importing the modules fills the registry.
-    from . import q_aggregate, q_pipeline, q_profile, q_series, q_temporal  # noqa: F401
+    from . import q_aggregate, q_pipeline, q_profile, q_series, q_streams, q_temporal  # noqa: F401
     return REGISTRY
