@@ -81,7 +81,7 @@ def _windows(spark, sf_dir):
     return dense, se.supervised_windows(scaled, key=SKEY)
 
 
-@register("i07_row_features", sql=with_ctes(DAILY_SQL, """rf AS (
+I07_SQL = (with_ctes(DAILY_SQL, """rf AS (
   SELECT store, date, sale_dollars,
     LAG(sale_dollars, 1) OVER w AS sales_lag_1, LAG(sale_dollars, 7) OVER w AS sales_lag_7,
     LAG(sale_dollars, 14) OVER w AS sales_lag_14, LAG(sale_dollars, 30) OVER w AS sales_lag_30,
@@ -103,6 +103,9 @@ SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,
   CAST(quarter(date) AS INTEGER) AS quarter, CAST(year(date) AS INTEGER) AS year,
   CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend
 FROM rf""")
+
+
+@register("i07_row_features", sql=I07_SQL)
 def i07_row_features(spark, sf_dir):
     """Row lags 1/7/14/30, full-window rolling stats over 7/14/30 rows,
     percent change, difference and momentum per store series."""
@@ -229,3 +232,27 @@ def m11_decomposition(spark, sf_dir):
     """Additive trend / weekly seasonal / residual split of each store's
     daily series (centred 7-row moving average)."""
     return decompose(daily_totals(spark, sf_dir), "store", "date", "sale_dollars", 7)
+
+
+# Per-ID slices of I7 (row-based windows per store series).
+ROW_SLICES = {
+    "e14_row_lags": [f"sales_lag_{k}" for k in (1, 7, 14, 30)],
+    "e15_row_rolling": [f"sales_rolling_{s}_{n}" for n in (7, 14, 30) for s in ("mean", "std", "max", "min")],
+    "e16_pct_change": ["sales_pct_change"],
+    "e17_first_difference": ["sales_diff"],
+    "e18_row_momentum": [f"sales_momentum_{n}" for n in (7, 14, 30)],
+}
+
+
+def _register_row_slice(name: str, cols: list[str]):
+    def build(spark, sf_dir):
+        return i07_row_features(spark, sf_dir).select("store", "date", "sale_dollars", *cols)
+    build.__doc__ = f"I7 slice: {', '.join(cols)}."
+    head, _, final = I07_SQL.rpartition("\nSELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,")
+    sql = (head + "\nSELECT store, date, sale_dollars, " + ", ".join(cols)
+           + " FROM (SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars," + final + ")")
+    register(name, sql=sql)(build)
+
+
+for _name, _cols in ROW_SLICES.items():
+    _register_row_slice(_name, _cols)
