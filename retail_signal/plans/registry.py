@@ -58,6 +58,6 @@ def r6(expr: str, alias: str) -> str:
 
 def load_all() -> dict[str, Query]:
     # Importing the modules fills the registry.
-    from . import (q_aggregate, q_domains, q_pipeline, q_profile, q_series,  # noqa: F401
+    from . import (q_aggregate, q_columns, q_domains, q_pipeline, q_profile, q_series,  # noqa: F401
                    q_streams, q_temporal)
     return REGISTRY
