@@ -131,3 +131,24 @@ def i12_winsorize(spark, sf_dir):
     df = sales(spark, sf_dir).select("invoice_line_no", *WINSOR_COLUMNS)
     out = winsorize(df, WINSOR_COLUMNS)
     return out.select("invoice_line_no", *[F.col(c).cast("double").alias(c) for c in WINSOR_COLUMNS])
+
+
+@register("c08_item_lookup", sql=with_ctes() + """SELECT itemno,
+  ARG_MIN(im_desc, {'d': date, 'i': invoice_line_no}) FILTER (WHERE im_desc IS NOT NULL) AS im_desc,
+  ARG_MIN(category_name, {'d': date, 'i': invoice_line_no}) FILTER (WHERE category_name IS NOT NULL) AS category_name
+FROM sales WHERE itemno IS NOT NULL GROUP BY itemno""")
+def c08_item_lookup(spark, sf_dir):
+    """First-match description and category per item (earliest line), the
+    lookup table the forecast examples join back by item."""
+    lines = sales(spark, sf_dir).where(F.col("itemno").isNotNull())
+    return lines.groupBy("itemno").agg(
+        first_non_null("im_desc", "date", "invoice_line_no").alias("im_desc"),
+        first_non_null("category_name", "date", "invoice_line_no").alias("category_name"))
+
+
+@register("f06_head_preview", sql=with_ctes(DAILY_SQL)
+          + "SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars FROM daily ORDER BY store, date LIMIT 5")
+def f06_head_preview(spark, sf_dir):
+    """First five store-day rows in (store, date) order (a top-k:
+    each task keeps five rows)."""
+    return daily_totals(spark, sf_dir).orderBy("store", "date").limit(5)
