@@ -158,12 +158,13 @@ RATIO_COLUMNS = ["avg_price_per_bottle", "avg_price_per_liter", "avg_items_per_t
 def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace NULLs by the column's global median.
 
-    Each median is a scalar subquery evaluated once; its result is a single
-    value per column, so nothing grows with the data on the driver.
+    The medians are exact and distributed (``exact_quantiles``: no task
+    merges a column's distinct values); they enter the plan as literals, so
+    later actions on the result do not re-run them.
     """
-    meds = df.select(F.struct(*[F.percentile(F.col(c), F.lit(0.5)).alias(c)
-                                for c in columns])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), meds.getField(c)) for c in columns})
+    from .quantile import exact_quantiles
+    meds = exact_quantiles(df, {c: [0.5] for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(meds[c][0]).cast("double")) for c in columns})
 
 
 # ---------------------------------------------------------------------------

@@ -34,16 +34,19 @@ def shape_profile(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles (linear), max per numeric
-    column — one aggregate pass, unpivoted to one row per column."""
+    column — one aggregate pass for the moments, the quartiles from
+    ``exact_quantiles`` (literals), unpivoted to one row per column."""
+    from .quantile import exact_quantiles
     cols = columns or numeric_columns(df)
+    qs = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in qs[c]]
         aggs.append(F.struct(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                             F.get(q, 0).alias("q25"), F.get(q, 1).alias("q50"),
-                             F.get(q, 2).alias("q75"), F.max(x).alias("max")).alias(c))
+                             q[0].alias("q25"), q[1].alias("q50"),
+                             q[2].alias("q75"), F.max(x).alias("max")).alias(c))
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return (wide.selectExpr(f"stack({len(cols)}, {stack}) AS (column, s)")

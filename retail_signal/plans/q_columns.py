@@ -41,10 +41,13 @@ def d01_store_attributes(spark, sf_dir):
   COUNT(*) AS n_rows FROM daily""")
 def d19_global_quantiles(spark, sf_dir):
     """0.33 / 0.66 quantiles of store-day sales over rows (linear
-    interpolation); ``percentile`` keeps a value→count map per task."""
-    q = F.percentile("sale_dollars", F.array(*[F.lit(p) for p in SIZE_QUANTILES]))
-    return daily_totals(spark, sf_dir).agg(q.alias("_q"), F.count(F.lit(1)).alias("n_rows")).select(
-        F.get("_q", 0).alias("q33"), F.get("_q", 1).alias("q66"), "n_rows")
+    interpolation), exact and distributed (``exact_quantiles``)."""
+    from ..operators.quantile import exact_quantiles
+    from ..session import cut_lineage
+    daily = cut_lineage(daily_totals(spark, sf_dir))  # read by several passes
+    q = exact_quantiles(daily, {"sale_dollars": list(SIZE_QUANTILES)})["sale_dollars"]
+    return daily.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(q[0]).cast("double").alias("q33"), F.lit(q[1]).cast("double").alias("q66"), "n_rows")
 
 
 @register("c03_group_means", sql=with_ctes(DAILY_SQL, ATTRS_SQL) + """SELECT d.store, d.date,
@@ -126,8 +129,8 @@ def _winsor_sql() -> str:
 @register("i12_winsorize", sql=_winsor_sql())
 def i12_winsorize(spark, sf_dir):
     """Optional cleaning: clip numeric line columns to
-    [q01 − 1.5·(q99 − q01), q99 + 1.5·(q99 − q01)]; all quantiles in one
-    aggregate pass (a one-row scalar subquery)."""
+    [q01 − 1.5·(q99 − q01), q99 + 1.5·(q99 − q01)]; the 16 quantiles are
+    found together by ``exact_quantiles`` (a few one-row aggregate passes)."""
     df = sales(spark, sf_dir).select("invoice_line_no", *WINSOR_COLUMNS)
     out = winsorize(df, WINSOR_COLUMNS)
     return out.select("invoice_line_no", *[F.col(c).cast("double").alias(c) for c in WINSOR_COLUMNS])
