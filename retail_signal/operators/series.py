@@ -143,7 +143,7 @@ def chronological_split(samples: DataFrame, key=("store", "itemno"), fraction: f
     floor(fraction·total) samples are 'train', the rest 'validation'."""
     keys = _keys(key)
     idx = global_index(samples, [F.col(k).asc() for k in keys] + [F.col("i").asc()], "sample_index")
-    total = samples.select(F.count(F.lit(1))).scalar()
+    total = idx.select(F.count(F.lit(1))).scalar()  # counts the materialised index
     cut = F.floor(total * F.lit(fraction))
     return idx.withColumn("split", F.when(F.col("sample_index") < cut, F.lit("train"))
                                      .otherwise(F.lit("validation")))

@@ -15,6 +15,7 @@ from ..operators import series as se
 from ..operators.profile import decompose
 from ..operators.aggregate import valid_lines
 from .q_temporal import DAILY_SQL, daily_totals
+from ..session import cut_lineage
 from .registry import register, sales, with_ctes
 
 SKEY = ["city", "category_name"]
@@ -76,7 +77,9 @@ split AS (SELECT *, ROW_NUMBER() OVER (ORDER BY city, category_name, i) - 1 AS s
 
 
 def _windows(spark, sf_dir):
-    dense = se.fill_missing_dates(series_day(spark, sf_dir), key=SKEY)
+    # The dense series feeds the min-max fit, the windows and the
+    # de-normalisation: materialise it once in the shared checkpoint folder.
+    dense = cut_lineage(se.fill_missing_dates(series_day(spark, sf_dir), key=SKEY))
     scaled = se.minmax_scale(dense)
     return dense, se.supervised_windows(scaled, key=SKEY)
 
