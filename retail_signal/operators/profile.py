@@ -101,28 +101,38 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square statistic and Cramér's V of two categorical columns.
-
-    From the long table: χ² = n·(Σ O²/(R·C) − 1).  A 2×2 table (one degree
-    of freedom) gets Yates' correction: every cell has the same |O − E| =
-    |O₁₁ − R₁C₁/n|, so χ² = max(|O₁₁ − E₁₁| − ½, 0)² · n · (1/R₁ + 1/R₂)(1/C₁ + 1/C₂).
+def cramers_v_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """D26 for many column pairs in one scan: chi-square and Cramér's V.
+
+    Every row is exploded into one (pair, a, b) record per pair and counted
+    with a partial aggregate, so all contingency tables come from a single
+    pass (their size is bounded by the distinct value combinations, not by
+    the rows).  Per pair, from the long table: χ² = n·(Σ O²/(R·C) − 1).  A
+    2×2 table (one degree of freedom) gets Yates' correction: every cell has
+    the same |O − E| = |O₁₁ − R₁C₁/n|, so
+    χ² = max(|O₁₁ − E₁₁| − ½, 0)² · n · (1/R₁ + 1/R₂)(1/C₁ + 1/C₂).
     V = sqrt(χ² / (n·(min(r, c) − 1))); NULL for a one-level column.
+    Values are compared as text, so columns of any type can be paired.
     """
-    ct = contingency(df, a, b)
-    wa, wb = Window.partitionBy("a"), Window.partitionBy("b")
-    cells = ct.withColumns({"R": F.sum("n").over(wa), "C": F.sum("n").over(wb)})
-    a1 = ct.select(F.min("a")).scalar()
-    b1 = ct.select(F.min("b")).scalar()
-    n = F.sum("n").cast("double")
-    stats = cells.agg(
-        n.alias("n_total"),
+    recs = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                              F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+                     for a, b in pairs])
+    ct = (df.select(F.explode(recs).alias("r")).select("r.*")
+            .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+            .groupBy("col_a", "col_b", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    pair = ["col_a", "col_b"]
+    wp = Window.partitionBy(*pair)
+    cells = ct.withColumns({"R": F.sum("n").over(Window.partitionBy(*pair, "a")),
+                            "C": F.sum("n").over(Window.partitionBy(*pair, "b")),
+                            "a1": F.min("a").over(wp), "b1": F.min("b").over(wp)})
+    first_a, first_b = F.col("a") == F.col("a1"), F.col("b") == F.col("b1")
+    stats = cells.groupBy(*pair).agg(
+        F.sum("n").cast("double").alias("n_total"),
         F.sum(F.col("n").cast("double") * F.col("n") / (F.col("R").cast("double") * F.col("C"))).alias("s"),
         F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
-        F.coalesce(F.sum(F.when((F.col("a") == a1) & (F.col("b") == b1), F.col("n"))), F.lit(0))
-         .cast("double").alias("o11"),
-        F.max(F.when(F.col("a") == a1, F.col("R"))).cast("double").alias("r1"),
-        F.max(F.when(F.col("b") == b1, F.col("C"))).cast("double").alias("c1"))
+        F.coalesce(F.sum(F.when(first_a & first_b, F.col("n"))), F.lit(0)).cast("double").alias("o11"),
+        F.max(F.when(first_a, F.col("R"))).cast("double").alias("r1"),
+        F.max(F.when(first_b, F.col("C"))).cast("double").alias("c1"))
     nt, r1, c1 = F.col("n_total"), F.col("r1"), F.col("c1")
     yates = (F.pow(F.greatest(F.abs(F.col("o11") - r1 * c1 / nt) - F.lit(0.5), F.lit(0.0)), 2)
              * nt * (F.lit(1.0) / r1 + F.lit(1.0) / (nt - r1)) * (F.lit(1.0) / c1 + F.lit(1.0) / (nt - c1)))
@@ -131,18 +141,20 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
              .otherwise(F.lit(0.0)))
     k = F.least("r", "c") - 1
     return stats.select(
-        F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), chi2.alias("chi2"),
+        "col_a", "col_b", chi2.alias("chi2"),
         F.when(k > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / (nt * k))).alias("cramers_v"),
         nt.cast("long").alias("n"))
 
 
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-square and Cramér's V of two categorical columns."""
+    return cramers_v_pairs(df, [(a, b)])
+
+
 def cramers_v_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Symmetric matrix (long form) over a column list; the upper
-    triangle is computed, the lower mirrored, the diagonal computed too."""
-    parts = [cramers_v(df, a, b) for a, b in combinations_with_replacement(columns, 2)]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    triangle and the diagonal come from one scan, the lower is mirrored."""
+    long = cramers_v_pairs(df, list(combinations_with_replacement(columns, 2)))
     long = long.select("col_a", "col_b", "cramers_v")
     mirrored = long.where(F.col("col_a") != F.col("col_b")).select(
         F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "cramers_v")
