@@ -181,3 +181,15 @@ def test_days_since_last_purchase_and_single_row(spark):
     assert single.sale_dollars_lag_1d is None
     assert single.avg_days_between_purchases_7D is None
     assert single.consecutive_decrease == 0
+
+
+def test_union_by_name_missing_columns(spark, tmp_path):
+    from retail_signal.sources import files
+    a = spark.createDataFrame([(1, "x")], "store long, city string")
+    b = spark.createDataFrame([(2,)], "store long")
+    out = files.union_pages([a, b]).orderBy("store").collect()
+    assert [(r.store, r.city) for r in out] == [(1, "x"), (2, None)]
+    a.write.parquet(str(tmp_path / "page=0"))
+    b.write.parquet(str(tmp_path / "page=1"))
+    got = files.read_pages(spark, str(tmp_path)).orderBy("store").collect()
+    assert [(r.store, r.city, r.page) for r in got] == [(1, "x", 0), (2, None, 1)]
