@@ -21,6 +21,21 @@ DEFAULT_CONF = {
 }
 
 
+# Cluster sizing (applied to non-local sessions, e.g. under spark-submit,
+# and only where the user has not set a value).  Many initial
+# shuffle partitions let AQE coalesce down to ~256 MB each at runtime, so a
+# 100 TB line scan and its store-day shuffle keep partitions that fit an
+# executor; skewed partitions above 512 MB are split in joins.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
+
 def get_spark(app: str = "retail_signal", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -42,6 +57,11 @@ def get_spark(app: str = "retail_signal", master: str | None = None,
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    if not _is_local(spark):
+        explicit = spark.sparkContext.getConf()
+        for k, v in CLUSTER_CONF.items():
+            if k not in conf and not explicit.contains(k):
+                spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
