@@ -152,3 +152,34 @@ def _finish(base: DataFrame, targets, state, value) -> None:
             if acc > k:
                 value[(c, r)] = float(v)
                 break
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
+                      names: list[str] | None = None) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) that hold no group
+    in memory: (group, value) counts are pre-aggregated map-side (a hot
+    group is spread over tasks by value), then each group's distinct values
+    are ranked with a running sum in a sorted, spillable window, and the
+    values at ranks floor / ceil of p·(n − 1) are picked by a grouped
+    aggregate.  Returns one row per group with ``n`` and one column per
+    quantile."""
+    from pyspark.sql import Window
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    x = F.col(value).cast("double")
+    vc = (df.where(x.isNotNull()).groupBy(*keys, x.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    vc = vc.withColumns({"_hi": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                         "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    lo, hi = F.col("_hi") - F.col("_c"), F.col("_hi")   # ranks [lo, hi) hold value _v
+    aggs = [F.max("_n").alias("n")]
+    for p, name in zip(probs, names):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        r0, r1 = F.floor(pos), F.ceil(pos)
+        aggs += [F.max(F.when((lo <= r0) & (r0 < hi), F.col("_v"))).alias(f"_{name}_0"),
+                 F.max(F.when((lo <= r1) & (r1 < hi), F.col("_v"))).alias(f"_{name}_1"),
+                 F.max(pos - r0).alias(f"_{name}_f")]
+    g = vc.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, "n", *[
+        (F.col(f"_{nm}_0") + (F.col(f"_{nm}_1") - F.col(f"_{nm}_0")) * F.col(f"_{nm}_f")).alias(nm)
+        for nm in names])

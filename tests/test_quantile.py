@@ -30,3 +30,17 @@ def test_exact_quantiles_match_numpy(spark, kind):
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "a double")
     assert exact_quantiles(df, {"a": [0.5]}) == {"a": [None]}
+
+
+def test_grouped_quantiles_match_numpy(spark):
+    from retail_signal.operators.quantile import grouped_quantiles
+    rng = np.random.default_rng(11)
+    groups = {"hot": np.concatenate([rng.normal(5, 2, 3000), np.full(1500, 4.0)]),
+              "b": rng.integers(0, 9, 301).astype(float), "c": np.array([2.5])}
+    rows = [(g, float(v)) for g, vals in groups.items() for v in vals] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    probs = [0.25, 0.5, 0.75]
+    out = {r.g: r for r in grouped_quantiles(df, ["g"], "x", probs, ["q1", "q2", "q3"]).collect()}
+    for g, vals in groups.items():
+        np.testing.assert_allclose([out[g].q1, out[g].q2, out[g].q3], np.quantile(vals, probs), rtol=1e-12)
+        assert out[g].n == len(vals)
