@@ -90,7 +90,8 @@ def _store_day_exprs(exact_median: bool):
 
 
 def store_day_aggregates(sales: DataFrame, exact_median: bool = True,
-                         extra_aggs=(), extra_object_aggs=()) -> DataFrame:
+                         extra_aggs=(), extra_object_aggs=(),
+                         median_method: str = "rank") -> DataFrame:
     """The 60 store-day aggregates (D3–D12), one row per (store, date).
 
     Three aggregates on the same keys, each with its own map-side partial
@@ -100,13 +101,30 @@ def store_day_aggregates(sales: DataFrame, exact_median: bool = True,
     buffers, which would otherwise drag every moment into the slower
     object-hash path; the distinct counts use Spark's expand plan.  All
     three come out hash-partitioned on (store, date), so the joins add no
-    exchange of the lines."""
+    exchange of the lines.
+
+    Exact medians (``median_method='rank'``, the default) hold no group in
+    memory: ``grouped_quantile_columns`` counts (store-day, column, value)
+    map-side and ranks the distinct values in a sorted, spillable window,
+    so a store-day with a third of all lines is still spread over tasks.
+    ``'percentile'`` uses Spark's per-group value→count map instead (about
+    10–20 % faster when every store-day is small); ``exact_median=False``
+    uses a bounded ``percentile_approx`` sketch."""
     lines = valid_lines(sales)
     plain, medians, distinct = _store_day_exprs(exact_median)
     moments = lines.groupBy(*KEYS).agg(*plain, *extra_aggs)
-    objects = lines.groupBy(*KEYS).agg(*medians, *extra_object_aggs)
     counts = lines.groupBy(*KEYS).agg(*distinct)
-    out = moments.join(objects, KEYS, "inner").join(counts, KEYS, "inner")
+    out = moments.join(counts, KEYS, "inner")
+    if median_method == "rank" and exact_median:
+        from .quantile import grouped_quantile_columns
+        med_cols = [c for c, aggs in STORE_DAY_AGGS if "median" in aggs]
+        meds = grouped_quantile_columns(lines, KEYS, med_cols, 0.5,
+                                        [agg_name(c, "median") for c in med_cols])
+        out = out.join(meds, KEYS, "left")
+        if extra_object_aggs:
+            out = out.join(lines.groupBy(*KEYS).agg(*extra_object_aggs), KEYS, "inner")
+    else:
+        out = out.join(lines.groupBy(*KEYS).agg(*medians, *extra_object_aggs), KEYS, "inner")
     names = [agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs]
     rest = [c for c in out.columns if c not in KEYS and c not in names]
     return out.select(*KEYS, *names, *rest)
@@ -126,7 +144,7 @@ def item_details(sales: DataFrame) -> DataFrame:
 
 def store_day(sales: DataFrame, *, exact_median: bool = True,
               with_item_details: bool = True, fill_medians: bool = True,
-              materialize: bool = False) -> DataFrame:
+              materialize: bool = False, median_method: str = "rank") -> DataFrame:
     """Invoice lines → one row per (store, date).
 
     Columns: keys, the six store attributes (first non-NULL per store in date
@@ -141,7 +159,7 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
     extra = [first_non_null(c, "invoice_line_no").alias(f"_first_{c}") for c in STORE_ATTRIBUTES]
     extra_obj = [item_details_agg()] if with_item_details else []
     sd = store_day_aggregates(sales, exact_median=exact_median, extra_aggs=extra,
-                              extra_object_aggs=extra_obj)
+                              extra_object_aggs=extra_obj, median_method=median_method)
 
     w_store = Window.partitionBy("store")
     attrs = [F.min_by(F.col(f"_first_{c}"),

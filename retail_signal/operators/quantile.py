@@ -178,8 +178,28 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         r0, r1 = F.floor(pos), F.ceil(pos)
         aggs += [F.max(F.when((lo <= r0) & (r0 < hi), F.col("_v"))).alias(f"_{name}_0"),
                  F.max(F.when((lo <= r1) & (r1 < hi), F.col("_v"))).alias(f"_{name}_1"),
-                 F.max(pos - r0).alias(f"_{name}_f")]
+                 F.max(pos).alias(f"_{name}_p")]
     g = vc.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, "n", *[
-        (F.col(f"_{nm}_0") + (F.col(f"_{nm}_1") - F.col(f"_{nm}_0")) * F.col(f"_{nm}_f")).alias(nm)
-        for nm in names])
+
+    def interp(nm):
+        # (ceil − pos)·lower + (pos − floor)·upper, the form ``percentile``
+        # uses, so both give the same bits.
+        v0, v1, p_ = F.col(f"_{nm}_0"), F.col(f"_{nm}_1"), F.col(f"_{nm}_p")
+        return (F.when(v0 == v1, v0)
+                 .otherwise((F.ceil(p_) - p_) * v0 + (p_ - F.floor(p_)) * v1).alias(nm))
+    return g.select(*keys, "n", *[interp(nm) for nm in names])
+
+
+def grouped_quantile_columns(df: DataFrame, keys: list[str], columns: list[str], p: float = 0.5,
+                             names: list[str] | None = None) -> DataFrame:
+    """``grouped_quantiles`` for several columns at once: every row is
+    exploded into one (column id, value) record per column, so one scan,
+    one pre-aggregation and one ranking window serve all columns; the result
+    is pivoted back to one row per group (fixed column list)."""
+    names = names or [f"{c}_q" for c in columns]
+    recs = F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_x"))
+                     for i, c in enumerate(columns)])
+    long = df.select(*keys, F.explode(recs).alias("_r")).select(*keys, "_r._k", "_r._x")
+    q = grouped_quantiles(long, [*keys, "_k"], "_x", [p], ["_q"])
+    wide = q.groupBy(*keys).pivot("_k", list(range(len(columns)))).agg(F.first("_q"))
+    return wide.select(*keys, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
