@@ -44,3 +44,19 @@ def test_grouped_quantiles_match_numpy(spark):
     for g, vals in groups.items():
         np.testing.assert_allclose([out[g].q1, out[g].q2, out[g].q3], np.quantile(vals, probs), rtol=1e-12)
         assert out[g].n == len(vals)
+
+
+def test_grouped_quantile_columns_equal_percentile(spark):
+    from pyspark.sql import functions as F
+    from retail_signal.operators.quantile import grouped_quantile_columns
+    rng = np.random.default_rng(17)
+    rows = [(int(g), float(a), None if i % 5 == 0 else float(b))
+            for i, (g, a, b) in enumerate(zip(rng.integers(0, 6, 900), rng.normal(100, 40, 900),
+                                              rng.integers(0, 12, 900)))]
+    rows += [(9, 1.0, None)]  # a group whose second column is all NULL
+    df = spark.createDataFrame(rows, "g long, a double, b double").repartition(5)
+    got = {r.g: (r.a_med, r.b_med) for r in
+           grouped_quantile_columns(df, ["g"], ["a", "b"], 0.5, ["a_med", "b_med"]).collect()}
+    ref = {r.g: (r.a_med, r.b_med) for r in df.groupBy("g").agg(
+        F.percentile("a", F.lit(0.5)).alias("a_med"), F.percentile("b", F.lit(0.5)).alias("b_med")).collect()}
+    assert got == ref
