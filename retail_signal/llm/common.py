@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: A word: a run of anything but space and the controls TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,3 +50,17 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in column(batch, name).to_pylist()]
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts."""
+    ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.mapInArrow(fn, schema)
+
+
+def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_source_mix
+from .rules import op9_risk_rules
 
 QUERIES = {
+    "op9_risk_rules": op9_risk_rules,
     "op10_source_mix": op10_source_mix,
 }
 
