@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op7_quality_pu
+from .records import op6_token_records
 from .rules import op9_risk_rules
 
 QUERIES = {
+    "op6_token_records": op6_token_records,
     "op7_quality_pu": op7_quality_pu,
     "op9_risk_rules": op9_risk_rules,
     "op10_source_mix": op10_source_mix,
