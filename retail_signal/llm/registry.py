@@ -6,8 +6,10 @@ from .mixing import OP10_SQL, op10_source_mix
 from .quality import op7_quality_pu
 from .records import op6_token_records
 from .rules import op9_risk_rules
+from .simhash import op8_simhash_pivots
 
 QUERIES = {
+    "op8_simhash_pivots": op8_simhash_pivots,
     "op6_token_records": op6_token_records,
     "op7_quality_pu": op7_quality_pu,
     "op9_risk_rules": op9_risk_rules,
