@@ -6,9 +6,11 @@ from .mixing import OP10_SQL, op10_source_mix
 from .quality import op7_quality_pu
 from .records import op6_token_records
 from .rules import op9_risk_rules
+from .secrets import op3_secret_entropy
 from .simhash import op8_simhash_pivots
 
 QUERIES = {
+    "op3_secret_entropy": op3_secret_entropy,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op6_token_records": op6_token_records,
     "op7_quality_pu": op7_quality_pu,
