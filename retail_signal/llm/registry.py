@@ -8,8 +8,10 @@ from .records import op6_token_records
 from .rules import op9_risk_rules
 from .secrets import op3_secret_entropy
 from .simhash import op8_simhash_pivots
+from .toxicity import op1_toxicity_viterbi
 
 QUERIES = {
+    "op1_toxicity_viterbi": op1_toxicity_viterbi,
     "op3_secret_entropy": op3_secret_entropy,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op6_token_records": op6_token_records,
