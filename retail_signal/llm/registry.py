@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op2_benchmark_edits
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op7_quality_pu
 from .records import op6_token_records
@@ -11,6 +12,7 @@ from .simhash import op8_simhash_pivots
 from .toxicity import op1_toxicity_viterbi
 
 QUERIES = {
+    "op2_benchmark_edits": op2_benchmark_edits,
     "op1_toxicity_viterbi": op1_toxicity_viterbi,
     "op3_secret_entropy": op3_secret_entropy,
     "op8_simhash_pivots": op8_simhash_pivots,
