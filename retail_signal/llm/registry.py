@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op2_benchmark_edits
 from .mixing import OP10_SQL, op10_source_mix
+from .pii import op4_pii_context
 from .quality import op7_quality_pu
 from .records import op6_token_records
 from .rules import op9_risk_rules
@@ -12,6 +13,7 @@ from .simhash import op8_simhash_pivots
 from .toxicity import op1_toxicity_viterbi
 
 QUERIES = {
+    "op4_pii_context": op4_pii_context,
     "op2_benchmark_edits": op2_benchmark_edits,
     "op1_toxicity_viterbi": op1_toxicity_viterbi,
     "op3_secret_entropy": op3_secret_entropy,
