@@ -7,24 +7,27 @@ from .mixing import OP10_SQL, op10_source_mix
 from .pii import op4_pii_context
 from .quality import op7_quality_pu
 from .records import op6_token_records
+from .revisits import OP5_SQL, op5_revisit_asof
 from .rules import op9_risk_rules
 from .secrets import op3_secret_entropy
 from .simhash import op8_simhash_pivots
 from .toxicity import op1_toxicity_viterbi
 
 QUERIES = {
-    "op4_pii_context": op4_pii_context,
-    "op2_benchmark_edits": op2_benchmark_edits,
     "op1_toxicity_viterbi": op1_toxicity_viterbi,
+    "op2_benchmark_edits": op2_benchmark_edits,
     "op3_secret_entropy": op3_secret_entropy,
-    "op8_simhash_pivots": op8_simhash_pivots,
+    "op4_pii_context": op4_pii_context,
+    "op5_revisit_asof": op5_revisit_asof,
     "op6_token_records": op6_token_records,
     "op7_quality_pu": op7_quality_pu,
+    "op8_simhash_pivots": op8_simhash_pivots,
     "op9_risk_rules": op9_risk_rules,
     "op10_source_mix": op10_source_mix,
 }
 
 SQL = {
+    "op5_revisit_asof": OP5_SQL,
     "op10_source_mix": OP10_SQL,
 }
 
