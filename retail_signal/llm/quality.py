@@ -187,9 +187,9 @@ def scored(codes: DataFrame, weights: np.ndarray | None, prior: float) -> DataFr
     return codes.select("doc_id", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fitting: Column, spec: PuSpec = PuSpec()) -> DataFrame:
-    """(doc_id, score) for every row of ``docs``; ``fitting`` says of a label's
-    ``doc_id`` whether it may be learnt from."""
+def learnt(docs: DataFrame, labels: DataFrame, fitting: Column, spec: PuSpec = PuSpec()) -> tuple[DataFrame, np.ndarray | None, float]:
+    """The documents' patterns, and the weights and prior learnt; ``fitting``
+    says of a label's ``doc_id`` whether it may be learnt from."""
     codes = materialise(patterns(docs), "pu-codes")
     known = (labels.where(fitting).groupBy(F.col("doc_id").cast("long").alias("p_id"))
              .agg(F.min("quality").alias("q")))
@@ -197,7 +197,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fitting: Column, spec: Pu
     if prior is None:
         share = known.agg(F.avg(F.col("q").cast("double"))).first()[0]
         prior = 0.5 if share is None else float(share)
-    return scored(codes, fit(codes, known.where("q = 1").select("p_id"), prior, spec), prior)
+    return codes, fit(codes, known.where("q = 1").select("p_id"), prior, spec), prior
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, fitting: Column, spec: PuSpec = PuSpec()) -> DataFrame:
+    """(doc_id, score) for every row of ``docs``."""
+    return scored(*learnt(docs, labels, fitting, spec))
+
+
+def _acceptor(weights: np.ndarray, cutoff: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([pattern(t) for t in texts_of(batch)], np.int64)
+            score = 1 / (1 + np.exp(-weights[_slots(codes)].sum(1)))
+            yield batch.filter(pa.array(score >= cutoff))
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, fitting: Column, cutoff: float = 0.5, spec: PuSpec = PuSpec()) -> DataFrame:
+    """The rows of ``docs`` that score ``cutoff`` or more.  They are scored
+    where they are read, so no text is moved."""
+    _, weights, prior = learnt(docs, labels, fitting, spec)
+    if weights is None:
+        return docs if prior >= cutoff else docs.limit(0)
+    return map_arrow(docs, _acceptor(weights, cutoff), docs.schema)
 
 
 FOLDS, HELD = 3, 1
