@@ -243,6 +243,8 @@ def regression(sample: DataFrame, costs: np.ndarray, features: list[str], sizes:
     steps on the bounded sample."""
     rows = map_arrow(sample.select("text", "toxic"), _row_batches(costs, features),
                      "toxic int, n_words int, at array<int>, n array<int>").collect()
+    if not rows:  # no labelled document is there
+        return np.array([0.0] * (len(features) + 1) + [np.log(sizes[1] / sizes[0])])
     x = np.zeros((len(rows), len(features) + 2))
     y = np.array([r.toxic for r in rows], float)
     for i, r in enumerate(rows):
