@@ -5,10 +5,11 @@ seeds.  The words beside them are patterns ("word before", "word after").
 Seeds and other identifier-like tokens are instances; an edge of the graph
 says how often a pattern stood beside an instance.  Scores go back and forth:
 
-* a pattern's confidence for a kind is the share of all its occurrences, in
+* a pattern's confidence for a kind is the share of its occurrences, in
   documents that hold any digit or @, that stand beside instances of the kind,
-  weighted by the instances' confidence and smoothed towards zero; it needs
-  ``min_instances`` different instances;
+  weighted by the instances' confidence and smoothed towards zero; ordinary
+  words and instances of other kinds count against it, identifier-like tokens
+  not known yet neither way; it needs ``min_instances`` different instances;
 * an instance's confidence is that not all of its confident patterns err;
   seeds keep one.
 
@@ -180,14 +181,17 @@ def confident(edges: DataFrame, totals: DataFrame, spec: BootSpec = BootSpec())
     instances = seeds
     others = materialise(edges.where("kind is null").select("pattern", "value").distinct(), "pii-others")
     counts = edges.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.join(totals, "pattern"), "pii-edges")
+    ordinary = (counts.groupBy("pattern").agg(F.sum("n").alias("beside")).join(totals, "pattern")
+                .select("pattern", F.greatest(F.col("total") - F.col("beside"), F.lit(0)).alias("ordinary")))
+    counts = materialise(counts.join(ordinary, "pattern"), "pii-edges")
     for _ in range(spec.rounds):
+        known = counts.join(instances, "value")
+        against = known.groupBy("pattern").agg((F.sum("n") + F.max("ordinary") + F.lit(spec.smoothing)).alias("all"))
         # A value may be known as several kinds; each counts for itself.
-        patterns = (counts.join(instances, "value").groupBy("pattern", "kind")
-                    .agg(F.sum(F.col("n") * F.col("confidence")).alias("weight"), F.max("total").alias("total"),
-                         F.count("*").alias("instances"))
-                    .where(F.col("instances") >= spec.min_instances)
-                    .select("pattern", "kind", (F.col("weight") / (F.greatest("total", "weight") + spec.smoothing)).alias("confidence"))
+        patterns = (known.groupBy("pattern", "kind")
+                    .agg(F.sum(F.col("n") * F.col("confidence")).alias("weight"), F.count("*").alias("instances"))
+                    .where(F.col("instances") >= spec.min_instances).join(against, "pattern")
+                    .select("pattern", "kind", (F.col("weight") / F.col("all")).alias("confidence"))
                     .where(F.col("confidence") >= spec.min_confidence))
         patterns = materialise(patterns, "pii-patterns")
         found = (others.join(patterns, "pattern").groupBy("value", "kind")
@@ -203,7 +207,7 @@ def extract(docs: DataFrame, spec: BootSpec = BootSpec()) -> DataFrame:
     seen = _occurrences(found, "known")
     other = _occurrences(found, "candidates").withColumn("kind", F.lit(None).cast("string"))
     edges = materialise(seen.unionByName(other).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
-    totals = pattern_totals(docs, edges.where("kind is not null").select("pattern").distinct())
+    totals = pattern_totals(docs, edges.select("pattern").distinct())
     patterns, instances = confident(edges, totals, spec)
     chosen = instances.join(patterns.select("pattern", "kind"), "kind").select("value", "pattern").distinct()
     new = (other.drop("kind").join(chosen, ["value", "pattern"], "left_semi").select("row", "at").distinct()
