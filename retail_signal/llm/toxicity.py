@@ -197,8 +197,8 @@ def best_features(sample: DataFrame, costs: np.ndarray, sizes: tuple[int, int],
 
     def term(seen: Column, size: float) -> Column:
         p = (a + b) / n
-        def half(o, e):
-            return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+        def half(observed: Column, expected: Column) -> Column:
+            return F.when(observed > 0, observed * F.log(F.try_divide(observed, expected))).otherwise(0.0)
         return half(seen, p * size) + half(F.lit(size) - seen, (1 - p) * size)
     ratio = term(a, toxic) + term(b, clean)
     rows = (map_arrow(sample.select("text", "toxic"), _frequency_batches(costs), "feature string, toxic long, clean long")
@@ -290,7 +290,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fitting: Column, spec: T
                         .agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null"), "toxic-labels")
     by_class = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     sizes = by_class.get(0, 0), by_class.get(1, 0)
-    if not all(sizes):
+    if not all(sizes):  # nothing to tell apart
         share = sizes[1] / sum(sizes) if any(sizes) else 0.5
         return texts.select("doc_id", F.lit(share).alias("score"))
     n_toxic = min(sizes[1], spec.fit_rows // 3)
