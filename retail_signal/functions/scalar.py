@@ -126,7 +126,7 @@ def join_label_col(*cols) -> Column:
     return F.regexp_replace(F.concat_ws("_", *[col(c) for c in cols]), "^_+|_+$", "")
 
 
-def round_doubles(df, digits: int = 6):
+def round_doubles(df, digits: int = 9):
     """Round every double column (presentation step used before comparing
     two engines whose float sums differ in the last bits)."""
     from pyspark.sql.types import DoubleType, FloatType

@@ -37,7 +37,7 @@ def d01_store_attributes(spark, sf_dir):
 
 
 @register("d19_global_quantiles", sql=with_ctes(DAILY_SQL) + """SELECT
-  ROUND(QUANTILE_CONT(sale_dollars, 0.33), 6) AS q33, ROUND(QUANTILE_CONT(sale_dollars, 0.66), 6) AS q66,
+  ROUND(QUANTILE_CONT(sale_dollars, 0.33), 9) AS q33, ROUND(QUANTILE_CONT(sale_dollars, 0.66), 9) AS q66,
   COUNT(*) AS n_rows FROM daily""")
 def d19_global_quantiles(spark, sf_dir):
     """0.33 / 0.66 quantiles of store-day sales over rows (linear
@@ -51,10 +51,10 @@ def d19_global_quantiles(spark, sf_dir):
 
 
 @register("c03_group_means", sql=with_ctes(DAILY_SQL, ATTRS_SQL) + """SELECT d.store, d.date,
-  a.city, a.county, ROUND(d.sale_dollars, 6) AS sale_dollars,
-  ROUND(AVG(d.sale_dollars) OVER (PARTITION BY d.store), 6) AS store_avg_sales,
-  CASE WHEN a.city IS NOT NULL THEN ROUND(AVG(d.sale_dollars) OVER (PARTITION BY a.city), 6) END AS city_avg_sales,
-  CASE WHEN a.county IS NOT NULL THEN ROUND(AVG(d.sale_dollars) OVER (PARTITION BY a.county), 6) END AS county_avg_sales
+  a.city, a.county, ROUND(d.sale_dollars, 9) AS sale_dollars,
+  ROUND(AVG(d.sale_dollars) OVER (PARTITION BY d.store), 9) AS store_avg_sales,
+  CASE WHEN a.city IS NOT NULL THEN ROUND(AVG(d.sale_dollars) OVER (PARTITION BY a.city), 9) END AS city_avg_sales,
+  CASE WHEN a.county IS NOT NULL THEN ROUND(AVG(d.sale_dollars) OVER (PARTITION BY a.county), 9) END AS county_avg_sales
 FROM daily d JOIN attrs a USING (store)""")
 def c03_group_means(spark, sf_dir):
     """Store, city and county mean of store-day sales written back to
@@ -88,8 +88,8 @@ def h01_date_parts(spark, sf_dir):
 
 @register("h17_geo_points", sql=with_ctes("""loc AS (SELECT DISTINCT store_location FROM sales)""")
           + """SELECT store_location,
-  ROUND(CAST(REPLACE(store_location, '''', '"')::JSON->'coordinates'->>0 AS DOUBLE), 6) AS lon,
-  ROUND(CAST(REPLACE(store_location, '''', '"')::JSON->'coordinates'->>1 AS DOUBLE), 6) AS lat
+  ROUND(CAST(REPLACE(store_location, '''', '"')::JSON->'coordinates'->>0 AS DOUBLE), 9) AS lon,
+  ROUND(CAST(REPLACE(store_location, '''', '"')::JSON->'coordinates'->>1 AS DOUBLE), 9) AS lat
 FROM loc""")
 def h17_geo_points(spark, sf_dir):
     """Point text → (lon, lat) for every distinct location text."""
@@ -99,7 +99,7 @@ def h17_geo_points(spark, sf_dir):
 
 
 @register("i11_clip_negative", sql=with_ctes() + "SELECT invoice_line_no, store, date, "
-          + ", ".join(f"ROUND(CAST(GREATEST({c}, 0) AS DOUBLE), 6) AS {c}" if c != "sale_bottles"
+          + ", ".join(f"ROUND(CAST(GREATEST({c}, 0) AS DOUBLE), 9) AS {c}" if c != "sale_bottles"
                       else "GREATEST(sale_bottles, 0) AS sale_bottles" for c in SALES_COLUMNS)
           + " FROM sales")
 def i11_clip_negative(spark, sf_dir):
@@ -121,7 +121,7 @@ def _winsor_sql() -> str:
         lo = f"(q.{c}_lo - 1.5 * (q.{c}_hi - q.{c}_lo))"
         hi = f"(q.{c}_hi + 1.5 * (q.{c}_hi - q.{c}_lo))"
         sel.append(f"ROUND(CAST(CASE WHEN s.{c} < {lo} THEN {lo} WHEN s.{c} > {hi} THEN {hi} "
-                   f"ELSE s.{c} END AS DOUBLE), 6) AS {c}")
+                   f"ELSE s.{c} END AS DOUBLE), 9) AS {c}")
     return (with_ctes(f"q AS (SELECT\n  {qs}\nFROM sales)")
             + "SELECT s.invoice_line_no, " + ",\n  ".join(sel) + "\nFROM sales s CROSS JOIN q")
 
@@ -150,7 +150,7 @@ def c08_item_lookup(spark, sf_dir):
 
 
 @register("f06_head_preview", sql=with_ctes(DAILY_SQL)
-          + "SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars FROM daily ORDER BY store, date LIMIT 5")
+          + "SELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars FROM daily ORDER BY store, date LIMIT 5")
 def f06_head_preview(spark, sf_dir):
     """First five store-day rows in (store, date) order (a top-k:
     each task keeps five rows)."""

@@ -28,8 +28,8 @@ def _tf(spark, sf_dir):
   SELECT store, COUNT(*) AS n, AVG(sale_dollars) AS store_avg_sales, AVG(transaction_count) AS store_avg_transactions,
     AVG(unique_items) AS store_avg_items, AVG(bottle_volume_ml_mean) AS avg_bottle_volume_ml FROM store_day GROUP BY store)""",
     """q AS (SELECT QUANTILE_CONT(p.store_avg_sales, [0.33, 0.66]) AS q FROM store_day JOIN p USING (store))""")
-    + """SELECT store, ROUND(store_avg_sales, 6) AS store_avg_sales, ROUND(store_avg_transactions, 6) AS store_avg_transactions,
-  ROUND(store_avg_items, 6) AS store_avg_items, ROUND(avg_bottle_volume_ml, 6) AS avg_bottle_volume_ml,
+    + """SELECT store, ROUND(store_avg_sales, 9) AS store_avg_sales, ROUND(store_avg_transactions, 9) AS store_avg_transactions,
+  ROUND(store_avg_items, 9) AS store_avg_items, ROUND(avg_bottle_volume_ml, 9) AS avg_bottle_volume_ml,
   CAST(CASE WHEN store_avg_sales > (SELECT q[2] FROM q) THEN 3 WHEN store_avg_sales > (SELECT q[1] FROM q) THEN 2 ELSE 1 END AS INTEGER) AS store_size,
   CASE WHEN avg_bottle_volume_ml > 1000 THEN 'large' ELSE 'standard' END AS volume_tier,
   'size' || CAST(CASE WHEN store_avg_sales > (SELECT q[2] FROM q) THEN 3 WHEN store_avg_sales > (SELECT q[1] FROM q) THEN 2 ELSE 1 END AS VARCHAR)
@@ -39,7 +39,7 @@ def m01_store_groups(spark, sf_dir):
     return dm.store_groups(_sd(spark, sf_dir))
 
 
-@register("m02_domain_split", sql=with_ctes(DAILY_SQL) + f"""SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,
+@register("m02_domain_split", sql=with_ctes(DAILY_SQL) + f"""SELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars,
   CASE WHEN date < DATE '{DATE_CUT}' THEN 'source' ELSE 'target' END AS domain FROM daily""")
 def m02_domain_split(spark, sf_dir):
     """Source / target domains by a date cut."""
@@ -90,8 +90,8 @@ def _rules_sql():
         parts.append(f"""SELECT store, COUNT(*) AS n_rows, '{rid}' AS rule_id, COUNT(*) FILTER (WHERE {A}) AS n_antecedent,
   COUNT(*) FILTER (WHERE {A} AND {C}) AS n_both, COUNT(*) FILTER (WHERE {A} AND NOT {C}) AS violations FROM temporal GROUP BY store""")
     return TEMPORAL_SQL + """SELECT store, n_rows, rule_id, n_antecedent, n_both, violations,
-  ROUND(CAST(n_antecedent AS DOUBLE) / n_rows, 6) AS support,
-  ROUND(CAST(n_both AS DOUBLE) / NULLIF(n_antecedent, 0), 6) AS confidence FROM (""" + " UNION ALL ".join(parts) + ")"
+  ROUND(CAST(n_antecedent AS DOUBLE) / n_rows, 9) AS support,
+  ROUND(CAST(n_both AS DOUBLE) / NULLIF(n_antecedent, 0), 9) AS confidence FROM (""" + " UNION ALL ".join(parts) + ")"
 
 
 @register("m05_rule_compliance", sql=_rules_sql())
@@ -103,10 +103,10 @@ def m05_rule_compliance(spark, sf_dir):
 WEIGHTS = [0.5, 0.3, 0.2]
 
 
-@register("m06_temporal_smoothing", sql=with_ctes(DAILY_SQL) + """SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,
+@register("m06_temporal_smoothing", sql=with_ctes(DAILY_SQL) + """SELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars,
   ROUND((0.5 * sale_dollars + COALESCE(0.3 * LAG(sale_dollars, 1) OVER w, 0) + COALESCE(0.2 * LAG(sale_dollars, 2) OVER w, 0))
     / (0.5 + CASE WHEN LAG(sale_dollars, 1) OVER w IS NULL THEN 0 ELSE 0.3 END
-            + CASE WHEN LAG(sale_dollars, 2) OVER w IS NULL THEN 0 ELSE 0.2 END), 6) AS sale_dollars_smoothed
+            + CASE WHEN LAG(sale_dollars, 2) OVER w IS NULL THEN 0 ELSE 0.2 END), 9) AS sale_dollars_smoothed
 FROM daily WINDOW w AS (PARTITION BY store ORDER BY date)""")
 def m06_temporal_smoothing(spark, sf_dir):
     """Weighted smoothing (0.5, 0.3, 0.2) over the current and two previous
@@ -120,7 +120,7 @@ def _mmd_sql():
     dist = " + ".join(f"POW(AVG({c}) FILTER (WHERE domain = 'source') - AVG({c}) FILTER (WHERE domain = 'target'), 2)"
                       for c in SHIFT_FEATURES)
     return with_ctes(store_day_cte(), f"""zz AS (SELECT CASE WHEN date < DATE '{DATE_CUT}' THEN 'source' ELSE 'target' END AS domain,
-  {z} FROM store_day)""") + f"SELECT ROUND({dist}, 6) AS mmd FROM zz"
+  {z} FROM store_day)""") + f"SELECT ROUND({dist}, 9) AS mmd FROM zz"
 
 
 @register("m07_mmd_shift", sql=_mmd_sql())
@@ -143,7 +143,7 @@ preds AS (
   SELECT store, date, sale_dollars, 'short' AS domain, sale_dollars_rolling_mean_7D AS y_hat FROM temporal
   UNION ALL SELECT store, date, sale_dollars, 'long' AS domain, sale_dollars_rolling_mean_30D AS y_hat FROM temporal),
 wts AS (SELECT domain, 1.0 / (1.0 + AVG(ABS(sale_dollars - y_hat))) AS weight FROM preds GROUP BY domain)
-SELECT store, date, ROUND(SUM(y_hat * weight) / SUM(weight), 6) AS y_hat_fused, COUNT(*) AS n_domains
+SELECT store, date, ROUND(SUM(y_hat * weight) / SUM(weight), 9) AS y_hat_fused, COUNT(*) AS n_domains
 FROM preds JOIN wts USING (domain) GROUP BY store, date""")
 def m08_prediction_fusion(spark, sf_dir):
     """Two per-domain predictors (7-day and 30-day means) fused with
@@ -159,10 +159,10 @@ def m08_prediction_fusion(spark, sf_dir):
 
 
 @register("m09_early_warning", sql=TEMPORAL_SQL + """SELECT tp, fp, fn, tn,
-  ROUND(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy,
-  ROUND(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 6) AS precision,
-  ROUND(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 6) AS recall,
-  ROUND(CAST(fp AS DOUBLE) / NULLIF(fp + tn, 0), 6) AS false_alarm_rate FROM (
+  ROUND(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 9) AS accuracy,
+  ROUND(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 9) AS precision,
+  ROUND(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 9) AS recall,
+  ROUND(CAST(fp AS DOUBLE) / NULLIF(fp + tn, 0), 9) AS false_alarm_rate FROM (
   SELECT COUNT(*) FILTER (WHERE p = 1 AND a = 1) AS tp, COUNT(*) FILTER (WHERE p = 1 AND a = 0) AS fp,
          COUNT(*) FILTER (WHERE p = 0 AND a = 1) AS fn, COUNT(*) FILTER (WHERE p = 0 AND a = 0) AS tn
   FROM (SELECT sale_dollars_significant_decrease AS p,

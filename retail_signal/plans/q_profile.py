@@ -22,7 +22,7 @@ ALL_COLS = ["invoice_line_no", "date", "store", "name", "address", "city", "zipc
 
 
 def R(x):
-    return f"ROUND(CAST({x} AS DOUBLE), 6)"
+    return f"ROUND(CAST({x} AS DOUBLE), 9)"
 
 
 @register("d20_null_counts", sql=with_ctes() + " UNION ALL ".join(
@@ -180,7 +180,7 @@ def h13_price_per_unit(spark, sf_dir):
 
 
 @register("d13_monthly_totals", sql=with_ctes() + """SELECT CAST(year(date) AS INTEGER) AS year,
-  CAST(month(date) AS INTEGER) AS month, ROUND(COALESCE(SUM(sale_dollars), 0), 6) AS total_sale_dollars,
+  CAST(month(date) AS INTEGER) AS month, ROUND(COALESCE(SUM(sale_dollars), 0), 9) AS total_sale_dollars,
   make_date(CAST(year(date) AS INTEGER), CAST(month(date) AS INTEGER), 1) AS month_start
 FROM sales GROUP BY 1, 2""")
 def d13_monthly_totals(spark, sf_dir):
@@ -189,7 +189,7 @@ def d13_monthly_totals(spark, sf_dir):
 
 
 @register("d14_weekday_totals", sql=with_ctes() + """SELECT d.weekday_pos, d.weekday,
-  ROUND(t.total, 6) AS total_sale_dollars
+  ROUND(t.total, 9) AS total_sale_dollars
 FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'),
              (5, 'Saturday'), (6, 'Sunday')) d(weekday_pos, weekday)
 LEFT JOIN (SELECT dayname(date) AS weekday, SUM(sale_dollars) AS total FROM sales GROUP BY 1) t
@@ -200,7 +200,7 @@ def d14_weekday_totals(spark, sf_dir):
 
 
 def _totals_sql(key):
-    return with_ctes() + f"SELECT {key}, ROUND(COALESCE(SUM(sale_dollars), 0), 6) AS total_sale_dollars FROM sales GROUP BY 1"
+    return with_ctes() + f"SELECT {key}, ROUND(COALESCE(SUM(sale_dollars), 0), 9) AS total_sale_dollars FROM sales GROUP BY 1"
 
 
 @register("d15_category_totals", sql=_totals_sql("category_name"))
@@ -222,7 +222,7 @@ def d16_county_totals(spark, sf_dir):
 
 
 def _top_sql(key, k=10):
-    return with_ctes() + (f"SELECT {key}, ROUND(total, 6) AS total_sale_dollars FROM (SELECT {key}, "
+    return with_ctes() + (f"SELECT {key}, ROUND(total, 9) AS total_sale_dollars FROM (SELECT {key}, "
                           f"COALESCE(SUM(sale_dollars), 0) AS total FROM sales GROUP BY 1) "
                           f"ORDER BY total DESC, {key} LIMIT {k}")
 
@@ -282,9 +282,9 @@ def d33_distinct_dates(spark, sf_dir):
 
 
 @register("g02_distinct_item_records", sql=with_ctes() + """SELECT DISTINCT store, date, category_name,
-  im_desc, pack, bottle_volume_ml, ROUND(state_bottle_cost, 6) AS state_bottle_cost,
-  ROUND(state_bottle_retail, 6) AS state_bottle_retail, ROUND(sale_dollars, 6) AS sale_dollars,
-  sale_bottles, ROUND(sale_liters, 6) AS sale_liters, ROUND(sale_gallons, 6) AS sale_gallons FROM sales""")
+  im_desc, pack, bottle_volume_ml, ROUND(state_bottle_cost, 9) AS state_bottle_cost,
+  ROUND(state_bottle_retail, 9) AS state_bottle_retail, ROUND(sale_dollars, 9) AS sale_dollars,
+  sale_bottles, ROUND(sale_liters, 9) AS sale_liters, ROUND(sale_gallons, 9) AS sale_gallons FROM sales""")
 def g02_distinct_item_records(spark, sf_dir):
     """DISTINCT item records per store-day (the rows behind item_details)."""
     return agg.distinct_values(sales(spark, sf_dir), "store", "date", *agg.ITEM_DETAIL_FIELDS)

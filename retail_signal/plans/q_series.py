@@ -95,13 +95,13 @@ I07_SQL = (with_ctes(DAILY_SQL, """rf AS (
     LAST(sale_dollars IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vf,
     sale_dollars - LAG(sale_dollars, 1) OVER w AS sales_diff
   FROM daily WINDOW w AS (PARTITION BY store ORDER BY date))""") + """
-SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,
-  """ + ", ".join(f"ROUND(sales_lag_{k}, 6) AS sales_lag_{k}" for k in (1, 7, 14, 30)) + ",\n  " + ", ".join(
-    f"ROUND(sales_rolling_{nm}_{n}, 6) AS sales_rolling_{nm}_{n}" for n in (7, 14, 30) for nm in ("mean", "std", "max", "min"))
+SELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars,
+  """ + ", ".join(f"ROUND(sales_lag_{k}, 9) AS sales_lag_{k}" for k in (1, 7, 14, 30)) + ",\n  " + ", ".join(
+    f"ROUND(sales_rolling_{nm}_{n}, 9) AS sales_rolling_{nm}_{n}" for n in (7, 14, 30) for nm in ("mean", "std", "max", "min"))
     + """,
-  ROUND(vf / NULLIF(LAG(vf, 1) OVER (PARTITION BY store ORDER BY date), 0) - 1, 6) AS sales_pct_change,
-  ROUND(sales_diff, 6) AS sales_diff,
-  """ + ", ".join(f"ROUND(sale_dollars - sales_rolling_mean_{n}, 6) AS sales_momentum_{n}" for n in (7, 14, 30)) + """,
+  ROUND(vf / NULLIF(LAG(vf, 1) OVER (PARTITION BY store ORDER BY date), 0) - 1, 9) AS sales_pct_change,
+  ROUND(sales_diff, 9) AS sales_diff,
+  """ + ", ".join(f"ROUND(sale_dollars - sales_rolling_mean_{n}, 9) AS sales_momentum_{n}" for n in (7, 14, 30)) + """,
   CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month,
   CAST(quarter(date) AS INTEGER) AS quarter, CAST(year(date) AS INTEGER) AS year,
   CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend
@@ -123,9 +123,9 @@ def i08_gap_fill(spark, sf_dir):
 
 
 @register("d31_minmax_fit", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL) + """SELECT
-  ROUND(sb_min, 6) AS sale_bottles_min, ROUND(sb_range, 6) AS sale_bottles_range,
-  ROUND(pk_min, 6) AS pack_min, ROUND(pk_range, 6) AS pack_range,
-  ROUND(bv_min, 6) AS bottle_volume_ml_min, ROUND(bv_range, 6) AS bottle_volume_ml_range FROM fit""")
+  ROUND(sb_min, 9) AS sale_bottles_min, ROUND(sb_range, 9) AS sale_bottles_range,
+  ROUND(pk_min, 9) AS pack_min, ROUND(pk_range, 9) AS pack_range,
+  ROUND(bv_min, 9) AS bottle_volume_ml_min, ROUND(bv_range, 9) AS bottle_volume_ml_range FROM fit""")
 def d31_minmax_fit(spark, sf_dir):
     """Min and range (0 → 1) of the three window features."""
     return se.minmax_fit(se.fill_missing_dates(series_day(spark, sf_dir), key=SKEY))
@@ -133,8 +133,8 @@ def d31_minmax_fit(spark, sf_dir):
 
 @register("e21_supervised_windows", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL) + """SELECT
   city, category_name, i, window_start, CAST(len(h) AS INTEGER) AS x_len, CAST(len(y) AS INTEGER) AS y_len,
-  ROUND(list_sum(h), 6) AS x_sale_bottles_sum, ROUND(list_sum(hp), 6) AS x_pack_sum,
-  ROUND(list_sum(y), 6) AS y_sum, ROUND(y[1], 6) AS y_first, ROUND(y[30], 6) AS y_last FROM win2""")
+  ROUND(list_sum(h), 9) AS x_sale_bottles_sum, ROUND(list_sum(hp), 9) AS x_pack_sum,
+  ROUND(list_sum(y), 9) AS y_sum, ROUND(y[1], 9) AS y_first, ROUND(y[30], 9) AS y_last FROM win2""")
 def e21_supervised_windows(spark, sf_dir):
     """30-day input / 30-day target windows over scaled dense series,
     positive-target windows only (arrays summarised per window)."""
@@ -172,9 +172,9 @@ def _validation_predictions(spark, sf_dir):
   SELECT 'seasonal_naive' AS model, y[step + 1] * sb_range + sb_min AS y, h[step + 1] * sb_range + sb_min AS y_hat FROM steps CROSS JOIN fit
   UNION ALL
   SELECT 'moving_average' AS model, y[step + 1] * sb_range + sb_min AS y, m * sb_range + sb_min AS y_hat FROM steps CROSS JOIN fit)""")
-    + """SELECT model, ROUND(AVG(ABS(y - y_hat)), 6) AS mae, ROUND(AVG((y - y_hat) * (y - y_hat)), 6) AS mse,
-  ROUND(SQRT(AVG((y - y_hat) * (y - y_hat))), 6) AS rmse,
-  ROUND(AVG(ABS(y - y_hat) / GREATEST((ABS(y) + ABS(y_hat)) / 2.0, 1e-8)) * 100.0, 6) AS smape,
+    + """SELECT model, ROUND(AVG(ABS(y - y_hat)), 9) AS mae, ROUND(AVG((y - y_hat) * (y - y_hat)), 9) AS mse,
+  ROUND(SQRT(AVG((y - y_hat) * (y - y_hat))), 9) AS rmse,
+  ROUND(AVG(ABS(y - y_hat) / GREATEST((ABS(y) + ABS(y_hat)) / 2.0, 1e-8)) * 100.0, 9) AS smape,
   COUNT(*) AS n FROM pred GROUP BY model""")
 def l01_baseline_metrics(spark, sf_dir):
     """Seasonal-naive and moving-average forecasts on the validation
@@ -228,8 +228,8 @@ def l04_forecast_examples(spark, sf_dir):
          THEN AVG(sale_dollars) OVER (PARTITION BY store ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS trend
   FROM daily)""", """pm AS (SELECT store, i % 7 AS pos, AVG(sale_dollars - trend) AS pmv FROM dd GROUP BY 1, 2)""",
     """ps AS (SELECT store, pos, pmv - AVG(pmv) OVER (PARTITION BY store) AS seasonal FROM pm)""")
-    + """SELECT dd.store, dd.date, ROUND(dd.sale_dollars, 6) AS sale_dollars, ROUND(dd.trend, 6) AS trend,
-  ROUND(ps.seasonal, 6) AS seasonal, ROUND(dd.sale_dollars - dd.trend - ps.seasonal, 6) AS resid
+    + """SELECT dd.store, dd.date, ROUND(dd.sale_dollars, 9) AS sale_dollars, ROUND(dd.trend, 9) AS trend,
+  ROUND(ps.seasonal, 9) AS seasonal, ROUND(dd.sale_dollars - dd.trend - ps.seasonal, 9) AS resid
 FROM dd LEFT JOIN ps ON ps.store = dd.store AND ps.pos = dd.i % 7""")
 def m11_decomposition(spark, sf_dir):
     """Additive trend / weekly seasonal / residual split of each store's
@@ -251,9 +251,9 @@ def _register_row_slice(name: str, cols: list[str]):
     def build(spark, sf_dir):
         return i07_row_features(spark, sf_dir).select("store", "date", "sale_dollars", *cols)
     build.__doc__ = f"I7 slice: {', '.join(cols)}."
-    head, _, final = I07_SQL.rpartition("\nSELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars,")
+    head, _, final = I07_SQL.rpartition("\nSELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars,")
     sql = (head + "\nSELECT store, date, sale_dollars, " + ", ".join(cols)
-           + " FROM (SELECT store, date, ROUND(sale_dollars, 6) AS sale_dollars," + final + ")")
+           + " FROM (SELECT store, date, ROUND(sale_dollars, 9) AS sale_dollars," + final + ")")
     register(name, sql=sql)(build)
 
 

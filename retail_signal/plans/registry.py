@@ -2,8 +2,9 @@
 
 Each entry pairs a Spark builder ``(spark, sf_dir) -> DataFrame`` with an
 optional ANSI SQL twin that DuckDB can run over the same parquet tables.
-Builders return the library operator's result with doubles rounded to six
-places (both sides), so float sums taken in different orders compare equal.
+Builders return the library operator's result with doubles rounded to nine
+places on both sides: enough to drop the noise of float sums near zero, and
+below the last place of any amount, so no sum lies on a rounding tie.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def with_ctes(*ctes: str) -> str:
 
 def r6(expr: str, alias: str) -> str:
     """Rounded double in SQL, matching ``round_doubles``."""
-    return f"ROUND(CAST({expr} AS DOUBLE), 6) AS {alias}"
+    return f"ROUND(CAST({expr} AS DOUBLE), 9) AS {alias}"
 
 
 def load_all() -> dict[str, Query]:

@@ -41,7 +41,7 @@ def agg_sql(column: str, agg: str) -> tuple[str, bool]:
 
 
 def rnd(expr: str, is_double: bool = True) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6)" if is_double else expr
+    return f"ROUND(CAST({expr} AS DOUBLE), 9)" if is_double else expr
 
 
 def store_day_agg_items() -> list[tuple[str, str, bool]]:

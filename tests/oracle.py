@@ -24,23 +24,36 @@ def duck(sf_dir: str):
     return con
 
 
+REL_TOL, ABS_TOL = 1e-7, 1e-9
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 5)
+        return None if math.isnan(v) else v
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
 
 
+def _same(x, y) -> bool:
+    if isinstance(x, float) and isinstance(y, float):
+        return math.isclose(x, y, rel_tol=REL_TOL, abs_tol=ABS_TOL)
+    return x == y
+
+
 def rows_of(records, cols):
-    out = []
-    for r in records:
-        out.append(tuple(_norm(r[c]) for c in cols))
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+    """Rows in an order that float noise does not change: by the exact
+    columns first, then by the floats at a few digits."""
+    out = [tuple(_norm(r[c]) for c in cols) for r in records]
+    floats = {i for r in out for i, v in enumerate(r) if isinstance(v, float)}
+    exact = [i for i in range(len(cols)) if i not in floats]
+
+    def order(t):
+        return ([(t[i] is None, str(t[i])) for i in exact]
+                + [(t[i] is None, f"{t[i]:.4g}" if t[i] is not None else "") for i in sorted(floats)])
+    return sorted(out, key=order)
 
 
 def compare(spark, con, name, build, sql, sf_dir):
@@ -67,10 +80,10 @@ def compare(spark, con, name, build, sql, sf_dir):
     if len(a) != len(b):
         res.update(ok=False, why="row count differs")
         return res
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
+    bad = [(x, y) for x, y in zip(a, b) if not all(map(_same, x, y))]
     if bad:
         x, y = bad[0]
-        diffs = [(c, x[i], y[i]) for i, c in enumerate(cols) if x[i] != y[i]]
+        diffs = [(c, x[i], y[i]) for i, c in enumerate(cols) if not _same(x[i], y[i])]
         res.update(ok=False, why=f"{len(bad)} rows differ; first: {diffs[:6]}")
         return res
     res["ok"] = True
