@@ -13,9 +13,8 @@ Scale notes
   them onto the slowest path (measured 1.6–1.9× slower at sf0.1).  The
   three results are hash-partitioned on (store, date), so joining them
   adds no exchange of the lines.
-* Store attributes are taken with a window partitioned by ``store`` over
-  store-day rows (at most one per calendar day per store); the temporal
-  features reuse that partitioning.
+* Store attributes come from one row per distinct combination of them, and
+  item records from an aggregate of their own.
 """
 
 from __future__ import annotations
@@ -89,45 +88,51 @@ def _store_day_exprs(exact_median: bool):
     return plain, medians, distinct
 
 
+# A store-day with more lines than this takes the spill-safe rank path; the
+# value buffers of all others hold at most this many values each.
+MEDIAN_BUFFER_LINES = 10_000
+
+
+def _exact_medians(lines: DataFrame, medians, limit: int) -> DataFrame:
+    """Exact medians per store-day.  ``percentile`` keeps a value→count map
+    per group, which is the fastest way as long as groups are bounded, so
+    groups beyond ``limit`` lines go through ``grouped_quantile_columns``:
+    (group, value) counts are spread over tasks and ranked in a sorted,
+    spillable window.  Both interpolate to the same bits."""
+    from ..session import cut_lineage
+    from .quantile import grouped_quantile_columns
+    large = cut_lineage(lines.groupBy(*KEYS).count().where(F.col("count") > limit).select(*KEYS))
+    if large.isEmpty():
+        return lines.groupBy(*KEYS).agg(*medians)
+    small = lines.join(large, KEYS, "left_anti").groupBy(*KEYS).agg(*medians)
+    columns = [c for c, aggs in STORE_DAY_AGGS if "median" in aggs]
+    return small.unionByName(grouped_quantile_columns(
+        lines.join(large, KEYS, "left_semi"), KEYS, columns, 0.5, [agg_name(c, "median") for c in columns]))
+
+
 def store_day_aggregates(sales: DataFrame, exact_median: bool = True,
-                         extra_aggs=(), extra_object_aggs=(),
-                         median_method: str = "rank") -> DataFrame:
+                         median_method: str = "bounded", buffer_lines: int = MEDIAN_BUFFER_LINES) -> DataFrame:
     """The 60 store-day aggregates (D3–D12), one row per (store, date).
 
     Three aggregates on the same keys, each with its own map-side partial
-    step: the declarative moments (sum, mean, std, skew, …, plus
-    ``extra_aggs``) compile into one code-generated hash aggregate; the
-    medians (and ``extra_object_aggs`` such as ``collect_set``) need object
-    buffers, which would otherwise drag every moment into the slower
-    object-hash path; the distinct counts use Spark's expand plan.  All
-    three come out hash-partitioned on (store, date), so the joins add no
-    exchange of the lines.
-
-    Exact medians (``median_method='rank'``, the default) hold no group in
-    memory: ``grouped_quantile_columns`` counts (store-day, column, value)
-    map-side and ranks the distinct values in a sorted, spillable window,
-    so a store-day with a third of all lines is still spread over tasks.
-    ``'percentile'`` uses Spark's per-group value→count map instead (about
-    10–20 % faster when every store-day is small); ``exact_median=False``
-    uses a bounded ``percentile_approx`` sketch."""
+    step: the declarative moments (sum, mean, std, skew, …) compile into one
+    code-generated hash aggregate; the medians need object buffers, which
+    would drag every moment into the slower object-hash path; the distinct
+    counts use Spark's expand plan.  All three come out hash-partitioned on
+    (store, date), so the joins add no exchange of the lines.
+
+    ``median_method``: 'bounded' (see ``_exact_medians``), 'rank' (the
+    spill-safe path for every group) or 'percentile' (buffers for every
+    group); ``exact_median=False`` uses a bounded sketch."""
     lines = valid_lines(sales)
     plain, medians, distinct = _store_day_exprs(exact_median)
-    moments = lines.groupBy(*KEYS).agg(*plain, *extra_aggs)
-    counts = lines.groupBy(*KEYS).agg(*distinct)
-    out = moments.join(counts, KEYS, "inner")
-    if median_method == "rank" and exact_median:
-        from .quantile import grouped_quantile_columns
-        med_cols = [c for c, aggs in STORE_DAY_AGGS if "median" in aggs]
-        meds = grouped_quantile_columns(lines, KEYS, med_cols, 0.5,
-                                        [agg_name(c, "median") for c in med_cols])
-        out = out.join(meds, KEYS, "left")
-        if extra_object_aggs:
-            out = out.join(lines.groupBy(*KEYS).agg(*extra_object_aggs), KEYS, "inner")
+    out = lines.groupBy(*KEYS).agg(*plain).join(lines.groupBy(*KEYS).agg(*distinct), KEYS, "inner")
+    if not exact_median or median_method == "percentile":
+        out = out.join(lines.groupBy(*KEYS).agg(*medians), KEYS, "inner")
     else:
-        out = out.join(lines.groupBy(*KEYS).agg(*medians, *extra_object_aggs), KEYS, "inner")
-    names = [agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs]
-    rest = [c for c in out.columns if c not in KEYS and c not in names]
-    return out.select(*KEYS, *names, *rest)
+        limit = 0 if median_method == "rank" else buffer_lines
+        out = out.join(_exact_medians(lines, medians, limit), KEYS, "left")
+    return out.select(*KEYS, *[agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs])
 
 
 def item_details_agg():
@@ -142,6 +147,35 @@ def item_details(sales: DataFrame) -> DataFrame:
     return valid_lines(sales).groupBy(*KEYS).agg(item_details_agg())
 
 
+def line_columns(sales: DataFrame) -> list[str]:
+    """The columns of the lines that the store-day table is made from."""
+    wanted = [*KEYS, *STORE_ATTRIBUTES, *ITEM_DETAIL_FIELDS, *[c for c, _ in STORE_DAY_AGGS]]
+    return [c for c in sales.columns if c in wanted]
+
+
+def prepared_lines(sales: DataFrame) -> DataFrame:
+    """Valid lines with the needed columns, written once: the aggregates
+    that follow scan that table instead of repeating the source's joins."""
+    from ..session import cut_lineage
+    return cut_lineage(valid_lines(sales).select(*line_columns(sales)))
+
+
+def store_attributes(sales: DataFrame) -> DataFrame:
+    """One row per store with the first non-NULL value of each attribute
+    by date (of values first seen on one day, the smallest).  Lines shrink
+    to one row per distinct combination in a code-generated hash aggregate;
+    only those few rows reach the ``min_by`` per attribute."""
+    seen = (valid_lines(sales).groupBy("store", *STORE_ATTRIBUTES).agg(F.min("date").alias("_since")))
+    return seen.groupBy("store").agg(*[first_non_null(c, "_since").alias(c) for c in STORE_ATTRIBUTES])
+
+
+def store_day_some(sales: DataFrame, names: list[str]) -> DataFrame:
+    """Only the named store-day aggregates (no medians): for queries that
+    read a few columns of the store-day table."""
+    pairs = [(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs if agg_name(c, a) in names and a != "median"]
+    return valid_lines(sales).groupBy(*KEYS).agg(*[AGG_FUNCS[a](c).alias(agg_name(c, a)) for c, a in pairs])
+
+
 def store_day(sales: DataFrame, *, exact_median: bool = True,
               with_item_details: bool = True, fill_medians: bool = True,
               materialize: bool = False, median_method: str = "rank") -> DataFrame:
@@ -154,20 +188,13 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
     table is checkpointed before the fill, so the median subquery reads the
     checkpoint instead of re-running the aggregation.
     """
-    # Per-day first attribute values and the item records travel with the
-    # moments aggregate: one shuffle of the lines for all of them.
-    extra = [first_non_null(c, "invoice_line_no").alias(f"_first_{c}") for c in STORE_ATTRIBUTES]
-    extra_obj = [item_details_agg()] if with_item_details else []
-    sd = store_day_aggregates(sales, exact_median=exact_median, extra_aggs=extra,
-                              extra_object_aggs=extra_obj, median_method=median_method)
-
-    w_store = Window.partitionBy("store")
-    attrs = [F.min_by(F.col(f"_first_{c}"),
-                      F.when(F.col(f"_first_{c}").isNotNull(), F.col("date"))).over(w_store).alias(c)
-             for c in STORE_ATTRIBUTES]
+    sd = store_day_aggregates(sales, exact_median=exact_median, median_method=median_method)
+    sd = sd.join(store_attributes(sales), "store")
+    if with_item_details:
+        sd = sd.join(item_details(sales), KEYS, "left")
     agg_cols = [agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs]
     extra = ["item_details"] if with_item_details else []
-    sd = sd.select(*KEYS, *attrs, *extra, *agg_cols)
+    sd = sd.select(*KEYS, *STORE_ATTRIBUTES, *extra, *agg_cols)
     sd = sd.withColumns({
         "lon": geo_lon("store_location"),
         "lat": geo_lat("store_location"),

@@ -24,10 +24,11 @@ def baseline_predictions(windows: DataFrame, key=("store", "itemno"), target: st
     hist = F.transform("x", lambda r: r.getField(target))
     w = windows.select(*keys, "i", "y", hist.alias("_h"))
     w = w.withColumn("_m", F.aggregate("_h", F.lit(0.0), lambda s, v: s + v) / F.size("_h"))
-    rows = w.select(*keys, "i", "_h", "_m", F.posexplode("y").alias("step", "y"))
-    n_h = F.size("_h")
+    rows = w.select(*keys, "i", "_h", "_m", F.size("y").alias("_n"), F.posexplode("y").alias("step", "y"))
+    # The last len(y) inputs, or all of them over and over if there are fewer.
+    n_h, last = F.size("_h"), F.least(F.size("_h"), F.col("_n"))
     naive = rows.select(F.lit("seasonal_naive").alias("model"), *keys, "i", "step", "y",
-                        F.element_at("_h", (n_h - F.lit(30) + F.col("step") + 1).cast("int")).alias("y_hat"))
+                        F.element_at("_h", (n_h - last + F.pmod("step", last) + 1).cast("int")).alias("y_hat"))
     mavg = rows.select(F.lit("moving_average").alias("model"), *keys, "i", "step", "y",
                        F.col("_m").alias("y_hat"))
     return naive.unionByName(mavg)

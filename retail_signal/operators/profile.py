@@ -225,26 +225,19 @@ def volume_class(df: DataFrame, column: str = "bottle_volume_ml", limit: int = 2
 
 
 def decompose(df: DataFrame, key: str, order: str, value: str, period: int = 7) -> DataFrame:
-    """Additive decomposition per series.  Trend: centred moving
-    average over ``period`` rows (2×period for an even period), NULL where
-    the window is incomplete; seasonal: mean detrended value per position
-    modulo the period, centred to mean 0; residual: the rest."""
-    w = Window.partitionBy(key).orderBy(order)
-    out = df.withColumn("_i", F.row_number().over(w) - 1)
+    """Additive decomposition of daily series with gaps.  Everything
+    goes by the calendar: the trend is the mean of the days present within
+    half a ``period`` on either side; the seasonal part is the mean of what
+    is left per day position (day number modulo the period, the weekday for
+    7), centred to mean 0 over the positions present; the residual is the
+    rest."""
+    day = F.unix_date(order)
     h = period // 2
-    if period % 2:
-        fr = w.rowsBetween(-h, h)
-        trend = F.when(F.count(F.col(value)).over(fr) == period, F.avg(F.col(value)).over(fr))
-    else:
-        # 2×m moving average: half weight on the two ends.
-        fr = w.rowsBetween(-h, h)
-        s = F.sum(F.col(value)).over(fr)
-        ends = F.lag(F.col(value), h).over(w) + F.lead(F.col(value), h).over(w)
-        trend = F.when(F.count(F.col(value)).over(fr) == period + 1,
-                       (s - ends / 2) / F.lit(float(period)))
-    out = out.withColumn("trend", trend).withColumn("_pos", F.col("_i") % period)
-    pos_mean = (out.groupBy(key, "_pos").agg(F.avg(F.col(value) - F.col("trend")).alias("_pm")))
+    around = Window.partitionBy(key).orderBy("_day").rangeBetween(-h, h)
+    out = (df.withColumn("_day", day).withColumn("trend", F.avg(F.col(value)).over(around))
+             .withColumn("_pos", F.pmod("_day", F.lit(period))))
+    pos_mean = out.groupBy(key, "_pos").agg(F.avg(F.col(value) - F.col("trend")).alias("_pm"))
     pos_mean = pos_mean.withColumn("seasonal", F.col("_pm") - F.avg("_pm").over(Window.partitionBy(key)))
     out = out.join(pos_mean.select(key, "_pos", "seasonal"), [key, "_pos"], "left")
     return (out.withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal"))
-               .drop("_i", "_pos"))
+               .drop("_day", "_pos"))

@@ -1,4 +1,4 @@
-"""Exact global quantiles without a single-task merge.
+"""Exact quantiles without a single-task merge.
 
 ``percentile`` over a whole column merges a value→count map of every
 distinct value in one final task, which does not survive a column with
@@ -10,25 +10,24 @@ billions of distinct values.  Here the quantile is found by narrowing:
    rows still inside each target's interval (rank error ≤ rows / accuracy),
    and a second verifies them with exact counts — a bracket that does not
    hold keeps the previous bound, so the interval always holds the rank;
-3. a target is resolved when its interval holds one distinct value, when
-   the upper bound itself is the value at that rank (a tie block), or when
-   few enough rows remain that their value counts (bounded by
-   ``max_candidates``) finish the job on the driver.
+3. a target is resolved when a bracket's bound itself is the value at that
+   rank.  Below about ``accuracy`` rows the brackets are exact, so the last
+   round resolves whatever is left; a round that narrows no interval halves
+   it by value instead, so the search ends on any data.
 
 Every pass is a global aggregate with one output row, so the work is spread
-over all tasks; each round shrinks an interval by about accuracy / 4.
+over all tasks and nothing but those rows reaches the driver; each round
+shrinks an interval by about accuracy / 4.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-MAX_CANDIDATES = 200_000
-MAX_ROUNDS = 12
 
 
 def _in(col, lo, hi):
@@ -41,78 +40,65 @@ def _in(col, lo, hi):
     return cond
 
 
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *,
-                    accuracy: int = ACCURACY, max_candidates: int = MAX_CANDIDATES) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: int = ACCURACY) -> dict[str, list]:
     """``{column: [p, ...]}`` → ``{column: [quantile, ...]}`` (NULL and NaN
     ignored; an empty column gives None)."""
     cols = list(spec)
     base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
                        for c in cols])
-    counts = base.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+    first = base.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                       for c in cols]).first()
+    counts = {c: first[c].n for c in cols}
 
     # target = (column, rank); state = [lo (exclusive), hi (inclusive), rows ≤ lo, rows in interval]
     state: dict[tuple[str, int], list] = {}
+    value: dict[tuple[str, int], float] = {}
     for c in cols:
-        n = counts[c]
-        if n == 0:
-            continue
-        for p in spec[c]:
-            pos = p * (n - 1)
+        for p in spec[c] if counts[c] else ():
+            pos = p * (counts[c] - 1)
             for r in {math.floor(pos), math.ceil(pos)}:
-                state[(c, r)] = [None, None, 0, n]
-    value: dict[tuple[str, int], float] = {}
+                state[(c, r)] = [None, first[c].hi, 0, counts[c]]
 
-    for _ in range(MAX_ROUNDS):
-        open_t = [t for t in state if t not in value]
-        if not open_t:
-            break
-        small = [t for t in open_t if state[t][3] <= max_candidates]
-        big = [t for t in open_t if state[t][3] > max_candidates]
-        if small:
-            _finish(base, small, state, value)
-        if not big:
-            continue
+    halve = False
+    while open_t := [t for t in state if t not in value]:
         # (a) approximate brackets inside each interval
-        eps = 2.0 / accuracy
-        aggs = []
-        for i, (c, r) in enumerate(big):
-            lo, hi, below, cnt = state[(c, r)]
-            rel = (r - below) / max(cnt - 1, 1)
-            qa, qb = max(0.0, rel - eps), min(1.0, rel + eps)
-            aggs.append(F.percentile_approx(F.when(_in(c, lo, hi), F.col(c)),
-                                            [qa, qb], accuracy).alias(f"t{i}"))
-        br = base.agg(*aggs).first()
+        if halve:
+            found = []
+            for c, r in open_t:
+                lo, hi = state[(c, r)][:2]
+                low = first[c].lo if lo is None else lo
+                found.append((low + (hi - low) / 2, hi))
+        else:
+            eps = 2.0 / accuracy
+            aggs = []
+            for i, (c, r) in enumerate(open_t):
+                lo, hi, below, cnt = state[(c, r)]
+                rel = (r - below) / max(cnt - 1, 1)
+                aggs.append(F.percentile_approx(F.when(_in(c, lo, hi), F.col(c)),
+                                                [max(0.0, rel - eps), min(1.0, rel + eps)], accuracy).alias(f"t{i}"))
+            found = base.agg(*aggs).first()
         # (b) exact counts for the candidate bounds
         aggs = []
-        for i, (c, r) in enumerate(big):
-            a, b = br[f"t{i}"]
-            lo, hi = state[(c, r)][:2]
-            aggs += [F.count_if(F.col(c) <= F.lit(a)).alias(f"le_a{i}"),
-                     F.count_if(F.col(c) <= F.lit(b)).alias(f"le_b{i}"),
-                     F.count_if(F.col(c) < F.lit(b)).alias(f"lt_b{i}")]
-        cr = base.agg(*aggs).first()
-        for i, (c, r) in enumerate(big):
-            a, b = br[f"t{i}"]
-            st = state[(c, r)]
-            lo, hi, below = st[0], st[1], st[2]
-            le_a, le_b, lt_b = cr[f"le_a{i}"], cr[f"le_b{i}"], cr[f"lt_b{i}"]
-            if le_b >= r + 1 and lt_b <= r:      # b is exactly the value at rank r
-                value[(c, r)] = float(b)
-                continue
-            if le_a <= r and (lo is None or a > lo):
-                lo, below = float(a), le_a
-            if le_b >= r + 1 and (hi is None or b < hi):
-                hi, le_hi = float(b), le_b
-            else:
-                le_hi = None
-            st[0], st[1], st[2] = lo, hi, below
-            if le_hi is not None:
-                st[3] = le_hi - below
-            else:
-                st[3] = base.where(_in(c, lo, hi)).count()
-    open_t = [t for t in state if t not in value]
-    if open_t:  # ran out of rounds: finish with whatever is left (bounded by the shrinking)
-        _finish(base, open_t, state, value)
+        for (c, _), (a, b) in zip(open_t, found):
+            for x in (a, b):
+                aggs.append(F.struct(F.count_if(F.col(c) <= F.lit(x)).alias("le"),
+                                     F.count_if(F.col(c) < F.lit(x)).alias("lt")))
+        exact = base.agg(*[x.alias(f"c{i}") for i, x in enumerate(aggs)]).first()
+        moved = False
+        for i, t in enumerate(open_t):
+            st, r = state[t], t[1]
+            for x, at in zip(found[i], exact[2 * i:2 * i + 2]):
+                if at.lt <= r < at.le:  # x is the value at rank r
+                    value[t] = float(x)
+                elif at.le <= r and (st[0] is None or x > st[0]):
+                    st[3] -= at.le - st[2]
+                    st[0], st[2], moved = float(x), at.le, True
+                elif at.lt > r and x < st[1]:
+                    # The greatest value below x is not known: the interval
+                    # ends at x, which is above the rank.
+                    st[1], st[3], moved = float(x), at.le - st[2], True
+            moved = moved or t in value
+        halve = not moved
 
     out = {}
     for c in cols:
@@ -130,28 +116,33 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *,
     return out
 
 
-def _finish(base: DataFrame, targets, state, value) -> None:
-    """Value counts of the rows inside each target's interval (bounded by
-    ``max_candidates`` rows per target) → the value at the exact rank."""
-    # One scan: each row emits (target, value) for the intervals it falls
-    # in, then a partial-aggregated count per (target, value).
-    hits = F.array(*[F.when(_in(c, *state[(c, r)][:2]),
-                            F.struct(F.lit(i).alias("t"), F.col(c).alias("v")))
-                     for i, (c, r) in enumerate(targets)])
-    u = (base.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-             .groupBy("h.t", "h.v").count())
-    rows: dict[int, list] = {}
-    for row in u.collect():
-        rows.setdefault(row["t"], []).append((row["v"], row["count"]))
-    for i, (c, r) in enumerate(targets):
-        below = state[(c, r)][2]
-        k = r - below
-        acc = 0
-        for v, cnt in sorted(rows.get(i, [])):
-            acc += cnt
-            if acc > k:
-                value[(c, r)] = float(v)
-                break
+def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float]) -> list[float | None]:
+    """Quantiles of ``value`` with each row counted ``weight`` (a whole
+    number) times, linear interpolation.  Rows are range-partitioned and
+    sorted by value; running weights add a partition's offset (one row per
+    partition) to a window inside the partition, so no task holds all."""
+    from ..session import cut_lineage
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(
+        F.col(value).cast("double").alias("_v"), F.col(weight).cast("long").alias("_w"))
+    # Range bounds are sampled per evaluation, so the dealt rows are written.
+    dealt = cut_lineage(rows.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("_w").alias("_s"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    total = sums.agg(F.sum("_s")).first()[0]
+    if not total:
+        return [None] * len(probs)
+    run = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(F.broadcast(offsets), "_part").select("_v", "_w", (F.col("_o") + F.sum("_w").over(run)).alias("_hi"))
+    ranks = sorted({r for p in probs for r in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))})
+    at = ranked.agg(*[F.max(F.when((F.col("_hi") - F.col("_w") <= r) & (F.col("_hi") > r), F.col("_v"))).alias(f"r{r}")
+                      for r in ranks]).first()
+    out = []
+    for p in probs:
+        pos = p * (total - 1)
+        low, high = at[f"r{math.floor(pos)}"], at[f"r{math.ceil(pos)}"]
+        out.append(low + (high - low) * (pos - math.floor(pos)))
+    return out
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -163,7 +154,6 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     values at ranks floor / ceil of p·(n − 1) are picked by a grouped
     aggregate.  Returns one row per group with ``n`` and one column per
     quantile."""
-    from pyspark.sql import Window
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     x = F.col(value).cast("double")
     vc = (df.where(x.isNotNull()).groupBy(*keys, x.alias("_v"))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import domains as dm
-from ..operators.aggregate import store_day
+from ..operators.aggregate import store_day_some
 from ..operators.temporal import temporal_features
+from ..session import cut_lineage
 from .q_temporal import DAILY_SQL, TEMPORAL_SQL, daily_totals
 from .registry import register, sales, with_ctes
 from .sqlgen import store_day_cte
@@ -17,7 +18,8 @@ SHIFT_FEATURES = ["sale_dollars", "transaction_count", "unique_items"]
 
 
 def _sd(spark, sf_dir):
-    return store_day(sales(spark, sf_dir), materialize=True)
+    """The few store-day columns that the domain measures read."""
+    return cut_lineage(store_day_some(sales(spark, sf_dir), [*SHIFT_FEATURES, "bottle_volume_ml_mean"]))
 
 
 def _tf(spark, sf_dir):

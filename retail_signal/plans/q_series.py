@@ -222,18 +222,16 @@ def l04_forecast_examples(spark, sf_dir):
 
 
 @register("m11_decomposition", sql=with_ctes(DAILY_SQL, """dd AS (
-  SELECT store, date, sale_dollars,
-    CAST(ROW_NUMBER() OVER (PARTITION BY store ORDER BY date) - 1 AS INTEGER) AS i,
-    CASE WHEN COUNT(sale_dollars) OVER (PARTITION BY store ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7
-         THEN AVG(sale_dollars) OVER (PARTITION BY store ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS trend
-  FROM daily)""", """pm AS (SELECT store, i % 7 AS pos, AVG(sale_dollars - trend) AS pmv FROM dd GROUP BY 1, 2)""",
+  SELECT store, date, sale_dollars, weekday(date) AS pos, AVG(sale_dollars) OVER (
+    PARTITION BY store ORDER BY date RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND INTERVAL 3 DAYS FOLLOWING) AS trend
+  FROM daily)""", """pm AS (SELECT store, pos, AVG(sale_dollars - trend) AS pmv FROM dd GROUP BY 1, 2)""",
     """ps AS (SELECT store, pos, pmv - AVG(pmv) OVER (PARTITION BY store) AS seasonal FROM pm)""")
     + """SELECT dd.store, dd.date, ROUND(dd.sale_dollars, 9) AS sale_dollars, ROUND(dd.trend, 9) AS trend,
   ROUND(ps.seasonal, 9) AS seasonal, ROUND(dd.sale_dollars - dd.trend - ps.seasonal, 9) AS resid
-FROM dd LEFT JOIN ps ON ps.store = dd.store AND ps.pos = dd.i % 7""")
+FROM dd JOIN ps ON ps.store = dd.store AND ps.pos = dd.pos""")
 def m11_decomposition(spark, sf_dir):
     """Additive trend / weekly seasonal / residual split of each store's
-    daily series (centred 7-row moving average)."""
+    daily series (means over seven calendar days, weekday seasons)."""
     return decompose(daily_totals(spark, sf_dir), "store", "date", "sale_dollars", 7)
 
 

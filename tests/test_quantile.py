@@ -21,12 +21,28 @@ def test_exact_quantiles_match_numpy(spark, kind):
         x = np.array([1.0, 2.0, 3.0, 4.0])
     rows = [(float(v), float(v) * 2 if i % 7 else None) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "a double, b double").repartition(8)
-    got = exact_quantiles(df, {"a": PROBS, "b": [0.5]}, accuracy=100, max_candidates=50)
+    got = exact_quantiles(df, {"a": PROBS, "b": [0.5]}, accuracy=100)
     np.testing.assert_allclose(got["a"], np.quantile(x, PROBS), rtol=1e-12, atol=1e-9)
     b = np.array([r[1] for r in rows if r[1] is not None])
     np.testing.assert_allclose(got["b"], [np.quantile(b, 0.5)], rtol=1e-12)
 
 
+@pytest.mark.parametrize("x", [[1.0] * 500 + [2.0] * 500, [1e300, -1e300] * 50, list(range(3000)), [0.1] * 999 + [0.1 + 1e-15]])
+def test_any_data_ends_without_candidates_on_the_driver(spark, x):
+    df = spark.createDataFrame([(float(v),) for v in x], "a double").repartition(4)
+    got = exact_quantiles(df, {"a": [0.0, 0.5, 0.77, 1.0]}, accuracy=3)["a"]
+    np.testing.assert_allclose(got, np.quantile(np.array(x, float), [0.0, 0.5, 0.77, 1.0]), rtol=1e-12)
+
+
+def test_weighted_quantiles_match_repeated_rows(spark):
+    from retail_signal.operators.quantile import weighted_quantiles
+    rng = np.random.default_rng(5)
+    v, w = rng.integers(0, 40, 300).astype(float), rng.integers(0, 9, 300)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, w)] + [(None, 3)], "v double, w long").repartition(6)
+    np.testing.assert_allclose(weighted_quantiles(df, "v", "w", PROBS), np.quantile(np.repeat(v, w), PROBS), rtol=1e-12)
+    assert weighted_quantiles(df.limit(0), "v", "w", [0.5]) == [None]
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "a double")
     assert exact_quantiles(df, {"a": [0.5]}) == {"a": [None]}
