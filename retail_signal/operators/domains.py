@@ -130,12 +130,21 @@ def fuse_predictions(preds: DataFrame, weights: DataFrame, keys: list[str],
                      domain_col: str = "domain") -> DataFrame:
     """M8: similarity-weighted average of per-domain predictions per key.
     ``weights`` has one row per domain (bounded by the domain count)."""
-    j = preds.join(F.broadcast(weights), domain_col)
+    j = preds.join(weights, domain_col)
     return j.groupBy(*keys).agg(
         (F.sum(F.col("y_hat") * F.col("weight")) / F.sum("weight")).alias("y_hat_fused"),
         F.count(F.lit(1)).alias("n_domains"))
 
 
+def fuse_columns(df: DataFrame, predictions: dict[str, float], out: str = "y_hat_fused") -> DataFrame:
+    """M8 for predictions that are columns of one row: weighted by
+    arithmetic, without a union or a shuffle.  A missing prediction adds
+    nothing to the sum but its weight still counts, as in the long form."""
+    total = sum((F.coalesce(F.col(c) * F.lit(w), F.lit(0.0)) for c, w in predictions.items()), F.lit(0.0))
+    any_set = F.coalesce(*[F.col(c) for c in predictions]).isNotNull()
+    return df.withColumn(out, F.when(any_set, total / F.lit(float(sum(predictions.values())))))
+
+
 def early_warning(df: DataFrame, predicted: str, actual: str, group: str | None = None) -> DataFrame:
     """M9: confusion counts of a decline flag against the realised decline;
     accuracy, precision, recall and false-alarm rate."""

@@ -13,11 +13,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import cut_lineage
 from .clean import null_report  # noqa: F401  (D20 lives with the cleaning code)
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
+#: Rows of a group table up to which it is broadcast to the rows of its groups.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(df: DataFrame, groups: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a written table of one row per group to rows of its groups: by
+    broadcast if it counts at most ``limit`` rows, so that few hot keys do
+    not gather all rows in few tasks; else by a plain join, where the keys
+    are many and adaptive execution splits hot ones.  Same result."""
+    small = groups.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(groups) if small else groups, key, how)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """B2: the numeric columns (``select_dtypes(include=number)``)."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
@@ -59,8 +73,9 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     Long form with both orders and the diagonal.  Pairs are evaluated in
     chunks of ``chunk`` ``corr`` expressions per aggregate: a wider aggregate
     generates methods too large for the JIT and runs ~3× slower than the
-    extra (column-pruned) passes cost."""
+    extra passes cost; they read a written table of these columns."""
     cols = columns or numeric_columns(df)
+    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     pairs = list(combinations_with_replacement(cols, 2))
     parts = []
     for i in range(0, len(pairs), chunk):
@@ -72,9 +87,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    mirrored = long.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "value")
-    return long.unionByName(mirrored)
+    return _both_orders(long, "value")
 
 
 def target_correlations(df: DataFrame, target: str, columns: list[str] | None = None,
@@ -120,19 +133,23 @@ def cramers_v_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ct = (df.select(F.explode(recs).alias("r")).select("r.*")
             .where(F.col("a").isNotNull() & F.col("b").isNotNull())
             .groupBy("col_a", "col_b", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    # Marginals are grouped sums joined back: no task holds a whole table.
+    ct = cut_lineage(ct)
     pair = ["col_a", "col_b"]
-    wp = Window.partitionBy(*pair)
-    cells = ct.withColumns({"R": F.sum("n").over(Window.partitionBy(*pair, "a")),
-                            "C": F.sum("n").over(Window.partitionBy(*pair, "b")),
-                            "a1": F.min("a").over(wp), "b1": F.min("b").over(wp)})
-    first_a, first_b = F.col("a") == F.col("a1"), F.col("b") == F.col("b1")
-    stats = cells.groupBy(*pair).agg(
+    rows = ct.groupBy(*pair, "a").agg(F.sum("n").alias("R"))
+    columns = ct.groupBy(*pair, "b").agg(F.sum("n").alias("C"))
+    levels = (rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("r"), F.min_by(F.struct("a", "R"), "a").alias("x"))
+              .join(columns.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("b", "C"), "b").alias("y")), pair))
+    levels = levels.select(*pair, "r", "c", F.col("x.a").alias("a1"), F.col("x.R").cast("double").alias("r1"),
+                           F.col("y.b").alias("b1"), F.col("y.C").cast("double").alias("c1"))
+    sums = (ct.join(rows, [*pair, "a"]).join(columns, [*pair, "b"]).groupBy(*pair).agg(
         F.sum("n").cast("double").alias("n_total"),
-        F.sum(F.col("n").cast("double") * F.col("n") / (F.col("R").cast("double") * F.col("C"))).alias("s"),
-        F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
-        F.coalesce(F.sum(F.when(first_a & first_b, F.col("n"))), F.lit(0)).cast("double").alias("o11"),
-        F.max(F.when(first_a, F.col("R"))).cast("double").alias("r1"),
-        F.max(F.when(first_b, F.col("C"))).cast("double").alias("c1"))
+        F.sum(F.col("n").cast("double") * F.col("n") / (F.col("R").cast("double") * F.col("C"))).alias("s")))
+    corner = ct.select(F.col("col_a").alias("_a"), F.col("col_b").alias("_b"), "a", "b", F.col("n").alias("o11"))
+    stats = (sums.join(levels, pair)
+             .join(corner, (F.col("col_a") == F.col("_a")) & (F.col("col_b") == F.col("_b"))
+                   & (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left")
+             .withColumn("o11", F.coalesce("o11", F.lit(0)).cast("double")))
     nt, r1, c1 = F.col("n_total"), F.col("r1"), F.col("c1")
     yates = (F.pow(F.greatest(F.abs(F.col("o11") - r1 * c1 / nt) - F.lit(0.5), F.lit(0.0)), 2)
              * nt * (F.lit(1.0) / r1 + F.lit(1.0) / (nt - r1)) * (F.lit(1.0) / c1 + F.lit(1.0) / (nt - c1)))
@@ -155,10 +172,16 @@ def cramers_v_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Symmetric matrix (long form) over a column list; the upper
     triangle and the diagonal come from one scan, the lower is mirrored."""
     long = cramers_v_pairs(df, list(combinations_with_replacement(columns, 2)))
-    long = long.select("col_a", "col_b", "cramers_v")
-    mirrored = long.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "cramers_v")
-    return long.unionByName(mirrored)
+    return _both_orders(long, "cramers_v")
+
+
+def _both_orders(long: DataFrame, value: str) -> DataFrame:
+    """(col_a, col_b) and, off the diagonal, (col_b, col_a) of every row."""
+    one = F.struct(F.col("col_a"), F.col("col_b"))
+    two = F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"))
+    return (long.select(value, F.explode(F.when(F.col("col_a") == F.col("col_b"), F.array(one))
+                                         .otherwise(F.array(one, two))).alias("p"))
+            .select("p.col_a", "p.col_b", value))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -188,7 +211,8 @@ def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5) ->
     q = grouped_quantiles(df, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumns({"lo_fence": F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1")),
                        "hi_fence": F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))})
-    j = df.where(x.isNotNull()).select(group, x.alias("_v")).join(q.select(group, "lo_fence", "hi_fence"), group)
+    q = cut_lineage(q)
+    j = join_small(df.where(x.isNotNull()).select(group, x.alias("_v")), q.select(group, "lo_fence", "hi_fence"), group, "inner")
     inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     w = j.groupBy(group).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
@@ -207,12 +231,11 @@ def bucket_small_categories(df: DataFrame, column: str = "category_name",
                             value: str = "sale_dollars", min_share: float = 0.01,
                             other: str = "Other") -> DataFrame:
     """Categories below ``min_share`` of the total become ``other``.
-    The per-category shares are a grouped aggregate joined back (AQE picks
-    broadcast when the category table is small)."""
+    The per-category shares are a grouped aggregate joined back."""
     totals = df.groupBy(column).agg(F.sum(value).alias("_cat_total"))
     grand = df.select(F.sum(value)).scalar()
     share = totals.withColumn("_share", F.try_divide(F.col("_cat_total"), grand))
-    out = df.join(share.select(column, "_share"), column, "left")
+    out = join_small(df, cut_lineage(share.select(column, "_share")), column)
     return out.withColumn(f"{column}_grouped",
                           F.when(F.col("_share") < min_share, F.lit(other)).otherwise(F.col(column))
                           ).drop("_share")

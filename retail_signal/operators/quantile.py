@@ -27,6 +27,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ACCURACY = 10_000
 
 
@@ -44,8 +46,9 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: in
     """``{column: [p, ...]}`` → ``{column: [quantile, ...]}`` (NULL and NaN
     ignored; an empty column gives None)."""
     cols = list(spec)
-    base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-                       for c in cols])
+    # Written once: every pass reads these columns, not the plan behind them.
+    base = cut_lineage(df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                                   for c in cols]))
     first = base.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
                        for c in cols]).first()
     counts = {c: first[c].n for c in cols}
@@ -121,7 +124,6 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float
     number) times, linear interpolation.  Rows are range-partitioned and
     sorted by value; running weights add a partition's offset (one row per
     partition) to a window inside the partition, so no task holds all."""
-    from ..session import cut_lineage
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(
         F.col(value).cast("double").alias("_v"), F.col(weight).cast("long").alias("_w"))
     # Range bounds are sampled per evaluation, so the dealt rows are written.
@@ -148,19 +150,28 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                       names: list[str] | None = None) -> DataFrame:
     """Exact per-group quantiles (linear interpolation) that hold no group
-    in memory: (group, value) counts are pre-aggregated map-side (a hot
-    group is spread over tasks by value), then each group's distinct values
-    are ranked with a running sum in a sorted, spillable window, and the
-    values at ranks floor / ceil of p·(n − 1) are picked by a grouped
-    aggregate.  Returns one row per group with ``n`` and one column per
-    quantile."""
+    in one task: (group, value) counts are pre-aggregated map-side, the
+    distinct values are dealt by ranges of (group, value), and a group that
+    spans partitions gets its ranks from running sums inside each and one
+    row per (partition, group) for what comes before; the values at ranks
+    floor / ceil of p·(n − 1) are picked by a grouped aggregate.  Returns one
+    row per group with ``n`` and one column per quantile."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     x = F.col(value).cast("double")
     vc = (df.where(x.isNotNull()).groupBy(*keys, x.alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*keys).orderBy("_v")
-    vc = vc.withColumns({"_hi": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                         "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    vc = cut_lineage(vc.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = vc.groupBy("_part", *keys).agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"),
+                       F.sum("_s").over(group).alias("_n"))
+    run = Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("v._part") == F.col("s._part")
+    for k in keys:
+        same = same & F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}"))
+    vc = (vc.withColumn("_run", F.sum("_c").over(run)).alias("v").join(sums.alias("s"), same)
+          .select(*[F.col(f"v.{k}").alias(k) for k in keys], "_v", "_c", "_n", (F.col("_o") + F.col("_run")).alias("_hi")))
     lo, hi = F.col("_hi") - F.col("_c"), F.col("_hi")   # ranks [lo, hi) hold value _v
     aggs = [F.max("_n").alias("n")]
     for p, name in zip(probs, names):

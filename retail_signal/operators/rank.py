@@ -39,3 +39,17 @@ def global_index(df: DataFrame, keys: list[Column], name: str = "row_index") ->
     return (local.join(F.broadcast(offsets), "_part")
                  .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
                  .drop("_part", "_local", "_offset"))
+
+
+def global_offsets(df: DataFrame, keys: list[str], value: str, name: str = "offset") -> DataFrame:
+    """Add the sum of ``value`` over all rows before a row in the order of
+    ``keys``: range partitions, running sums inside them, and one row per
+    partition for what comes before it."""
+    dealt = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .join(F.broadcast(base), "_part")  # one row per partition
+            .withColumn(name, (F.col("_base") + F.col("_run")).cast("long")).drop("_part", "_run", "_base"))

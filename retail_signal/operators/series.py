@@ -8,11 +8,13 @@ raw lines); a series has at most one row per calendar day.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day_of_week, is_weekend
-from .rank import global_index
+from .rank import global_offsets
 
 # Fixed values of the row-feature notebook.
 ROW_LAGS = [1, 7, 14, 30]
@@ -140,10 +142,16 @@ def supervised_windows(df: DataFrame, key=("store", "itemno"), order: str = "dat
 
 def chronological_split(samples: DataFrame, key=("store", "itemno"), fraction: float = TRAIN_FRACTION) -> DataFrame:
     """Sample positions in (series, i) order; the first
-    floor(fraction·total) samples are 'train', the rest 'validation'."""
+    floor(fraction·total) samples are 'train', the rest 'validation'.
+
+    A position is the offset of the series (from one row per series) plus
+    the rank within it, so the samples' arrays are neither sorted globally
+    nor written: they stay where the series' windows left them."""
     keys = _keys(key)
-    idx = global_index(samples, [F.col(k).asc() for k in keys] + [F.col("i").asc()], "sample_index")
-    total = idx.select(F.count(F.lit(1))).scalar()  # counts the materialised index
-    cut = F.floor(total * F.lit(fraction))
-    return idx.withColumn("split", F.when(F.col("sample_index") < cut, F.lit("train"))
-                                     .otherwise(F.lit("validation")))
+    sizes = global_offsets(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", "_offset")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    cut = math.floor(total * fraction)
+    w = Window.partitionBy(*keys).orderBy("i")
+    out = samples.withColumn("_rank", F.row_number().over(w) - 1).join(sizes.drop("_n"), keys)
+    out = out.withColumn("sample_index", F.col("_offset") + F.col("_rank")).drop("_offset", "_rank")
+    return out.withColumn("split", F.when(F.col("sample_index") < cut, F.lit("train")).otherwise(F.lit("validation")))

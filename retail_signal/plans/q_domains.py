@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import domains as dm
-from ..operators.aggregate import store_day_some
+from ..operators.aggregate import store_attributes, store_day_some
 from ..operators.temporal import temporal_features
 from ..session import cut_lineage
 from .q_temporal import DAILY_SQL, TEMPORAL_SQL, daily_totals
@@ -85,13 +85,14 @@ RULES_DUCK = [
 ]
 
 
-def _rules_sql():
+def _rules_sql(level="store", source="temporal", ctes=""):
     parts = []
     for rid, a, c in RULES_DUCK:
         A, C = f"COALESCE({a}, FALSE)", f"COALESCE({c}, FALSE)"
-        parts.append(f"""SELECT store, COUNT(*) AS n_rows, '{rid}' AS rule_id, COUNT(*) FILTER (WHERE {A}) AS n_antecedent,
-  COUNT(*) FILTER (WHERE {A} AND {C}) AS n_both, COUNT(*) FILTER (WHERE {A} AND NOT {C}) AS violations FROM temporal GROUP BY store""")
-    return TEMPORAL_SQL + """SELECT store, n_rows, rule_id, n_antecedent, n_both, violations,
+        parts.append(f"""SELECT {level}, COUNT(*) AS n_rows, '{rid}' AS rule_id, COUNT(*) FILTER (WHERE {A}) AS n_antecedent,
+  COUNT(*) FILTER (WHERE {A} AND {C}) AS n_both, COUNT(*) FILTER (WHERE {A} AND NOT {C}) AS violations FROM {source} GROUP BY {level}""")
+    return TEMPORAL_SQL.rstrip() + ctes + f"""
+SELECT {level}, n_rows, rule_id, n_antecedent, n_both, violations,
   ROUND(CAST(n_antecedent AS DOUBLE) / n_rows, 9) AS support,
   ROUND(CAST(n_both AS DOUBLE) / NULLIF(n_antecedent, 0), 9) AS confidence FROM (""" + " UNION ALL ".join(parts) + ")"
 
@@ -102,6 +103,25 @@ def m05_rule_compliance(spark, sf_dir):
     return dm.rule_compliance(_tf(spark, sf_dir), RULES, "store")
 
 
+@register("m05_rule_compliance_month", sql=_rules_sql(
+    "month", "monthly", """,
+monthly AS (SELECT *, CAST(month(date) AS INTEGER) AS month FROM temporal)"""))
+def m05_rule_compliance_month(spark, sf_dir):
+    """The same rules by calendar month (time level)."""
+    return dm.rule_compliance(_tf(spark, sf_dir).withColumn("month", F.month("date")), RULES, "month")
+
+
+@register("m05_rule_compliance_region", sql=_rules_sql(
+    "county", "regional", """,
+regional AS (SELECT t.*, s.county FROM temporal t JOIN (
+  SELECT store, ARG_MIN(county, date) AS county FROM sales WHERE county IS NOT NULL GROUP BY store) s USING (store))"""))
+def m05_rule_compliance_region(spark, sf_dir):
+    """The same rules by county (region level), the county of each store
+    joined from one row per store."""
+    stores = store_attributes(sales(spark, sf_dir)).select("store", "county")
+    return dm.rule_compliance(_tf(spark, sf_dir).join(stores, "store"), RULES, "county")
+
+
 WEIGHTS = [0.5, 0.3, 0.2]
 
 
@@ -140,7 +160,7 @@ def m07_a_distance(spark, sf_dir):
     return dm.a_distance(d, SHIFT_FEATURES)
 
 
-@register("m08_prediction_fusion", sql=TEMPORAL_SQL.replace("WITH ", "WITH ", 1).rstrip() + """,
+@register("m08_prediction_fusion", sql=TEMPORAL_SQL.rstrip() + """,
 preds AS (
   SELECT store, date, sale_dollars, 'short' AS domain, sale_dollars_rolling_mean_7D AS y_hat FROM temporal
   UNION ALL SELECT store, date, sale_dollars, 'long' AS domain, sale_dollars_rolling_mean_30D AS y_hat FROM temporal),
@@ -151,13 +171,10 @@ def m08_prediction_fusion(spark, sf_dir):
     """Two per-domain predictors (7-day and 30-day means) fused with
     weights 1/(1 + MAE) measured on the data."""
     tf = _tf(spark, sf_dir)
-    preds = (tf.select("store", "date", "sale_dollars", F.lit("short").alias("domain"),
-                       F.col("sale_dollars_rolling_mean_7D").alias("y_hat"))
-             .unionByName(tf.select("store", "date", "sale_dollars", F.lit("long").alias("domain"),
-                                    F.col("sale_dollars_rolling_mean_30D").alias("y_hat"))))
-    weights = preds.groupBy("domain").agg(
-        (F.lit(1.0) / (F.lit(1.0) + F.avg(F.abs(F.col("sale_dollars") - F.col("y_hat"))))).alias("weight"))
-    return dm.fuse_predictions(preds, weights, ["store", "date"])
+    columns = ["sale_dollars_rolling_mean_7D", "sale_dollars_rolling_mean_30D"]
+    errors = tf.agg(*[F.avg(F.abs(F.col("sale_dollars") - F.col(c))).alias(c) for c in columns]).first()
+    fused = dm.fuse_columns(tf, {c: 1.0 / (1.0 + errors[c]) for c in columns})
+    return fused.select("store", "date", "y_hat_fused", F.lit(len(columns)).cast("long").alias("n_domains"))
 
 
 @register("m09_early_warning", sql=TEMPORAL_SQL + """SELECT tp, fp, fn, tn,

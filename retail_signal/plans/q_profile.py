@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as agg
 from ..operators import profile as prof
 from ..operators.clean import null_report
+from ..session import cut_lineage
 from .registry import register, sales, with_ctes
 
 NUMERIC = ["store", "category", "itemno", "pack", "bottle_volume_ml", "state_bottle_cost",
@@ -25,24 +26,45 @@ def R(x):
     return f"ROUND(CAST({x} AS DOUBLE), 9)"
 
 
-@register("d20_null_counts", sql=with_ctes() + " UNION ALL ".join(
-    f"SELECT '{c}' AS column, COUNT(*) - COUNT({c}) AS null_count FROM sales" for c in ALL_COLS))
+# The source has no NULLs, no large bottles and sales on every weekday; these
+# lines do (the same in both engines), so the operators have work to do.
+GAPPY_SQL = """gappy AS (SELECT * REPLACE (
+    CASE WHEN itemno % 7 <> 0 THEN pack END AS pack, CASE WHEN store % 5 <> 0 THEN county END AS county,
+    CASE WHEN itemno % 50 = 0 THEN 3000 ELSE bottle_volume_ml END AS bottle_volume_ml)
+  FROM sales WHERE isodow(date) <> 7)"""
+
+
+def gappy(spark, sf_dir):
+    return sales(spark, sf_dir).where(F.weekday("date") != 6).withColumns({
+        "pack": F.when(F.col("itemno") % 7 != 0, F.col("pack")),
+        "county": F.when(F.col("store") % 5 != 0, F.col("county")),
+        "bottle_volume_ml": F.when(F.col("itemno") % 50 == 0, F.lit(3000)).otherwise(F.col("bottle_volume_ml"))})
+
+
+@register("d20_null_counts", sql=with_ctes(GAPPY_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, COUNT(*) - COUNT({c}) AS null_count FROM gappy" for c in ALL_COLS))
 def d20_null_counts(spark, sf_dir):
     """NULL count of every column (one scan), long form."""
-    s = sales(spark, sf_dir)
-    counts = prof.shape_profile(s)
+    counts = prof.shape_profile(gappy(spark, sf_dir))
     return counts.select("column", (F.col("row_count") - F.col("non_null")).alias("null_count"))
 
 
-@register("b11_columns_with_nulls", sql=with_ctes() + "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column, COUNT(*) - COUNT({c}) AS null_count FROM sales" for c in ALL_COLS)
+@register("b11_columns_with_nulls", sql=with_ctes(GAPPY_SQL) + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, COUNT(*) - COUNT({c}) AS null_count FROM gappy" for c in ALL_COLS)
     + ") WHERE null_count > 0")
 def b11_columns_with_nulls(spark, sf_dir):
     """Only the columns holding NULLs (metadata filter on the report)."""
-    return null_report(sales(spark, sf_dir))
+    return null_report(gappy(spark, sf_dir))
+
+
+_DTYPES = {"date": "date", "store": "bigint", "category": "bigint", "itemno": "bigint", "pack": "int", "bottle_volume_ml": "int",
+           "sale_bottles": "int", **{c: "double" for c in ("state_bottle_cost", "state_bottle_retail", "sale_dollars",
+                                                            "sale_liters", "sale_gallons")}}
 
 
-@register("d22_shape_profile")
+@register("d22_shape_profile", sql=with_ctes() + " UNION ALL ".join(
+    f"SELECT COUNT(*) AS row_count, '{c}' AS column, '{_DTYPES.get(c, 'string')}' AS dtype, COUNT({c}) AS non_null FROM sales"
+    for c in ALL_COLS))
 def d22_shape_profile(spark, sf_dir):
     """Row count, column names, types and non-NULL counts."""
     return prof.shape_profile(sales(spark, sf_dir))
@@ -188,15 +210,15 @@ def d13_monthly_totals(spark, sf_dir):
     return agg.monthly_totals(sales(spark, sf_dir))
 
 
-@register("d14_weekday_totals", sql=with_ctes() + """SELECT d.weekday_pos, d.weekday,
+@register("d14_weekday_totals", sql=with_ctes(GAPPY_SQL) + """SELECT d.weekday_pos, d.weekday,
   ROUND(t.total, 9) AS total_sale_dollars
 FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'),
              (5, 'Saturday'), (6, 'Sunday')) d(weekday_pos, weekday)
-LEFT JOIN (SELECT dayname(date) AS weekday, SUM(sale_dollars) AS total FROM sales GROUP BY 1) t
+LEFT JOIN (SELECT dayname(date) AS weekday, SUM(sale_dollars) AS total FROM gappy GROUP BY 1) t
   ON t.weekday = d.weekday""")
 def d14_weekday_totals(spark, sf_dir):
-    """Sales by weekday name over the fixed Monday…Sunday order."""
-    return agg.weekday_totals(sales(spark, sf_dir))
+    """Sales by weekday name over the fixed Monday…Sunday order (no Sundays)."""
+    return agg.weekday_totals(gappy(spark, sf_dir))
 
 
 def _totals_sql(key):
@@ -268,7 +290,7 @@ def d18_value_counts(spark, sf_dir):
 def f05_top_store_item(spark, sf_dir):
     """Rows of the busiest store's busiest item (top-1 by frequency twice;
     ties → smallest key)."""
-    d = agg.item_day(sales(spark, sf_dir))
+    d = cut_lineage(agg.item_day(sales(spark, sf_dir)))
     top_store = agg.top1_by_frequency(d, "store")
     d = d.join(F.broadcast(top_store), "store", "left_semi")  # one row
     top_item = agg.top1_by_frequency(d, "itemno")
@@ -290,13 +312,13 @@ def g02_distinct_item_records(spark, sf_dir):
     return agg.distinct_values(sales(spark, sf_dir), "store", "date", *agg.ITEM_DETAIL_FIELDS)
 
 
-@register("m10_category_buckets", sql=with_ctes("""ct AS (SELECT category_name, SUM(sale_dollars) AS t FROM sales GROUP BY 1)""",
-    """g AS (SELECT SUM(sale_dollars) AS g FROM sales)""") + """SELECT s.invoice_line_no, s.itemno, s.category_name,
+@register("m10_category_buckets", sql=with_ctes(GAPPY_SQL, """ct AS (SELECT category_name, SUM(sale_dollars) AS t FROM gappy GROUP BY 1)""",
+    """g AS (SELECT SUM(sale_dollars) AS g FROM gappy)""") + """SELECT s.invoice_line_no, s.itemno, s.category_name,
   CASE WHEN ct.t / NULLIF(g.g, 0) < 0.2 THEN 'Other' ELSE s.category_name END AS category_name_grouped,
   CASE WHEN s.bottle_volume_ml > 2000 THEN 'large format' ELSE 'standard' END AS volume_class
-FROM sales s LEFT JOIN ct ON ct.category_name = s.category_name CROSS JOIN g""")
+FROM gappy s LEFT JOIN ct ON ct.category_name = s.category_name CROSS JOIN g""")
 def m10_category_buckets(spark, sf_dir):
     """Low-share categories (< 20 % of sales here) → 'Other'; bottles over
     2000 ml → 'large format'."""
-    s = prof.volume_class(prof.bucket_small_categories(sales(spark, sf_dir), min_share=0.2))
+    s = prof.volume_class(prof.bucket_small_categories(gappy(spark, sf_dir), min_share=0.2))
     return s.select("invoice_line_no", "itemno", "category_name", "category_name_grouped", "volume_class")

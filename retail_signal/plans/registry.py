@@ -59,6 +59,6 @@ def r6(expr: str, alias: str) -> str:
 
 def load_all() -> dict[str, Query]:
     # Importing the modules fills the registry.
-    from . import (q_aggregate, q_columns, q_domains, q_pipeline, q_profile, q_series,  # noqa: F401
-                   q_streams, q_temporal)
+    from . import (q_aggregate, q_columns, q_domains, q_operators, q_pipeline, q_profile,  # noqa: F401
+                   q_series, q_streams, q_temporal)
     return REGISTRY
