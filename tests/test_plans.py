@@ -45,3 +45,56 @@ def test_sorted_sink_orders_files(spark, tmp_path):
     for x, y in zip(files, files[1:]):
         assert tuple(x.hi) <= tuple(y.lo)
     assert back.count() == len(rows)
+
+
+def test_large_store_days_take_the_spill_safe_path_to_the_same_bits(spark):
+    import datetime as dt
+    from retail_signal.operators.aggregate import STORE_DAY_AGGS, store_day_aggregates
+    rng = np.random.default_rng(4)
+    columns = list(dict.fromkeys(c for c, _ in STORE_DAY_AGGS))
+    rows = [(1 if i % 3 else int(rng.integers(2, 6)), dt.date(2021, 1, 1 + i % 2), *[float(x) for x in rng.integers(0, 50, len(columns))])
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "store long, date date, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    plain, mixed, rank = (sorted(map(tuple, store_day_aggregates(df, **kw).select(
+        "store", "date", *[f"{c}_median" for c, a in STORE_DAY_AGGS if "median" in a]).collect()))
+        for kw in ({"median_method": "percentile"}, {"buffer_lines": 50}, {"median_method": "rank"}))
+    assert plain == mixed == rank
+
+
+def test_store_day_reads_the_lines_once(spark):
+    from retail_signal.operators.aggregate import prepared_lines, store_day
+    from retail_signal.plans.registry import sales
+    lines = prepared_lines(sales(spark, "/root/testdata/sf0.001"))
+    plan = store_day(lines, with_item_details=False)._jdf.queryExecution().toString()
+    assert "lineitem" not in plan
+
+
+def test_windows_of_any_horizon_and_split_without_moving_arrays(spark):
+    import datetime as dt
+    from retail_signal.operators import evaluate as ev
+    from retail_signal.operators import series as se
+    rows = [(s, k, dt.date(2021, 1, 1) + dt.timedelta(days=d), float(d % 7 + 1), 1.0, 750.0)
+            for s in (1, 2) for k in (5, 6) for d in range(30 + 10 * s)]
+    df = spark.createDataFrame(rows, "store long, itemno long, date date, sale_bottles double, pack double, bottle_volume_ml double")
+    w = se.supervised_windows(df, seq_len=10, horizon=5)
+    split = se.chronological_split(w).collect()
+    order = sorted(split, key=lambda r: (r.store, r.itemno, r.i))
+    assert [r.sample_index for r in order] == list(range(len(order)))
+    assert sum(r.split == "train" for r in order) == int(len(order) * 0.8)
+    pred = ev.baseline_predictions(w).where("model = 'seasonal_naive'").collect()
+    x = {(r.store, r.itemno, r.i): [v.sale_bottles for v in r.x] for r in w.collect()}
+    assert all(r.y_hat == x[r.store, r.itemno, r.i][5 + r.step] for r in pred) and {r.step for r in pred} == set(range(5))
+    longer = se.supervised_windows(df, seq_len=3, horizon=7)  # repeats the few inputs
+    assert ev.baseline_predictions(longer).where("y_hat is null").count() == 0
+
+
+def test_marginals_and_hot_groups(spark):
+    """One value of a column holds a third of the rows."""
+    from retail_signal.operators.quantile import grouped_quantiles
+    rng = np.random.default_rng(8)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 40}", float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    got = {r.g: (r.n, r.q50) for r in grouped_quantiles(df, ["g"], "x", [0.5]).collect()}
+    for g in {r[0] for r in rows}:
+        values = [x for k, x in rows if k == g]
+        assert got[g][0] == len(values) and np.isclose(got[g][1], np.median(values))
