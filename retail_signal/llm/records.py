@@ -30,19 +30,19 @@ writes no file and an empty index; other columns are not written.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialise, record_batch, scratch, table, texts_of
+from .common import column, map_arrow, materialise, record_batch, scratch, table
 
 MAGIC = b"TOKREC1"
 MASK = 0xA282EAD8
@@ -93,23 +93,47 @@ def store(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+class Memory:
+    """A dictionary of two generations: when the younger reaches ``limit`` it
+    becomes the older, and what is used again moves back to the younger."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def recall(self, keys: list) -> tuple[list, list]:
+        """The values of ``keys`` (different ones), None where not known, and
+        the places of those."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        values = list(map(self.young.get, keys))
+        missing = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            value = values[i] = self.old.get(keys[i])
+            if value is None:
+                missing.append(i)
+            else:
+                self.young[keys[i]] = value
+        return values, missing
+
+
 class WordEncoder:
     """Ids of texts as bytes, by remembered words.
 
     Holds for a pre-tokenizer that drops white space and cuts between letters
-    and other signs.  A word of letters and trailing signs is two pieces,
-    encoded once each whatever the case; any other word is a piece as it is.
-    At most ``limit`` words and pieces are kept; beyond, it starts anew.
+    and other signs, behind a normalizer that lowers case.  A word of letters
+    and trailing signs is two pieces, encoded once each; any other word is
+    encoded as it is.
     """
-    SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=?@_|~-]*)")
+    TAIL = "!\"#$%&()*+,./:;=?@_|~-"
+    #: Latin letters that stay one letter in lower case.
+    LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
 
-    def __init__(self, path: str, dtype: str, limit: int = 400_000, special: bool = True):
+    def __init__(self, path: str, dtype: str, limit: int = 300_000, special: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        self.dtype, self.limit = dtype, limit
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.dtype = np.dtype(dtype)
+        self.words, self.pieces = Memory(limit), Memory(limit)
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -117,40 +141,68 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, found: set[bytes]) -> None:
-        cut = {w: (m[1].lower(), m[2]) if (m := self.SPLIT.fullmatch(s)) else (s,)
-               for w in found for s in (w.decode("utf-8"),)}
-        new = {p for ps in cut.values() for p in ps if p} - self.pieces.keys()
-        odd = [p for p in new if not self.SPLIT.fullmatch(p) and not self.SPLIT.fullmatch("a" + p)]
-        plain = list(new.difference(odd))
-        for i in range(0, len(plain), 1000):
-            # A piece of one kind of sign is one pre-token, whose last id alone
-            # ends a word, so the ids of many pieces part again.
-            part = plain[i:i + 1000]
-            ids = np.array(self._encode([" ".join(part)])[0], self.dtype)
+    def _of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece.  A piece of one kind of sign is one
+        pre-token, whose last id alone ends a word, so the ids of many pieces
+        that are encoded as one text part again."""
+        values, missing = self.pieces.recall(pieces)
+        for i in range(0, len(missing), 1000):
+            at = missing[i:i + 1000]
+            ids = np.array(self._encode([" ".join([pieces[k] for k in at])])[0], self.dtype)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                odd += part
-                continue
-            raw, width, start = ids.tobytes(), ids.itemsize, 0
-            for p, end in zip(part, ends.tolist()):
-                self.pieces[p] = raw[start * width:end * width]
+            if len(ends) != len(at):
+                raise ValueError("the tokenizer does not cut words where this encoder does")
+            raw, start = ids.tobytes(), 0
+            for k, end in zip(at, (ends * ids.itemsize).tolist()):
+                values[k] = self.pieces.young[pieces[k]] = raw[start:end]
                 start = end
-        for p, ids in zip(odd, self._encode(odd) if odd else ()):
-            self.pieces[p] = np.array(ids, self.dtype).tobytes()
-        pieces = self.pieces
-        for w, ps in cut.items():
-            self.words[w] = b"".join([pieces[p] for p in ps if p])
-
-    def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.words) > self.limit or len(self.pieces) > self.limit:
-            self.words, self.pieces = {}, {}
-        found = set().union(*split) - self.words.keys()
-        if found:
-            self._learn(found)
-        words = self.words
-        return [b"".join([words[w] for w in ws]) for ws in split]
+        return dict(zip(pieces, values))
+
+    def _learn(self, found: list[str]) -> list[bytes]:
+        trimmed = pc.utf8_rtrim(pa.array(found), characters=self.TAIL)
+        regular = pc.match_substring_regex(trimmed, self.LETTERS).to_numpy(zero_copy_only=False)
+        heads = _strings(trimmed)
+        tails = [w[len(h):] for w, h in zip(found, heads)]
+        plain = np.flatnonzero(regular).tolist()
+        ids = self._of_pieces(list({heads[i] for i in plain} | {tails[i] for i in plain if tails[i]}))
+        ids[""] = b""
+        out: list = [None] * len(found)
+        for i in plain:
+            out[i] = ids[heads[i]] + ids[tails[i]]
+        whole = np.flatnonzero(~regular).tolist()
+        if whole:
+            for i, encoded in zip(whole, self._encode([found[i] for i in whole])):
+                out[i] = np.array(encoded, self.dtype).tobytes()
+        self.words.young.update(zip(found, out))
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token that lower case could make
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        # Each distinct word's ids once, then gathered for every word.
+        ids, missing = self.words.recall(distinct)
+        if missing:
+            for i, learnt in zip(missing, self._learn([distinct[i] for i in missing])):
+                ids[i] = learnt
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // pool.itemsize
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        small = np.int32 if len(ends) and ends[-1] < 2**31 else np.int64
+        first = (np.cumsum(sizes) - sizes).astype(small)[word] - (ends - n).astype(small)
+        at = np.repeat(first, n)
+        at += np.arange(len(at), dtype=small)
+        out = pool[at].tobytes()
+        stops = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * pool.itemsize
+        return [out[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 class TextEncoder:
@@ -161,15 +213,15 @@ class TextEncoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.tokenizer.encode_special_tokens = not special
 
-    def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
 
 _ENCODERS: dict[tuple, Callable] = {}
 
 
-def encoder(path: str, dtype: str, by_word: bool, special: bool) -> Callable[[Iterable[str]], list[bytes]]:
+def encoder(path: str, dtype: str, by_word: bool, special: bool) -> Callable[[pa.Array], list[bytes]]:
     """One encoder for each Python worker, kept between its tasks."""
     key = (path, dtype, by_word, special)
     if key not in _ENCODERS:
@@ -177,6 +229,17 @@ def encoder(path: str, dtype: str, by_word: bool, special: bool) -> Callable[[It
     return _ENCODERS[key]
 
 
+def encoded_parts(encode: Callable[[pa.Array], list[bytes]], texts: pa.Array, size: int = 16 << 20) -> Iterator[bytes]:
+    """``encode`` over runs of texts of about ``size`` bytes, at least one."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield from encode(texts.slice(start, stop - start))
+        start = stop
+
+
 _INDEX = pa.schema([("file", pa.string()), ("part", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64()),
                     ("offset", pa.int64()), ("n_tokens", pa.int64())])
 _INDEX_DDL = "file string, part int, position long, doc_id long, offset long, n_tokens long"
@@ -199,7 +262,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int, by_word: bool,
                     out.write(MAGIC + bytes([width]))
                 offsets, counts = [], []
                 ids = column(batch, "doc_id").to_pylist()
-                for doc_id, encoded in zip(ids, encode(texts_of(batch))):
+                texts = column(batch, "text").fill_null("")
+                for doc_id, encoded in zip(ids, encoded_parts(encode, texts)):
                     record = frame(head(doc_id) + encoded + end)
                     out.write(record)
                     offsets.append(offset)
