@@ -189,21 +189,24 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
     checkpoint instead of re-running the aggregation.
     """
     sd = store_day_aggregates(sales, exact_median=exact_median, median_method=median_method)
-    sd = sd.join(store_attributes(sales), "store")
+    # Coordinates are parsed once per store; the written table's size is known,
+    # so Spark broadcasts it when it is small and the store-days stay put.
+    attributes = store_attributes(sales).withColumns({"lon": geo_lon("store_location"), "lat": geo_lat("store_location")})
+    if materialize:
+        from ..session import cut_lineage
+        attributes = cut_lineage(attributes)
+    sd = sd.join(attributes, "store")
     if with_item_details:
         sd = sd.join(item_details(sales), KEYS, "left")
     agg_cols = [agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs]
     extra = ["item_details"] if with_item_details else []
-    sd = sd.select(*KEYS, *STORE_ATTRIBUTES, *extra, *agg_cols)
+    sd = sd.select(*KEYS, *STORE_ATTRIBUTES, *extra, *agg_cols, "lon", "lat")
     sd = sd.withColumns({
-        "lon": geo_lon("store_location"),
-        "lat": geo_lat("store_location"),
         "avg_price_per_bottle": safe_div("sale_dollars", "sale_bottles"),
         "avg_price_per_liter": safe_div("sale_dollars", "sale_liters"),
         "avg_items_per_transaction": safe_div("unique_items", "transaction_count"),
     })
     if materialize:
-        from ..session import cut_lineage
         sd = cut_lineage(sd)
     if fill_medians:
         sd = fill_with_median(sd, RATIO_COLUMNS)

@@ -21,6 +21,6 @@ def d12_store_day_aggregates(spark, sf_dir):
 def i01_store_day(spark, sf_dir):
     """Store-day table: attributes, item records (as their count), 60
     aggregates, coordinates and median-filled ratios."""
-    sd = agg.store_day(sales(spark, sf_dir), materialize=True)
+    sd = agg.store_day(agg.prepared_lines(sales(spark, sf_dir)), materialize=True)
     return (sd.withColumn("item_details_count", F.size("item_details").cast("bigint"))
               .drop("item_details"))
