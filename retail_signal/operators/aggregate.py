@@ -178,7 +178,7 @@ def store_day_some(sales: DataFrame, names: list[str]) -> DataFrame:
 
 def store_day(sales: DataFrame, *, exact_median: bool = True,
               with_item_details: bool = True, fill_medians: bool = True,
-              materialize: bool = False, median_method: str = "rank") -> DataFrame:
+              materialize: bool = False, median_method: str = "bounded") -> DataFrame:
     """Invoice lines → one row per (store, date).
 
     Columns: keys, the six store attributes (first non-NULL per store in date
