@@ -4,12 +4,15 @@ Writers hide words by signs that look like letters (leetspeak), by spacing
 them out and by repeating letters.  Decoding undoes that:
 
 1. A trigram model of characters is counted over the whole corpus.
-2. A token that may be disguised becomes a lattice: each sign stands for
-   itself or for the letters it resembles, each repeated letter may be
-   dropped, each separator between letters may be dropped.  Viterbi finds the
-   path of least cost, channel plus language model, over states of two
-   characters.  Runs of single-character tokens are one lattice.  All other
-   tokens have one path only, which is the token itself.
+2. Every token, of whatever length, that holds a sign like a letter, a
+   separator between letters or a repeated character becomes a lattice: each
+   sign stands for itself or for the letters it resembles, at an edge for
+   these or for nothing, each repeated character may be dropped, each
+   separator between letters may be dropped.  Viterbi finds the path of least
+   cost, channel plus language model, over states of two characters.  Runs of
+   single-character tokens are one lattice; the last may carry punctuation
+   behind it, the first before it.  All other tokens have one path only, which
+   is the token itself.
 3. The restored words are scored by a logistic regression over counts of
    words and word beginnings, those ``features`` that best tell toxic from
    clean documents by their likelihood ratio.
@@ -20,8 +23,10 @@ classes' true sizes).  Which are taken depends on a hash of the id.  The
 language model and the scores cover every document and whole texts.
 
 Defined results: a null or empty text has no words and gets the score of
-that; a token of more than ``LONGEST`` signs is no word and stays as it is;
-labels of unknown documents are ignored, and a document labelled twice counts
+that; a token without a letter is a number or a row of signs unless its
+likeliest reading is of letters only, and none of its signs is dropped; a word
+does not fall below three letters by dropping repeats, as shorter ones have no
+features; labels of unknown documents are ignored, and a document labelled twice counts
 once, by its highest label; with one class only, the score is its share (0.5
 without labels); other columns are never read.
 """
@@ -50,11 +55,19 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .-_*"
 #: A sign between lone letters is dropped freely, and ends a word at a cost.
 LEET_COST, DROP_REPEAT_COST, KEEP_SEPARATOR_COST = 1.5, 0.3, 5.0
+#: A sign at an edge that is no letter; a tail of three and more is junk.
+EDGE_COST, JUNK_TAIL_COST = {"!": 8.0, "$": 12.0}, 0.3
+#: Longer tokens are decoded each time, not remembered.
 LONGEST = 64
 _EDGE = ".,;:?\"'()[]{}<>%&*#~!"
-_TAIL = re.compile(r"([$!|+*#%&])\1+$")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+]|[0-9@$!|+][^\W\d_]|(.)\1\1"
-                        r"|(?<![^\W\d_])[^\W\d_](?:[._*-][^\W\d_]){2,}(?![^\W\d_])")
+_PLAIN_EDGE = _EDGE.replace("!", "")
+_LETTER = re.compile(r"[^\W\d_]")
+_LEET_EDGE = "@$!|+"
+_SAME = re.compile(r"(.)\1*+", re.S)
+_DISGUISED = re.compile(r"[0-9@$!|+]|(.)\1|[^\W\d_][._*-]+[^\W\d_]", re.S)
+#: Tokens of a spaced word: lone characters, the first after and the last
+#: before punctuation, or each before punctuation.
+_SPACED = re.compile("[1(]1+[1)]|\\){3,}")
 
 
 @dataclass(frozen=True)
@@ -106,17 +119,20 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def viterbi(seen: str, costs: list) -> str:
-    """The likeliest text behind ``seen`` (lower case)."""
+def viterbi(seen: str, costs: list, edges: dict[int, float] | None = None, repeats: bool = True) -> str:
+    """The likeliest text behind ``seen`` (lower case).  ``edges``: costs of
+    dropping the signs at these places, which else are letters; without
+    ``repeats``, repeated characters stay."""
     paths = {(BOUNDARY, BOUNDARY): (0.0, None)}
     before = ""
-    for c in seen:
-        steps = [(c, _symbol(c), 0.0)]
+    for i, c in enumerate(seen):
+        at_edge = edges and i in edges
+        steps = [("", None, edges[i])] if at_edge else [(c, _symbol(c), 0.0)]
         if c in LEET:
             steps += [(x, ord(x) - 96, LEET_COST) for x in LEET[c]]
         if c in SEPARATORS:
             steps = [(" ", BOUNDARY, KEEP_SEPARATOR_COST), ("", None, 0.0)]
-        elif c == before:
+        elif c == before and repeats and not at_edge:
             steps.append(("", None, DROP_REPEAT_COST))
         new: dict = {}
         for state, (cost, path) in paths.items():
@@ -137,6 +153,26 @@ def viterbi(seen: str, costs: list) -> str:
     return "".join(reversed(out))
 
 
+def edge_costs(word: str) -> dict[int, float]:
+    """Place and cost of dropping, of the signs like letters at both edges."""
+    head = len(word) - len(word.lstrip(_LEET_EDGE))
+    costs = {i: EDGE_COST.get(word[i], 4.0) for i in range(head)}
+    for run in _SAME.finditer(word, len(word.rstrip(_LEET_EDGE))):
+        cost = 0.0 if run[1] == "!" else JUNK_TAIL_COST if len(run[0]) > 2 else EDGE_COST.get(run[1], 4.0)
+        costs.update(dict.fromkeys(range(run.start(), run.end()), cost))
+    return costs
+
+
+def _place(token: str) -> str:
+    """1 for a lone character, ( and ) for one after or before punctuation."""
+    if len(token) == 1:
+        return "1"
+    if len(token) > 8:  # no punctuation of a lone letter
+        return "0"
+    before, after = token.lstrip(_EDGE), token.rstrip(_EDGE)
+    return "(" if len(before) == 1 else ")" if len(after) == 1 else "0"
+
+
 class Restorer:
     """Restored words of a text; remembers at most ``limit`` tokens."""
 
@@ -144,31 +180,39 @@ class Restorer:
         self.costs, self.limit, self.known = costs.tolist(), limit, {}
 
     def token(self, token: str) -> list[str]:
-        word = _TAIL.sub("", token.lower().strip(_EDGE)).strip(_EDGE)
-        if len(word) > LONGEST or not _DISGUISED.search(word):
-            return [word]
-        return [w.strip(_EDGE) for w in viterbi(word, self.costs).split()]
+        word = token.lower().strip(_PLAIN_EDGE)
+        if not _DISGUISED.search(word):
+            return [word.strip(_EDGE)]
+        if not _LETTER.search(word):
+            read = viterbi(word, self.costs, repeats=False)
+            return [read] if read.isalpha() else [word.strip(_EDGE)]
+        edges = edge_costs(word)
+        words = viterbi(word, self.costs, edges).split()
+        if len("".join(words)) < 3 <= len(word):
+            words = viterbi(word, self.costs, edges, repeats=False).split()
+        return [w.strip(_EDGE) for w in words]
 
     def words(self, text: str) -> list[str]:
         tokens, out = text.split(), []
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        single = "".join(["1" if len(t) == 1 else "0" for t in tokens])
+        single = "".join([_place(t) for t in tokens])
         at = 0
-        for run in re.finditer("1{3,}", single):
+        for run in _SPACED.finditer(single):
             out += self._plain(tokens[at:run.start()])
             # Whatever stands before and after does not matter: it is cut off
             # by tokens of two characters and more.
-            out += viterbi(" ".join(tokens[run.start():run.end()]).lower(), self.costs).split()
+            word = " ".join([t if len(t) == 1 else t.strip(_PLAIN_EDGE) for t in tokens[run.start():run.end()]]).lower()
+            out += [w.strip(_EDGE) or w for w in viterbi(word, self.costs, edge_costs(word) if _LETTER.search(word) else None).split()]
             at = run.end()
         return out + self._plain(tokens[at:])
 
     def _plain(self, tokens: list[str]) -> list[str]:
         known = self.known
         for t in set(tokens).difference(known):
-            known[t] = self.token(t)
-        return [w for t in tokens for w in known[t]]
+            if len(t) <= LONGEST:
+                known[t] = self.token(t)
+        return [w for t in tokens for w in (known[t] if len(t) <= LONGEST else self.token(t))]
 
 
 def beginnings(word: str) -> list[str]:

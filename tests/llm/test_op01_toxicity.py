@@ -23,6 +23,16 @@ def test_restores(costs, seen, words):
     assert T.Restorer(costs).words(seen) == words
 
 
+@pytest.mark.parametrize("seen, words", [
+    ("m.0.r.0.n", ["moron"]), ("1.d.1.0.t", ["idiot"]), ("st.up.id", ["stupid"]), ("stuupid", ["stupid"]),
+    ("iiddiioott", ["idiot"]), ("a$$ dumba$$", ["ass", "dumbass"]), ("!diot", ["idiot"]), ("you i d i o t. he", ["you", "idiot", "he"]),
+    ('"m o r o n!"', ["moron"]), ("stupid$$$ THE!! OF,!!", ["stupid", "the", "of"]), ("455 ass hello", ["455", "ass", "hello"]),
+    ("a" + "idiot" + "t" * 100, ["aidiot"]),
+])
+def test_restores_every_form_of_disguise(costs, seen, words):
+    assert T.Restorer(costs).words(seen) == words
+
+
 def test_viterbi_is_the_best_of_all_paths(costs):
     table = costs.tolist()
 
