@@ -5,8 +5,8 @@ seeds.  The words beside them are patterns ("word before", "word after").
 Seeds and other identifier-like tokens are instances; an edge of the graph
 says how often a pattern stood beside an instance.  Scores go back and forth:
 
-* a pattern's confidence for a kind is the share of its occurrences, in
-  documents that hold any digit or @, that stand beside instances of the kind,
+* a pattern's confidence for a kind is the share of its occurrences, in all
+  documents, that stand beside instances of the kind,
   weighted by the instances' confidence and smoothed towards zero; ordinary
   words and instances of other kinds count against it, identifier-like tokens
   not known yet neither way; it needs ``min_instances`` different instances;
@@ -163,10 +163,9 @@ def _occurrences(found: DataFrame, column: str) -> DataFrame:
 
 
 def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often its word occurs in documents with a digit
-    or @, for the words of ``patterns``."""
-    words = (docs.select(whole_text().alias("text")).where(F.col("text").rlike("[0-9@]"))
-             .select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("word"))
+    """(pattern, total): how often its word occurs in all documents, for the
+    words of ``patterns``."""
+    words = (docs.select(F.explode(F.split(F.lower(whole_text()), f"[{_SPACE}]+")).alias("word"))
              .groupBy("word").agg(F.count("*").alias("total")))
     wanted = patterns.select("pattern", F.substring_index("pattern", " ", -1).alias("word"))
     return wanted.join(words, "word").select("pattern", "total")

@@ -64,6 +64,14 @@ def test_instances_found_in_one_round_support_patterns_of_the_next(spark):
     assert once[105] and not once[200]
 
 
+def test_prose_without_digits_counts_against_a_pattern(spark):
+    rows = [(i, f"about +1 234 555 {1000 + i} w") for i in range(10)] + [(50, "about 0171-023-99 x")]
+    rows += [(100 + i, "they talk about rain and hills") for i in range(100)]
+    assert not any(r.context for r in P.extract(frame(spark, rows)).collect())
+    totals = P.pattern_totals(frame(spark, rows), spark.createDataFrame([("before about",)], "pattern string")).first()
+    assert totals.total == 111
+
+
 def test_main_path_is_native(spark):
     plan = P.extract(frame(spark, [(1, "call +1 234 555 1000 now")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
