@@ -200,6 +200,15 @@ def confident(edges: DataFrame, totals: DataFrame, spec: BootSpec = BootSpec())
     return patterns, instances
 
 
+def chosen_pairs(edges: DataFrame, patterns: DataFrame, instances: DataFrame) -> DataFrame:
+    """(value, pattern) of candidates that stand beside a confident pattern of
+    their kind: of the pairs that occur, never of all within a kind."""
+    pairs = edges.where("kind is null").select("value", "pattern").distinct()
+    return (pairs.join(patterns.select("pattern", F.col("kind").alias("of")), "pattern")
+            .join(instances.select("value", F.col("kind").alias("of")).distinct(), ["value", "of"], "left_semi")
+            .select("value", "pattern").distinct())
+
+
 def extract(docs: DataFrame, spec: BootSpec = BootSpec()) -> DataFrame:
     """(doc_id, known, context): spans of known form, and those discovered."""
     found = materialise(spans(docs), "pii-spans")
@@ -208,7 +217,7 @@ def extract(docs: DataFrame, spec: BootSpec = BootSpec()) -> DataFrame:
     edges = materialise(seen.unionByName(other).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
     totals = pattern_totals(docs, edges.select("pattern").distinct())
     patterns, instances = confident(edges, totals, spec)
-    chosen = instances.join(patterns.select("pattern", "kind"), "kind").select("value", "pattern").distinct()
+    chosen = chosen_pairs(edges, patterns, instances)
     new = (other.drop("kind").join(chosen, ["value", "pattern"], "left_semi").select("row", "at").distinct()
            .groupBy("row").agg(F.collect_set("at").alias("starts")))
     picked = F.filter("candidates", lambda c: F.array_contains("starts", c["start"]))

@@ -72,6 +72,16 @@ def test_prose_without_digits_counts_against_a_pattern(spark):
     assert totals.total == 111
 
 
+def test_chosen_pairs_are_those_that_occur(spark):
+    edges = spark.createDataFrame([(f"before p{i}", f"v{i}", None if i % 2 else "phone", 1) for i in range(40)],
+                                  "pattern string, value string, kind string, n long")
+    patterns = spark.createDataFrame([(f"before p{i}", "phone", 0.9) for i in range(39)], "pattern string, kind string, confidence double")
+    instances = spark.createDataFrame([(f"v{i}", "phone", 0.9) for i in range(40)] + [("v1", "card", 0.9)],
+                                      "value string, kind string, confidence double")
+    got = P.chosen_pairs(edges, patterns, instances).collect()
+    assert sorted((r.value, r.pattern) for r in got) == sorted((f"v{i}", f"before p{i}") for i in range(1, 39, 2))
+
+
 def test_main_path_is_native(spark):
     plan = P.extract(frame(spark, [(1, "call +1 234 555 1000 now")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
