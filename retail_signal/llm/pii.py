@@ -13,8 +13,13 @@ says how often a pattern stood beside an instance.  Scores go back and forth:
 * an instance's confidence is that not all of its confident patterns err;
   seeds keep one.
 
-After ``rounds`` rounds, tokens of confident instances beside a confident
-pattern are reported as ``context`` spans, besides the known forms.
+Identifier-like are tokens, and runs of digit groups with one space between
+each two, of more than four characters with @, three digits, or letters and
+digits.  After ``rounds`` rounds, those of confident instances beside a
+confident pattern are reported as ``context`` spans, besides the known forms,
+and so is any other token beside one, with digits or without; such tokens
+count against patterns like all ordinary words, and a confident pattern's own
+word is none of them.
 
 Only DataFrame functions run here.  The known forms are matched without
 nested repetition, so no text, however long, exhausts a matcher's stack:
@@ -86,7 +91,8 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return n.between(9, 15)
     if kind == "candidate":
-        return (F.length(_core(value)) > 4) & ((n > 2) | value.contains("@"))
+        mixed = (n > 0) & value.rlike("[A-Za-z]")
+        return (F.length(_core(value)) > 4) & ((n > 2) | value.contains("@") | mixed)
     return F.lit(True)
 
 
@@ -103,6 +109,8 @@ def _prepared(kind: str, text: Column) -> Column:
         return F.regexp_replace(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     if kind == "card":
         return F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
+    if kind == "candidate":
+        return F.regexp_replace(text, r"(?<=[0-9)])\x20(?=[(]?[0-9])", GAP)
     return text
 
 
@@ -120,7 +128,7 @@ def _spans(kind: str) -> Column:
         start = acc["at"] + F.length(x["gap"])
         if kind == "candidate":
             first = start + F.length(hit) - F.length(_lead(hit))
-            value = _core(hit)
+            value = F.translate(_core(hit), GAP, " ")
         else:
             first, value = start, hit
         span = F.struct(
@@ -134,7 +142,7 @@ def _spans(kind: str) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, flagged, words, known, candidates) of every document:
+    """(row, doc_id, flagged, text, known, candidates) of every document:
     spans of known form by kind and start, and other identifier-like tokens."""
     slim = docs.select("doc_id", F.translate(whole_text(), DOT + GAP, "\ufffd\ufffd").alias("text"))
     out = slim.withColumn("flagged", F.col("text").rlike("[0-9@]"))
@@ -149,7 +157,7 @@ def spans(docs: DataFrame) -> DataFrame:
     known = F.concat(*[F.col(f"spans_{k}") for k in KINDS])
     out = out.withColumn("known", known).withColumn("candidates", F.filter(
         "spans_candidate", lambda c: ~F.exists("known", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "flagged", "known", "candidates")
+    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "flagged", "text", "known", "candidates")
 
 
 def _occurrences(found: DataFrame, column: str) -> DataFrame:
@@ -200,6 +208,41 @@ def confident(edges: DataFrame, totals: DataFrame, spec: BootSpec = BootSpec())
     return patterns, instances
 
 
+def plain_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(row, plain): tokens beside a confident pattern that overlap no known
+    form and no candidate, with the places where they stand."""
+    words = patterns.select(F.substring_index("pattern", " ", -1).alias("word")).distinct()
+    confident_patterns = patterns.select("pattern").distinct()
+    # Between token i and token i + 1 stands gap i + 1; gap 0 is what comes first.
+    tokens = (found.withColumn("tokens", F.regexp_extract_all("text", F.lit(f"[^{_SPACE}]++"), F.lit(0)))
+              .select("row", F.posexplode(F.arrays_zip(
+                  F.col("tokens").alias("token"),
+                  F.concat(F.array(F.lit("")), F.col("tokens")).alias("before"),
+                  F.slice("tokens", F.lit(2), F.size("tokens")).alias("after"))).alias("i", "t"))
+              .where("t.token is not null"))
+    sides = F.array(F.concat(F.lit("before "), F.lower("t.before")), F.concat(F.lit("after "), F.lower("t.after")))
+    beside = (tokens.select("row", "i", F.lower("t.token").alias("word"), F.explode(sides).alias("pattern"))
+              .join(confident_patterns, "pattern", "left_semi").join(words, "word", "left_anti")
+              .groupBy("row").agg(F.sort_array(F.collect_set("i")).alias("at")))
+    tokens, gaps = F.regexp_extract_all("text", F.lit(f"[^{_SPACE}]++"), F.lit(0)), F.split("text", f"[^{_SPACE}]++", -1)
+
+    def place(i: Column) -> Column:
+        def length(total: Column, x: Column) -> Column:
+            return total + F.length(x)
+        start = F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0), length), length)
+        token = F.element_at("tokens", i + 1)
+        lead = F.length(F.regexp_extract(token, r"\A[^\p{L}\p{N}+@]*+", 0))
+        value = F.regexp_replace(F.substring(token, lead + 1, F.length(token)), r"[^\p{L}\p{N}]++\z", "")
+        return F.struct(F.lit("context").alias("kind"), (start + lead).alias("start"),
+                        (start + lead + F.length(value)).alias("end"), value.alias("value"),
+                        F.lit("").alias("before"), F.lit("").alias("after"))
+
+    def free(s: Column) -> Column:
+        return (s["end"] > s["start"]) & ~F.exists(F.concat("known", "candidates"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    return (found.join(beside, "row").withColumns({"tokens": tokens, "gaps": gaps})
+            .select("row", F.filter(F.transform("at", place), free).alias("plain")))
+
+
 def chosen_pairs(edges: DataFrame, patterns: DataFrame, instances: DataFrame) -> DataFrame:
     """(value, pattern) of candidates that stand beside a confident pattern of
     their kind: of the pairs that occur, never of all within a kind."""
@@ -222,8 +265,11 @@ def extract(docs: DataFrame, spec: BootSpec = BootSpec()) -> DataFrame:
            .groupBy("row").agg(F.collect_set("at").alias("starts")))
     picked = F.filter("candidates", lambda c: F.array_contains("starts", c["start"]))
     none = F.array().cast(f"array<{_SPAN}>")
-    return (found.join(new, "row", "left")
-            .select("doc_id", "known", F.coalesce(F.transform(picked, lambda c: c.withField("kind", F.lit("context"))), none).alias("context")))
+    context = F.concat(F.coalesce(F.transform(picked, lambda c: c.withField("kind", F.lit("context"))), none),
+                       F.coalesce("plain", none))
+    ordered = F.array_sort(context, lambda a, b: a["start"] - b["start"])
+    return (found.drop("text").join(new, "row", "left").join(plain_spans(found, patterns), "row", "left")
+            .select("doc_id", "known", ordered.alias("context")))
 
 
 def joined(spans: Column) -> Column:

@@ -82,6 +82,17 @@ def test_chosen_pairs_are_those_that_occur(spark):
     assert sorted((r.value, r.pattern) for r in got) == sorted((f"v{i}", f"before p{i}") for i in range(1, 39, 2))
 
 
+def test_identifiers_of_groups_few_digits_or_none(spark):
+    rows = [(i, f"hello phone: +1 234 555 {1000 + i} ok then") for i in range(60)]
+    unseen = ["(555) 123 4567", "078 05 1120", "DE89 3704 0044 0532 0130 00", "johnny", "AB12CD", "4711", "Zoë"]
+    rows += [(100 + i, f"my  phone: {v}, and so on") for i, v in enumerate(unseen)]
+    got = {r.doc_id: r.context for r in P.extract(frame(spark, rows)).collect()}
+    for i, v in enumerate(unseen):
+        text = dict(rows)[100 + i]
+        assert [text[s.start:s.end] for s in got[100 + i]] == [s.value for s in got[100 + i]] == [v.lstrip("(")]
+    assert not any(got[i] for i in range(60))
+
+
 def test_main_path_is_native(spark):
     plan = P.extract(frame(spark, [(1, "call +1 234 555 1000 now")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
