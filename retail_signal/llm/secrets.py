@@ -9,9 +9,10 @@ hot if its Shannon entropy reaches the limit of its character class (a class
 is decided by counts too, kept in the same way).  Hot windows that touch form
 one ``entropy`` span.
 
-Suppressed: candidates that overlap a known form (reported already), and spans
-that match the allow-list (identifiers that look random but are none, such as
-UUIDs, or published example keys).
+Suppressed: known forms (reported already) and the plain word 'example' are cut
+out of a candidate, and windows slide over what stands between; spans that match
+the allow-list (identifiers that look random but are none, such as UUIDs, or
+published example keys), alone or with the word around them, are dropped.
 
 Positions are code points, ends exclusive.  Defined results: a null or empty
 text has no findings; repeated rows are scanned each for itself; other columns
@@ -40,8 +41,9 @@ WINDOW = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 
 #: Least entropy in bits of a hot window of 20 characters, by the class of its
-#: characters; letters of one case alone are taken for words, digits for numbers.
-LIMITS = {"hex": 3.0, "one case and digits": 3.5, "both cases": 4.1, "both cases and digits": 3.8}
+#: characters; letters of one case alone must differ more than those of words
+#: do, digits are taken for numbers.
+LIMITS = {"one case": 4.1, "hex": 3.0, "one case and digits": 3.5, "both cases": 4.1, "both cases and digits": 3.8}
 
 #: Strings that look random but are no secrets.
 ALLOW = (
@@ -51,6 +53,8 @@ ALLOW = (
     r"(?i).*abcdefghijklmnopqrstuvwxyz.*",
     r"[/_=-]*([A-Za-z]+[/_=-]+)+[A-Za-z]+[/_=-]*",
 )
+#: The plain word, which no key beside it shares.
+_EXAMPLE = re.compile(r"(?<![A-Za-z0-9])(?:[a-z]*example[a-z]*|[A-Z]*EXAMPLE[A-Z]*)(?![A-Za-z0-9])")
 
 
 @dataclass(frozen=True)
@@ -66,7 +70,9 @@ def _class_of(digits: int, lower: int, upper: int, beyond_f: int, other: int) ->
         return "hex"
     if lower and upper:
         return "both cases and digits" if digits else "both cases"
-    return "one case and digits" if digits and lower + upper else None
+    if not lower + upper:
+        return None
+    return "one case and digits" if digits else "one case"
 
 
 def hot_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, float]]:
@@ -115,15 +121,28 @@ def findings(text: str, spec: SecretSpec, allow: re.Pattern) -> list[tuple[str,
         else:
             known.append((start, end))
     for m in _CANDIDATE.finditer(text):
-        before = known[bisect_left(known, (m.end(),)) - 1]  # the last that starts before its end
-        if before[1] > m.start():
-            continue
-        for start, end, bits in hot_spans(m[0], spec.window):
-            if not allow.fullmatch(m[0][start:end]) and not allow.fullmatch(m[0]):
-                found.append(("entropy", m.start() + start, m.start() + end, bits))
+        cuts = [c for part in _outside(known, m.start(), m.end()) for c in _outside(
+            [(0, 0), *((w.start(), w.end()) for w in _EXAMPLE.finditer(text, *part))], *part)]
+        for start, end in cuts:
+            for first, last, bits in hot_spans(text[start:end], spec.window):
+                first, last = start + first, start + last
+                left = max(start, *(text.rfind(c, start, first) + 1 for c in "/+="))
+                right = min(end, *(i for c in "/+=" if (i := text.find(c, last, end)) >= 0), end)
+                if not allow.fullmatch(text[first:last]) and not allow.fullmatch(text[left:right]):
+                    found.append(("entropy", first, last, bits))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
+def _outside(known: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """What of start to end no span of ``known`` covers."""
+    parts = []
+    for a, b in known[max(bisect_left(known, (start,)) - 1, 0):bisect_left(known, (end,))]:
+        if a > start:
+            parts.append((start, a))
+        start = max(start, b)
+    return [*parts, (start, end)] if start < end else parts
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("findings", pa.list_(_SPAN))])
 _FOUND_DDL = "doc_id long, findings array<struct<kind:string,start:int,end:int,bits:double>>"

@@ -58,6 +58,17 @@ def test_entropy_adds_and_the_allow_list_suppresses():
     assert kinds("token = AbC9dEf8GhI7jKl6MnO5pQr4") == ["assign"]  # found once
 
 
+def test_only_the_span_is_suppressed_not_its_whole_run():
+    def spans(text):
+        return [(k, text[a:b]) for k, a, b, _ in S.findings(text, S.SecretSpec(), _allow())]
+    key, digest = "xY7kQ9mZ2pL4vB8nR3tW6s", "5f1d7a84db00d2fce00b31a7fc73224f"
+    assert spans(f"{digest}/{key}") == [("hex", digest), ("entropy", f"/{key}")]
+    assert [k for k, _ in spans(f"AKIAABCD1234EFGH-{key}")] == ["access", "entropy"]
+    assert spans(f"example/{key}")[0][1].endswith(key)
+    assert spans("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+    assert spans("qzjxkvwpfmbgthycdnsrl") == [("entropy", "qzjxkvwpfmbgthycdnsrl")]
+
+
 def test_query_digest_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in S.op3_secret_entropy(spark, sf).collect()}
