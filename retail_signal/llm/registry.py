@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op2_benchmark_edits
 from .mixing import OP10_SQL, op10_source_mix
+from .periodic import op11_periodic_runs
 from .pii import op4_pii_context
 from .quality import op7_quality_pu
 from .records import op6_token_records
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_pivots": op8_simhash_pivots,
     "op9_risk_rules": op9_risk_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL = {

@@ -19,10 +19,11 @@ COLUMNS = {
     "op8_simhash_pivots": {"doc_id", "fingerprint", "component_id"},
     "op9_risk_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op10_source_mix": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     assert set(registry.QUERIES) == {*COLUMNS, "pipeline"} <= set(E.queries())
     assert set(registry.SQL) <= set(E.oracle_sql())
 
