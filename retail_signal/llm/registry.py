@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_phrase_collocations
 from .decontam import op2_benchmark_edits
 from .mixing import OP10_SQL, op10_source_mix
 from .periodic import op11_periodic_runs
@@ -26,11 +27,13 @@ QUERIES = {
     "op9_risk_rules": op9_risk_rules,
     "op10_source_mix": op10_source_mix,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 SQL = {
     "op5_revisit_asof": OP5_SQL,
     "op10_source_mix": OP10_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
 
 
