@@ -255,9 +255,9 @@ WITH pieces AS (
 grams AS (
   SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
   UNION ALL
-  SELECT lang, 2, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM pieces
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
   UNION ALL
-  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces),
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces),
 f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
