@@ -5,6 +5,7 @@ from __future__ import annotations
 from .collocations import OP12_SQL, op12_phrase_collocations
 from .decontam import op2_benchmark_edits
 from .mixing import OP10_SQL, op10_source_mix
+from .packing import op13_slack_packing
 from .periodic import op11_periodic_runs
 from .pii import op4_pii_context
 from .quality import op7_quality_pu
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_slack_packing": op13_slack_packing,
 }
 
 SQL = {
