@@ -8,21 +8,23 @@ billions of distinct values.  Here the quantile is found by narrowing:
    p·(n − 1) (linear interpolation, as pandas and ``QUANTILE_CONT``);
 2. each round, one aggregate takes ``percentile_approx`` brackets of the
    rows still inside each target's interval (rank error ≤ rows / accuracy),
-   and a second verifies them with exact counts — a bracket that does not
-   hold keeps the previous bound, so the interval always holds the rank;
-3. a target is resolved when a bracket's bound itself is the value at that
-   rank.  Below about ``accuracy`` rows the brackets are exact, so the last
-   round resolves whatever is left; a round that narrows no interval halves
-   it by value instead, so the search ends on any data.
-
-Every pass is a global aggregate with one output row, so the work is spread
-over all tasks and nothing but those rows reaches the driver; each round
-shrinks an interval by about accuracy / 4.
+   and a second counts exactly the rows below the brackets and below the
+   interval's middle in the order of the doubles' bit patterns; every count
+   moves a bound, and the interval always holds the rank;
+3. a target is resolved when a counted value itself is the value at that
+   rank, or the interval holds one double only.
+
+On usual data a round shrinks an interval by about accuracy / 4 and two or
+three rounds do.  The middle halves the 2^64 patterns whatever the data and
+the accuracy, so there are at most 64 rounds.  Every pass is a global
+aggregate with one output row: the work is spread over all tasks and nothing
+but those rows reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,19 +34,63 @@ from ..session import cut_lineage
 ACCURACY = 10_000
 
 
-def _in(col, lo, hi):
-    c = F.col(col)
-    cond = c.isNotNull()
-    if lo is not None:
-        cond = cond & (c > F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
+def place_of(x: float) -> int:
+    """The place of a double among all doubles, by its bit pattern."""
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
 
 
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: int = ACCURACY) -> dict[str, list]:
+def double_at(place: int) -> float:
+    x = struct.unpack("<d", struct.pack("<q", abs(place)))[0]
+    return x if place >= 0 else -x
+
+
+class _Target:
+    """The search for the value at one rank: it lies in (lo, hi], places of
+    doubles; ``below`` rows are at or under lo, ``rows`` in the interval."""
+
+    def __init__(self, column: str, rank: int, low: float, high: float, rows: int):
+        self.column, self.rank, self.below, self.rows = column, rank, 0, rows
+        self.lo, self.hi, self.value = place_of(low) - 1, place_of(high), None
+        self._settle()
+
+    def _settle(self):
+        if self.hi - self.lo == 1:
+            self.value = double_at(self.hi)
+
+    def bracket(self, accuracy: int):
+        x, rel = F.col(self.column), (self.rank - self.below) / max(self.rows - 1, 1)
+        inside = (x <= F.lit(double_at(self.hi)))
+        if self.below:
+            inside = inside & (x > F.lit(double_at(self.lo)))
+        return F.percentile_approx(F.when(inside, x), [max(0.0, rel - 2.0 / accuracy), min(1.0, rel + 2.0 / accuracy)], accuracy)
+
+    def middle(self) -> float:
+        return double_at((self.lo + self.hi) // 2)
+
+    def learn(self, x: float, le: int, lt: int) -> None:
+        """``le`` rows are at or under ``x``, ``lt`` under it."""
+        at = place_of(x)
+        if self.value is not None or not self.lo < at <= self.hi:
+            return
+        if lt <= self.rank < le:
+            self.value = double_at(at)
+        elif le <= self.rank:
+            self.rows -= le - self.below
+            self.lo, self.below = at, le
+        else:
+            # Nothing above the greatest double under x can be it.
+            self.rows = lt - self.below
+            self.hi = at - 1
+        if self.value is None:
+            self._settle()
+
+
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: int = ACCURACY,
+                    trace: list | None = None) -> dict[str, list]:
     """``{column: [p, ...]}`` → ``{column: [quantile, ...]}`` (NULL and NaN
-    ignored; an empty column gives None)."""
+    ignored; an empty column gives None).  ``trace`` receives the number of
+    open targets of every round."""
     cols = list(spec)
     # Written once: every pass reads these columns, not the plan behind them.
     base = cut_lineage(df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
@@ -52,56 +98,24 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: in
     first = base.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
                        for c in cols]).first()
     counts = {c: first[c].n for c in cols}
-
-    # target = (column, rank); state = [lo (exclusive), hi (inclusive), rows ≤ lo, rows in interval]
-    state: dict[tuple[str, int], list] = {}
-    value: dict[tuple[str, int], float] = {}
+    targets: dict[tuple[str, int], _Target] = {}
     for c in cols:
         for p in spec[c] if counts[c] else ():
             pos = p * (counts[c] - 1)
             for r in {math.floor(pos), math.ceil(pos)}:
-                state[(c, r)] = [None, first[c].hi, 0, counts[c]]
-
-    halve = False
-    while open_t := [t for t in state if t not in value]:
-        # (a) approximate brackets inside each interval
-        if halve:
-            found = []
-            for c, r in open_t:
-                lo, hi = state[(c, r)][:2]
-                low = first[c].lo if lo is None else lo
-                found.append((low + (hi - low) / 2, hi))
-        else:
-            eps = 2.0 / accuracy
-            aggs = []
-            for i, (c, r) in enumerate(open_t):
-                lo, hi, below, cnt = state[(c, r)]
-                rel = (r - below) / max(cnt - 1, 1)
-                aggs.append(F.percentile_approx(F.when(_in(c, lo, hi), F.col(c)),
-                                                [max(0.0, rel - eps), min(1.0, rel + eps)], accuracy).alias(f"t{i}"))
-            found = base.agg(*aggs).first()
-        # (b) exact counts for the candidate bounds
-        aggs = []
-        for (c, _), (a, b) in zip(open_t, found):
-            for x in (a, b):
-                aggs.append(F.struct(F.count_if(F.col(c) <= F.lit(x)).alias("le"),
-                                     F.count_if(F.col(c) < F.lit(x)).alias("lt")))
-        exact = base.agg(*[x.alias(f"c{i}") for i, x in enumerate(aggs)]).first()
-        moved = False
-        for i, t in enumerate(open_t):
-            st, r = state[t], t[1]
-            for x, at in zip(found[i], exact[2 * i:2 * i + 2]):
-                if at.lt <= r < at.le:  # x is the value at rank r
-                    value[t] = float(x)
-                elif at.le <= r and (st[0] is None or x > st[0]):
-                    st[3] -= at.le - st[2]
-                    st[0], st[2], moved = float(x), at.le, True
-                elif at.lt > r and x < st[1]:
-                    # The greatest value below x is not known: the interval
-                    # ends at x, which is above the rank.
-                    st[1], st[3], moved = float(x), at.le - st[2], True
-            moved = moved or t in value
-        halve = not moved
+                targets[(c, r)] = _Target(c, r, first[c].lo, first[c].hi, counts[c])
+
+    while open_t := [t for t in targets.values() if t.value is None]:
+        if trace is not None:
+            trace.append(len(open_t))
+        brackets = base.agg(*[t.bracket(accuracy).alias(f"t{i}") for i, t in enumerate(open_t)]).first()
+        asked = [(t, x) for t, found in zip(open_t, brackets) for x in {*found, t.middle()}]
+        exact = base.agg(*[F.struct(F.count_if(F.col(t.column) <= F.lit(x)).alias("le"),
+                                    F.count_if(F.col(t.column) < F.lit(x)).alias("lt")).alias(f"c{i}")
+                           for i, (t, x) in enumerate(asked)]).first()
+        for (t, x), at in zip(asked, exact):
+            t.learn(x, at.le, at.lt)
+    value = {key: t.value for key, t in targets.items()}
 
     out = {}
     for c in cols:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from retail_signal.operators.quantile import exact_quantiles
+from retail_signal.operators.quantile import _Target, double_at, exact_quantiles, place_of
 
 PROBS = [0.0, 0.01, 0.25, 0.33, 0.5, 0.66, 0.99, 1.0]
 
@@ -30,10 +30,39 @@ def test_exact_quantiles_match_numpy(spark, kind):
 @pytest.mark.parametrize("x", [[1.0] * 500 + [2.0] * 500, [1e300, -1e300] * 50, list(range(3000)), [0.1] * 999 + [0.1 + 1e-15]])
 def test_any_data_ends_without_candidates_on_the_driver(spark, x):
     df = spark.createDataFrame([(float(v),) for v in x], "a double").repartition(4)
-    got = exact_quantiles(df, {"a": [0.0, 0.5, 0.77, 1.0]}, accuracy=3)["a"]
+    rounds = []
+    got = exact_quantiles(df, {"a": [0.0, 0.5, 0.77, 1.0]}, accuracy=3, trace=rounds)["a"]
+    assert len(rounds) <= 64
     np.testing.assert_allclose(got, np.quantile(np.array(x, float), [0.0, 0.5, 0.77, 1.0]), rtol=1e-12)
 
 
+@pytest.mark.parametrize("x", [0.0, -0.0, 1.5, -1.5, 5e-324, -5e-324, 1.7976931348623157e308, float("inf"), float("-inf")])
+def test_places_follow_the_order_of_doubles(x):
+    assert double_at(place_of(x)) == x
+    for y in (0.0, 1.0, -2.0, 3e-310, 1e308):
+        assert (place_of(x) < place_of(y)) == (x < y)
+
+
+def test_rounds_stay_bounded_without_help_of_the_brackets():
+    """The middle alone finds any rank in 64 counts."""
+    rng = np.random.default_rng(3)
+    x = np.sort(np.concatenate([rng.normal(0, 1e-300, 200), rng.normal(0, 1e300, 200), [0.0, -0.0, np.inf, -np.inf]]))
+    for r in (0, 1, 57, 203, 402, 403):
+        t, rounds = _Target("a", r, x[0], x[-1], len(x)), 0
+        while t.value is None:
+            m, rounds = t.middle(), rounds + 1
+            t.learn(m, int((x <= m).sum()), int((x < m).sum()))
+        assert t.value == x[r] and rounds <= 64
+
+
+def test_usual_data_takes_few_rounds(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(v),) for v in rng.gamma(2, 50, 30_000)], "a double").repartition(4)
+    rounds = []
+    exact_quantiles(df, {"a": [0.25, 0.5, 0.9]}, trace=rounds)
+    assert len(rounds) <= 4
+
+
 def test_weighted_quantiles_match_repeated_rows(spark):
     from retail_signal.operators.quantile import weighted_quantiles
     rng = np.random.default_rng(5)
