@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import quotient
 from .common import column, map_arrow, materialise, record_batch, table
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 SLICE_ENTRIES = 1 << 20
 BUCKETS = 4096
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -117,17 +117,14 @@ _SLICE = pa.schema([("slice", pa.int64()), ("filter", pa.binary())])
 def _counter(packing: quotient.Packing, slice_bits: int):
     half = packing.half
 
-    def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every n-gram of two words and more that no break or rare word cuts."""
-        his, los = [], []
+    def grams(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Every n-gram of two words and more that no break or rare word cuts,
+        counted; one length at a time."""
         whole = ids[:-1] > 0
         for k in range(2, packing.words + 1):
             whole = whole[:len(ids) - k + 1] & (ids[k - 1:] > 0)
             at = np.flatnonzero(whole)
-            hi, lo = packing.permute(*packing.pack([ids[at + i] for i in range(k)]))
-            his.append(hi)
-            los.append(lo)
-        return np.concatenate(his), np.concatenate(los)
+            yield quotient.summed(half, *packing.permute(*packing.pack([ids[at + i] for i in range(k)])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +132,7 @@ def _counter(packing: quotient.Packing, slice_bits: int):
                 stream = np.frombuffer(raw.as_buffer(), np.int32)
                 lookup = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
                 lookup[local.values.to_numpy(zero_copy_only=False)] = ids.values.to_numpy(zero_copy_only=False)
-                hi, lo, n = quotient.summed(half, *grams(lookup[stream]))
+                hi, lo, n = quotient.summed(half, *map(np.concatenate, zip(*grams(lookup[stream]))))
                 out = list(quotient.slices(half, slice_bits, hi, lo, n))
                 if out:
                     yield record_batch(_SLICE, list(zip(*out)))
