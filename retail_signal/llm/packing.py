@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialise, record_batch, table
-from .records import Memory
 
 WINDOW = 1024
 END_ID = 0
@@ -51,37 +50,59 @@ END_ID = 0
 
 #: White space by Unicode's White_Space property.
 _SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Where a byte-level pre-tokenizer always cuts: a space belongs to what
-#: follows it, other white space to itself.
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: follows it, other white space to itself, and letters end before a sign.
+_CHUNK = re.compile(f" ?[{_LATIN}]+(?=[\x00-@\\[-`{{-\x7f]|\\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class ChunkEncoder:
     """Ids of texts as bytes under a byte-level tokenizer, by remembered
     chunks; a text that may hold a special token is encoded whole."""
 
-    def __init__(self, path: str, limit: int = 300_000, by_chunk: bool = True):
+    def __init__(self, path: str, limit: int = 500_000, by_chunk: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_chunk, self.chunks = by_chunk, Memory(limit)
+        self.by_chunk, self.limit, self.known = by_chunk, limit, {}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks.  Those without a line feed are encoded many at a
+        time, a line each: the feed is a token of its own, so ids part again."""
+        out: list = [None] * len(chunks)
+        lines = [i for i, c in enumerate(chunks) if self.feed is not None and not c.isspace()]
+        for k in range(0, len(lines), 1000):
+            at = lines[k:k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([chunks[i] for i in at])], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(ends) != len(at):
+                raise ValueError("the tokenizer does not cut chunks where this encoder does")
+            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
+            for i, end in zip(at, (ends * size).tolist()):
+                out[i] = raw[start:end]
+                start = end + size
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._encode([chunks[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if not self.by_chunk or self.special.search(t)]
         plain = [_CHUNK.findall(t) for t in texts]
         for i in whole:
             plain[i] = []
-        distinct = list(set().union(*plain))
-        ids, missing = self.chunks.recall(distinct)
-        if missing:
-            for i, learnt in zip(missing, self._encode([distinct[i] for i in missing])):
-                ids[i] = self.chunks.young[distinct[i]] = learnt
-        known = dict(zip(distinct, ids))
-        out = [b"".join(map(known.__getitem__, p)) for p in plain]
+        seen = set().union(*plain)
+        missing = list(seen.difference(self.known))
+        if len(self.known) + len(missing) > self.limit:  # keep what is in use
+            self.known = {c: self.known[c] for c in seen.intersection(self.known)}
+        self.known.update(zip(missing, self._learn(missing)))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in plain]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
         return out
