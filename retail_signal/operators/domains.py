@@ -111,18 +111,20 @@ def mmd_linear(df: DataFrame, features: list[str], domain_col: str = "domain") -
     return means.select(sq.alias("mmd"))
 
 
-def a_distance(df: DataFrame, features: list[str], domain_col: str = "domain", seed: int = 7) -> DataFrame:
+def a_distance(df: DataFrame, features: list[str], domain_col: str = "domain", keys=("store", "date"),
+               test_share: float = 0.3) -> DataFrame:
     """M7: proxy A-distance 2(1 − 2·err) of a logistic-regression domain
-    classifier, trained on a seeded 70 % split and tested on the rest."""
+    classifier.  Rows go to the test part by the crc32 of their ``keys``, so
+    the split is the same on any partitions."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    data = (df.select(*features, (F.col(domain_col) == "target").cast("double").alias("label"))
+    draw = F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])) % 1000 < int(1000 * test_share)
+    data = (df.select(*features, (F.col(domain_col) == "target").cast("double").alias("label"), draw.alias("_test"))
               .fillna(0.0, subset=features))
     data = VectorAssembler(inputCols=features, outputCol="_raw").transform(data)
     data = StandardScaler(inputCol="_raw", outputCol="_f").fit(data).transform(data)
-    train, test = data.randomSplit([0.7, 0.3], seed=seed)
-    model = LogisticRegression(featuresCol="_f", labelCol="label", maxIter=50).fit(train)
-    err = model.transform(test).select(F.avg((F.col("prediction") != F.col("label")).cast("double")).alias("err"))
+    model = LogisticRegression(featuresCol="_f", labelCol="label", maxIter=50).fit(data.where("NOT _test"))
+    err = model.transform(data.where("_test")).select(F.avg((F.col("prediction") != F.col("label")).cast("double")).alias("err"))
     return err.select("err", (F.lit(2.0) * (F.lit(1.0) - F.lit(2.0) * F.col("err"))).alias("a_distance"))
 
 

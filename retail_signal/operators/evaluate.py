@@ -77,10 +77,12 @@ def regression_predictions(features: DataFrame, feature_cols: list[str], label:
 
 
 def sample_examples(windows: DataFrame, n: int = 10, seed: int = 42, key=("store", "itemno")) -> DataFrame:
-    """F8: a reproducible sample of n windows (hash order, the limit is the
-    sampling feature itself)."""
+    """F8: a reproducible sample of n windows, the first by the md5 of series
+    key, start and seed: the same rows whatever the partitions (the limit is
+    the sampling feature itself)."""
     keys = _keys(key)
-    return windows.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.col("i"), F.lit(seed)), *keys, "i").limit(n)
+    draw = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("i").cast("string"), F.lit(str(seed))))
+    return windows.orderBy(draw, *keys, "i").limit(n)
 
 
 def first_match(lines: DataFrame, key: str, columns: list[str], order: str = "date") -> DataFrame:
@@ -92,9 +94,9 @@ def first_match(lines: DataFrame, key: str, columns: list[str], order: str = "da
 
 
 def example_report(samples: DataFrame, pred: DataFrame, lines: DataFrame,
-                   key=("store", "itemno"), seq_len: int = 30) -> DataFrame:
+                   key=("store", "itemno"), seq_len: int = 30, lookup: str = "itemno") -> DataFrame:
     """L4: for sampled windows, the forecast start date (text), the item
-    description and an address looked up by item, and per model the
+    description and an address looked up by ``lookup``, and per model the
     predicted and actual arrays (ordered by step)."""
     keys = _keys(key)
     p = (pred.join(samples.select(*keys, "i", "window_start"), keys + ["i"], "left_semi")
@@ -102,8 +104,8 @@ def example_report(samples: DataFrame, pred: DataFrame, lines: DataFrame,
              .agg(F.array_sort(F.collect_list(F.struct("step", "y", "y_hat"))).alias("_s")))
     p = p.select("model", *keys, "i", F.transform("_s", lambda r: r.getField("y_hat")).alias("predicted"),
                  F.transform("_s", lambda r: r.getField("y")).alias("actual"))
-    info = first_match(lines, "itemno", ["im_desc", "address"])
+    info = first_match(lines, lookup, ["im_desc", "address"])
     out = p.join(samples.select(*keys, "i", "window_start"), keys + ["i"])
-    out = out.join(info, "itemno", "left")
+    out = out.join(info, lookup, "left")
     return out.withColumn("forecast_start",
                           F.date_format(F.date_add("window_start", seq_len), "yyyy-MM-dd"))

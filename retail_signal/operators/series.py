@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import day_of_week, is_weekend
+from ..session import cut_lineage
 from .rank import global_offsets
 
 # Fixed values of the row-feature notebook.
@@ -124,20 +125,58 @@ def supervised_windows(df: DataFrame, key=("store", "itemno"), order: str = "dat
     is not positive are dropped.  Arrays are built with bounded row frames
     (``seq_len`` / ``horizon`` rows)."""
     keys = _keys(key)
+    out = _marked_windows(df, keys, order, target, seq_len, horizon, include_last, require_positive, features)
+    return out.where("_keep").select(*keys, "i", F.col(order).alias("window_start"), "x", "y")
+
+
+def _marked_windows(df, keys, order, target, seq_len, horizon, include_last, require_positive, features=None) -> DataFrame:
+    """Every start with its target array, whether it is a sample (``_keep``)
+    and, if ``features`` are named, its inputs."""
     w = Window.partitionBy(*keys).orderBy(order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rec = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
-    out = df.select(*keys, order, target, *[c for c in features if c != target],
-                    (F.row_number().over(w) - 1).cast("int").alias("i"), n.alias("_n"),
-                    F.collect_list(rec).over(w.rowsBetween(0, seq_len - 1)).alias("x"),
+    extra = []
+    if features:
+        rec = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
+        extra = [F.collect_list(rec).over(w.rowsBetween(0, seq_len - 1)).alias("x")]
+    out = df.select(*keys, order, (F.row_number().over(w) - 1).cast("int").alias("i"), n.alias("_n"), *extra,
                     F.collect_list(F.col(target).cast("double")).over(
                         w.rowsBetween(seq_len, seq_len + horizon - 1)).alias("y"))
     last = F.col("_n") - seq_len - horizon
     keep = (F.col("i") <= last) if include_last else (F.col("i") < last)
-    out = out.where(keep)
     if require_positive:
-        out = out.where(F.aggregate("y", F.lit(0.0), lambda s, v: s + v) > 0)
-    return out.select(*keys, "i", F.col(order).alias("window_start"), "x", "y")
+        keep = keep & (F.aggregate("y", F.lit(0.0), lambda s, v: s + v) > 0)
+    return out.withColumn("_keep", keep)
+
+
+def split_windows(df: DataFrame, key=("store", "itemno"), order: str = "date", features=WINDOW_FEATURES,
+                  target: str = "sale_bottles", seq_len: int = SEQ_LEN, horizon: int = HORIZON,
+                  include_last: bool = False, require_positive: bool = True,
+                  fraction: float = TRAIN_FRACTION, part: str | None = None) -> DataFrame:
+    """``supervised_windows`` and ``chronological_split`` in one: the samples
+    with ``sample_index`` and ``split``, or one ``part`` of them.
+
+    The samples of each series are counted first, without their inputs; what
+    stays is one row per series, its offset among all samples.  Only then are
+    arrays built, and only for series that reach into ``part``; a sample's
+    rank is a running count in the same window pass."""
+    keys = _keys(key)
+    counted = (_marked_windows(df, keys, order, target, seq_len, horizon, include_last, require_positive)
+               .groupBy(*keys).agg(F.count_if("_keep").alias("_n")))
+    sizes = cut_lineage(global_offsets(counted, keys, "_n", "_offset"))
+    cut = math.floor((sizes.agg(F.sum("_n")).first()[0] or 0) * fraction)
+    if part == "train":
+        sizes = sizes.where(F.col("_offset") < cut)
+    elif part == "validation":
+        sizes = sizes.where(F.col("_offset") + F.col("_n") > cut)
+    rows = df.join(sizes.select(*keys), keys, "left_semi") if part else df
+    marked = _marked_windows(rows, keys, order, target, seq_len, horizon, include_last, require_positive, features)
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_rank", F.sum(F.col("_keep").cast("int")).over(before) - 1).where("_keep")
+    out = marked.join(sizes.select(*keys, "_offset"), keys).withColumn("sample_index", F.col("_offset") + F.col("_rank"))
+    out = out.withColumn("split", F.when(F.col("sample_index") < cut, F.lit("train")).otherwise(F.lit("validation")))
+    if part:
+        out = out.where(F.col("split") == part)
+    return out.select(*keys, "i", F.col(order).alias("window_start"), "x", "y", "sample_index", "split")
 
 
 def chronological_split(samples: DataFrame, key=("store", "itemno"), fraction: float = TRAIN_FRACTION) -> DataFrame:

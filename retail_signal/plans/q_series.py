@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import first_non_null, pd_sum
 from ..operators import evaluate as ev
+from ..operators import forecast as fc
 from ..operators import series as se
 from ..operators.profile import decompose
 from ..operators.aggregate import valid_lines
@@ -76,12 +77,11 @@ split AS (SELECT *, ROW_NUMBER() OVER (ORDER BY city, category_name, i) - 1 AS s
   COUNT(*) OVER () AS total FROM win2)"""
 
 
-def _windows(spark, sf_dir):
+def _scaled(spark, sf_dir):
     # The dense series feeds the min-max fit, the windows and the
     # de-normalisation: materialise it once in the shared checkpoint folder.
     dense = cut_lineage(se.fill_missing_dates(series_day(spark, sf_dir), key=SKEY))
-    scaled = se.minmax_scale(dense)
-    return dense, se.supervised_windows(scaled, key=SKEY)
+    return dense, se.minmax_scale(dense)
 
 
 I07_SQL = (with_ctes(DAILY_SQL, """rf AS (
@@ -138,7 +138,8 @@ def d31_minmax_fit(spark, sf_dir):
 def e21_supervised_windows(spark, sf_dir):
     """30-day input / 30-day target windows over scaled dense series,
     positive-target windows only (arrays summarised per window)."""
-    _, w = _windows(spark, sf_dir)
+    _, scaled = _scaled(spark, sf_dir)
+    w = se.supervised_windows(scaled, key=SKEY)
     hb = F.transform("x", lambda r: r.getField("sale_bottles"))
     hp = F.transform("x", lambda r: r.getField("pack"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
@@ -153,18 +154,22 @@ def e21_supervised_windows(spark, sf_dir):
   CASE WHEN sample_index < FLOOR(total * 0.8) THEN 'train' ELSE 'validation' END AS split FROM split""")
 def e22_chronological_split(spark, sf_dir):
     """80/20 split by global sample position (series order, then start)."""
-    _, w = _windows(spark, sf_dir)
-    return se.chronological_split(w.select(*SKEY, "i"), key=SKEY)
+    _, scaled = _scaled(spark, sf_dir)
+    return se.split_windows(scaled, key=SKEY).select(*SKEY, "i", "sample_index", "split")
 
 
 def _validation_predictions(spark, sf_dir):
-    dense, w = _windows(spark, sf_dir)
-    split = se.chronological_split(w, key=SKEY)
-    val = split.where(F.col("split") == "validation")
-    pred = ev.baseline_predictions(val, key=SKEY)
+    dense, scaled = _scaled(spark, sf_dir)
+    pred = ev.baseline_predictions(se.split_windows(scaled, key=SKEY, part="validation"), key=SKEY)
     return ev.denormalize(pred, se.minmax_fit(dense))
 
 
+METRICS_SQL = """SELECT model, ROUND(AVG(ABS(y - y_hat)), 9) AS mae, ROUND(AVG((y - y_hat) * (y - y_hat)), 9) AS mse,
+  ROUND(SQRT(AVG((y - y_hat) * (y - y_hat))), 9) AS rmse,
+  ROUND(AVG(ABS(y - y_hat) / GREATEST((ABS(y) + ABS(y_hat)) / 2.0, 1e-8)) * 100.0, 9) AS smape,
+  COUNT(*) AS n FROM pred GROUP BY model"""
+
+
 @register("l01_baseline_metrics", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL, """val AS (
   SELECT city, category_name, i, h, y, list_avg(h) AS m FROM split WHERE sample_index >= FLOOR(total * 0.8))""",
     """steps AS (SELECT v.*, s.step FROM val v, (SELECT range AS step FROM range(30)) s)""",
@@ -172,10 +177,7 @@ def _validation_predictions(spark, sf_dir):
   SELECT 'seasonal_naive' AS model, y[step + 1] * sb_range + sb_min AS y, h[step + 1] * sb_range + sb_min AS y_hat FROM steps CROSS JOIN fit
   UNION ALL
   SELECT 'moving_average' AS model, y[step + 1] * sb_range + sb_min AS y, m * sb_range + sb_min AS y_hat FROM steps CROSS JOIN fit)""")
-    + """SELECT model, ROUND(AVG(ABS(y - y_hat)), 9) AS mae, ROUND(AVG((y - y_hat) * (y - y_hat)), 9) AS mse,
-  ROUND(SQRT(AVG((y - y_hat) * (y - y_hat))), 9) AS rmse,
-  ROUND(AVG(ABS(y - y_hat) / GREATEST((ABS(y) + ABS(y_hat)) / 2.0, 1e-8)) * 100.0, 9) AS smape,
-  COUNT(*) AS n FROM pred GROUP BY model""")
+    + METRICS_SQL)
 def l01_baseline_metrics(spark, sf_dir):
     """Seasonal-naive and moving-average forecasts on the validation
     windows, de-normalised; MAE, MSE, RMSE, sMAPE per model."""
@@ -201,24 +203,92 @@ def l02_regression_forecast(spark, sf_dir):
     return ev.forecast_metrics(pred)
 
 
+@register("l03_normal_equations", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL, """reg AS (
+  SELECT [1.0, h[30], h[29], h[24], h[17], list_sum(h[24:30]) / 7.0, list_sum(h[17:30]) / 14.0, list_sum(h) / 30.0] AS r, y
+  FROM split WHERE sample_index < FLOOR(total * 0.8))""",
+    """cells AS (SELECT i, j, r[i + 1] * CASE WHEN j < 8 THEN r[j + 1] ELSE y[j - 7] END AS v
+  FROM reg, (SELECT CAST(range AS INTEGER) AS i FROM range(8)), (SELECT CAST(range AS INTEGER) AS j FROM range(38)))""")
+    + "SELECT i, j, ROUND(SUM(v), 6) AS value FROM cells GROUP BY i, j")
+def l03_normal_equations(spark, sf_dir):
+    """The sums a direct 30-day regressor is solved from, over all training
+    windows: regressors by regressors and by forecast days."""
+    _, scaled = _scaled(spark, sf_dir)
+    sums = fc.normal_equations(se.split_windows(scaled, key=SKEY, part="train"))
+    return sums.select("i", "j", F.round("value", 6).alias("value"))
+
+
+@register("k05_user_model_metrics", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL,
+    """steps AS (SELECT v.*, s.step FROM split v, (SELECT range AS step FROM range(30)) s WHERE sample_index >= FLOOR(total * 0.8))""",
+    """pred AS (SELECT 'weekday_mean' AS model, y[step + 1] * sb_range + sb_min AS y,
+  (h[24 + step % 7] + h[17 + step % 7] + h[10 + step % 7] + h[3 + step % 7]) / 4.0 * sb_range + sb_min AS y_hat
+  FROM steps CROSS JOIN fit)""") + METRICS_SQL)
+def k05_user_model_metrics(spark, sf_dir):
+    """A user's function over arrays of windows (here: same-weekday means)
+    scored on the validation windows; its error metrics."""
+    dense, scaled = _scaled(spark, sf_dir)
+    val = se.split_windows(scaled, key=SKEY, part="validation")
+    pred = fc.score_windows(val, fc.weekday_mean, "weekday_mean", key=SKEY)
+    return ev.forecast_metrics(ev.denormalize(pred, se.minmax_fit(dense)))
+
+
+@register("l03_model_comparison")
+def l03_model_comparison(spark, sf_dir):
+    """Two baselines, the direct regressor fitted on the training windows and
+    a user's function, compared on the same validation windows."""
+    dense, scaled = _scaled(spark, sf_dir)
+    beta = fc.fit_direct(se.split_windows(scaled, key=SKEY, part="train"))
+    val = se.split_windows(scaled, key=SKEY, part="validation")
+    pred = (ev.baseline_predictions(val, key=SKEY).unionByName(fc.direct_predictions(val, beta, key=SKEY))
+            .unionByName(fc.score_windows(val, fc.weekday_mean, "weekday_mean", key=SKEY)))
+    return ev.forecast_metrics(ev.denormalize(pred, se.minmax_fit(dense)))
+
+
+SAMPLE_SQL = """sample AS (SELECT * FROM split WHERE sample_index >= FLOOR(total * 0.8)
+  ORDER BY md5(concat_ws('|', city, category_name, CAST(i AS VARCHAR), '42')), city, category_name, i LIMIT 10)"""
+
+
+def _validation_sample(spark, sf_dir):
+    dense, scaled = _scaled(spark, sf_dir)
+    val = se.split_windows(scaled, key=SKEY, part="validation")
+    return dense, cut_lineage(ev.sample_examples(val, 10, key=SKEY))
+
+
+@register("f08_window_sample", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL, SAMPLE_SQL)
+          + "SELECT city, category_name, i, window_start, CAST(sample_index AS BIGINT) AS sample_index FROM sample")
+def f08_window_sample(spark, sf_dir):
+    """Ten validation windows drawn by the md5 of their key."""
+    _, samples = _validation_sample(spark, sf_dir)
+    return samples.select(*SKEY, "i", "window_start", "sample_index")
+
+
 @register("l04_forecast_examples")
 def l04_forecast_examples(spark, sf_dir):
     """Ten sampled validation windows with start date, item text, address
-    and predicted / actual arrays per baseline model."""
-    dense, w = _windows(spark, sf_dir)
-    val = se.chronological_split(w, key=SKEY).where(F.col("split") == "validation")
-    pred = ev.denormalize(ev.baseline_predictions(val, key=SKEY), se.minmax_fit(dense))
-    samples = ev.sample_examples(val, 10, key=SKEY)
-    lines = sales(spark, sf_dir).withColumn("category_name", F.col("category_name"))
+    and predicted / actual arrays per baseline model; only the sampled
+    windows are predicted."""
+    dense, samples = _validation_sample(spark, sf_dir)
+    pred = ev.denormalize(ev.baseline_predictions(samples, key=SKEY), se.minmax_fit(dense))
     # Item text looked up by the series' category (first line by date).
-    info = ev.first_match(lines, "category_name", ["im_desc", "address"])
-    p = (pred.join(samples.select(*SKEY, "i"), SKEY + ["i"], "left_semi")
-             .groupBy("model", *SKEY, "i")
-             .agg(F.array_sort(F.collect_list(F.struct("step", "y", "y_hat"))).alias("_s")))
-    out = p.select("model", *SKEY, "i", F.transform("_s", lambda r: r.getField("y_hat")).alias("predicted"),
-                   F.transform("_s", lambda r: r.getField("y")).alias("actual"))
-    out = out.join(samples.select(*SKEY, "i", "window_start"), SKEY + ["i"]).join(info, "category_name", "left")
-    return out.withColumn("forecast_start", F.date_format(F.date_add("window_start", 30), "yyyy-MM-dd"))
+    return ev.example_report(samples, pred, sales(spark, sf_dir), key=SKEY, lookup="category_name")
+
+
+@register("l04_example_totals", sql=with_ctes(SERIES_SQL, DENSE_SQL, FIT_SQL, WINDOWS_SQL, SAMPLE_SQL,
+    """steps AS (SELECT v.*, list_avg(h) AS m, s.step FROM sample v, (SELECT range AS step FROM range(30)) s)""",
+    """pred AS (
+  SELECT 'seasonal_naive' AS model, *, h[step + 1] * sb_range + sb_min AS y_hat, y[step + 1] * sb_range + sb_min AS yy FROM steps CROSS JOIN fit
+  UNION ALL SELECT 'moving_average', *, m * sb_range + sb_min, y[step + 1] * sb_range + sb_min FROM steps CROSS JOIN fit)""",
+    """info AS (SELECT category_name, MIN({'d': date, 'v': im_desc}) FILTER (WHERE im_desc IS NOT NULL).v AS im_desc,
+  MIN({'d': date, 'v': address}) FILTER (WHERE address IS NOT NULL).v AS address FROM sales GROUP BY category_name)""")
+    + """SELECT model, city, category_name, i, strftime(window_start + INTERVAL 30 DAY, '%Y-%m-%d') AS forecast_start,
+  im_desc, address, ROUND(SUM(y_hat), 6) AS predicted_total, ROUND(SUM(yy), 6) AS actual_total
+FROM pred LEFT JOIN info USING (category_name) GROUP BY ALL""")
+def l04_example_totals(spark, sf_dir):
+    """The example report with its arrays added up."""
+    def total(c):
+        return F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 6)
+    return l04_forecast_examples(spark, sf_dir).select(
+        "model", *SKEY, "i", "forecast_start", "im_desc", "address",
+        total("predicted").alias("predicted_total"), total("actual").alias("actual_total"))
 
 
 @register("m11_decomposition", sql=with_ctes(DAILY_SQL, """dd AS (
