@@ -7,9 +7,11 @@ the number of column pairs, never the data.  Contingency tables stay long
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -68,14 +70,16 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
-                       chunk: int = 10) -> DataFrame:
+                       chunk: int = 10, written: bool = False) -> DataFrame:
     """Pearson correlation of every column pair, NULLs skipped pairwise.
     Long form with both orders and the diagonal.  Pairs are evaluated in
     chunks of ``chunk`` ``corr`` expressions per aggregate: a wider aggregate
     generates methods too large for the JIT and runs ~3× slower than the
-    extra passes cost; they read a written table of these columns."""
+    extra passes cost; they read a written table of these columns
+    (``written``: ``df`` is one)."""
     cols = columns or numeric_columns(df)
-    df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    if not written:
+        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     pairs = list(combinations_with_replacement(cols, 2))
     parts = []
     for i in range(0, len(pairs), chunk):
@@ -221,6 +225,57 @@ def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5) ->
     return q.join(w, group).drop("lo_fence", "hi_fence")
 
 
+@dataclass(frozen=True)
+class Profile:
+    """The tables of ``profile_report``; those that depend on a choice of
+    columns are None where nothing was chosen."""
+
+    table: DataFrame            # the profiled columns, written
+    shape: DataFrame            # D22: column, dtype, row_count, non_null
+    nulls: DataFrame            # D20: column, null_count
+    describe: DataFrame         # D21
+    correlations: DataFrame     # D23, long
+    target: DataFrame | None    # D24, ranked
+    cramers_v: DataFrame | None  # D27, long
+    histograms: dict[str, DataFrame]  # D28 by column
+    boxes: DataFrame | None     # D29
+
+
+def profile_report(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] = (),
+                   target: str | None = None, histograms: list[str] = (), box: tuple[str, str] | None = None,
+                   bins: int = 50) -> Profile:
+    """The whole profile by one call.
+
+    The source is read once: while the profiled columns are written, an
+    ``Observation`` counts rows and values and takes the moments.  All else
+    (quartiles, correlations, contingency, boxes) reads the written table.
+    The tables are those of the single operators."""
+    from .quantile import exact_quantiles
+    numeric = numeric or numeric_columns(df)
+    seen = Observation(f"profile-{uuid.uuid4().hex[:8]}")
+    metrics = [F.count(F.lit(1)).alias("rows"), *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(df.columns)]]
+    for i, c in enumerate(numeric):
+        x = F.col(c).cast("double")
+        metrics += [F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
+    table = cut_lineage(df.observe(seen, *metrics))
+    got, spark = seen.get, df.sparkSession
+    counts = {c: got[f"n_{i}"] for i, c in enumerate(df.columns)}
+    shape = spark.createDataFrame([(got["rows"], c, t, counts[c]) for c, t in df.dtypes],
+                                  "row_count long, column string, dtype string, non_null long")
+    nulls = shape.select("column", (F.col("row_count") - F.col("non_null")).alias("null_count"))
+    quartiles = exact_quantiles(table, {c: [0.25, 0.5, 0.75] for c in numeric}, written=True)
+    described = [(c, float(counts[c]), got[f"mean_{i}"], got[f"std_{i}"], got[f"min_{i}"], *quartiles[c], got[f"max_{i}"])
+                 for i, c in enumerate(numeric)]
+    return Profile(
+        table, shape, nulls,
+        spark.createDataFrame(described, "column string, count double, mean double, std double, min double, q25 double, q50 double, q75 double, max double"),
+        correlation_matrix(table, numeric, written=True),
+        target_correlations(table, target, numeric) if target else None,
+        cramers_v_matrix(table, list(categorical)) if categorical else None,
+        {c: histogram(table, c, bins) for c in histograms},
+        box_summary(table, *box) if box else None)
+
+
 def price_per_unit(df: DataFrame) -> DataFrame:
     """Dollars per bottle; zero bottles → NULL (pandas gives inf)."""
     return df.withColumn("price_per_unit", F.try_divide(F.col("sale_dollars"),

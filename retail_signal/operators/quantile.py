@@ -87,14 +87,14 @@ class _Target:
 
 
 def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: int = ACCURACY,
-                    trace: list | None = None) -> dict[str, list]:
+                    trace: list | None = None, written: bool = False) -> dict[str, list]:
     """``{column: [p, ...]}`` → ``{column: [quantile, ...]}`` (NULL and NaN
     ignored; an empty column gives None).  ``trace`` receives the number of
-    open targets of every round."""
+    open targets of every round.  ``written``: ``df`` is a written table."""
     cols = list(spec)
-    # Written once: every pass reads these columns, not the plan behind them.
-    base = cut_lineage(df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-                                   for c in cols]))
+    base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    if not written:  # once: every pass reads these columns, not the plan behind them
+        base = cut_lineage(base)
     first = base.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
                        for c in cols]).first()
     counts = {c: first[c].n for c in cols}

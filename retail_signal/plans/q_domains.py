@@ -54,6 +54,31 @@ def m03_domain_discovery(spark, sf_dir):
     return dm.discover_domains(_sd(spark, sf_dir), SHIFT_FEATURES, k=4)
 
 
+@register("m03_domains_over_time")
+def m03_domains_over_time(spark, sf_dir):
+    """KMeans domains per quarter whose labels follow the clusters from one
+    quarter to the next; stores that moved, per quarter."""
+    return dm.domain_transitions(dm.domains_over_time(_sd(spark, sf_dir), SHIFT_FEATURES, k=4))
+
+
+@register("m03_domain_transitions", sql=with_ctes(DAILY_SQL, """per AS (
+  SELECT store, CAST(date_trunc('quarter', date) AS DATE) AS period, AVG(sale_dollars) AS v FROM daily GROUP BY 1, 2)""",
+    """lev AS (SELECT store, p.period, CAST(CASE WHEN v > 1.25 * m THEN 2 WHEN v > 0.75 * m THEN 1 ELSE 0 END AS INTEGER) AS domain
+  FROM per p JOIN (SELECT period, AVG(v) AS m FROM per GROUP BY 1) q ON q.period = p.period)""",
+    """mv AS (SELECT *, LAG(domain) OVER (PARTITION BY store ORDER BY period) AS from_domain FROM lev)""")
+    + """SELECT period, from_domain, domain AS to_domain, COUNT(*) AS stores FROM mv WHERE from_domain IS NOT NULL GROUP BY 1, 2, 3""")
+def m03_domain_transitions(spark, sf_dir):
+    """Stores that move between sales levels (below, around and above the
+    quarter's mean store) from quarter to quarter."""
+    per = (daily_totals(spark, sf_dir).groupBy("store", F.date_trunc("quarter", "date").cast("date").alias("period"))
+           .agg(F.avg("sale_dollars").alias("v")))
+    per = cut_lineage(per)
+    mean = per.groupBy("period").agg(F.avg("v").alias("m"))
+    v, m = F.col("v"), F.col("m")
+    level = F.when(v > 1.25 * m, 2).when(v > 0.75 * m, 1).otherwise(0)
+    return dm.domain_transitions(per.join(mean, "period").select("store", "period", level.alias("domain")))
+
+
 # Example basket conditions on the temporal features.
 BASKET_CONDITIONS = {
     "weekend": "weekday(date) >= 5",
@@ -72,6 +97,41 @@ def m04_rule_mining(spark, sf_dir):
     return dm.mine_rules(baskets, min_support=0.1, min_confidence=0.3)
 
 
+MINED = ["sale_dollars", "sale_dollars_lag_7d", "sale_dollars_rolling_mean_30D", "sale_dollars_rolling_std_30D", "days_since_last_purchase"]
+
+
+def _mined_items_sql():
+    cuts = ", ".join(f"QUANTILE_CONT({c}, [1/3, 2/3]) AS q_{c}" for c in MINED)
+    items = ", ".join(f"""CASE WHEN {c} <= q_{c}[1] THEN '{c}:1' WHEN {c} <= q_{c}[2] THEN '{c}:2' WHEN {c} > q_{c}[2] THEN '{c}:3' END""" for c in MINED)
+    return TEMPORAL_SQL.rstrip() + f""",
+cuts AS (SELECT {cuts} FROM temporal),
+bask AS (SELECT row_number() OVER () AS id, [x FOR x IN [{items}] IF x IS NOT NULL] AS items FROM temporal CROSS JOIN cuts),
+one AS (SELECT id, UNNEST(items) AS item FROM bask),
+n AS (SELECT COUNT(*) AS n FROM bask WHERE len(items) > 0),
+sets AS (SELECT item AS items, COUNT(*) AS freq FROM one GROUP BY 1
+  UNION ALL SELECT a.item || ' & ' || b.item, COUNT(*) FROM one a JOIN one b ON a.id = b.id AND a.item < b.item GROUP BY 1)
+SELECT items, CAST(freq AS BIGINT) AS freq FROM sets, n WHERE freq >= 0.05 * n"""
+
+
+@register("m04_frequent_items", sql=_mined_items_sql())
+def m04_frequent_items(spark, sf_dir):
+    """Items and pairs of items in at least 5 % of store-days, the items being
+    learned intervals of temporal features (FP-growth)."""
+    from pyspark.ml.fpm import FPGrowth
+    tf = cut_lineage(_tf(spark, sf_dir).select("store", "date", *MINED))
+    baskets = dm.transaction_items(tf, dm.interval_conditions(dm.cut_points(tf, MINED)))
+    found = FPGrowth(itemsCol="items", minSupport=0.05).fit(baskets).freqItemsets.where(F.size("items") <= 2)
+    return found.select(F.array_join(F.sort_array("items"), " & ").alias("items"), "freq")
+
+
+@register("m05_mined_rule_compliance")
+def m05_mined_rule_compliance(spark, sf_dir):
+    """Rules mined over learned intervals, checked per county."""
+    stores = store_attributes(sales(spark, sf_dir)).select("store", "county")
+    tf = cut_lineage(_tf(spark, sf_dir).select("store", "date", *MINED).join(stores, "store"))
+    return dm.mine_and_check(tf, dm.interval_conditions(dm.cut_points(tf, MINED)), "county", min_support=0.05, min_confidence=0.4)
+
+
 # Example IF–THEN rules (Spark SQL predicates).
 RULES = [
     ("weekend_below_month", "weekday(date) >= 5", "sale_dollars < sale_dollars_rolling_mean_30D"),
@@ -177,6 +237,28 @@ def m08_prediction_fusion(spark, sf_dir):
     return fused.select("store", "date", "y_hat_fused", F.lit(len(columns)).cast("long").alias("n_domains"))
 
 
+@register("m08_domain_fusion", sql=TEMPORAL_SQL.rstrip() + """,
+dom AS (SELECT t.store, t.date, t.sale_dollars, t.sale_dollars_rolling_mean_30D AS x, t.sale_dollars_rolling_std_30D AS sd, s.county AS domain
+  FROM temporal t JOIN (SELECT store, ARG_MIN(county, date) AS county FROM sales WHERE county IS NOT NULL GROUP BY store) s USING (store)),
+fit AS (SELECT domain AS source, REGR_SLOPE(sale_dollars, x) AS b, REGR_INTERCEPT(sale_dollars, x) AS a FROM dom GROUP BY domain),
+st AS (SELECT AVG(sale_dollars) AS m1, STDDEV_SAMP(sale_dollars) AS s1, AVG(x) AS m2, STDDEV_SAMP(x) AS s2, AVG(sd) AS m3, STDDEV_SAMP(sd) AS s3 FROM dom),
+zz AS (SELECT domain, AVG((sale_dollars - m1) / NULLIF(s1, 0)) AS z1, AVG((x - m2) / NULLIF(s2, 0)) AS z2, AVG((sd - m3) / NULLIF(s3, 0)) AS z3 FROM dom, st GROUP BY domain),
+sim AS (SELECT p.domain, q.domain AS source, EXP(-(COALESCE(POW(p.z1 - q.z1, 2), 0) + COALESCE(POW(p.z2 - q.z2, 2), 0) + COALESCE(POW(p.z3 - q.z3, 2), 0))) AS weight
+  FROM zz p CROSS JOIN zz q)
+SELECT store, date, ROUND(SUM((a + b * x) * weight) / SUM(weight), 9) AS y_hat_fused, COUNT(*) AS n_domains
+FROM dom JOIN sim USING (domain) JOIN fit USING (source) WHERE x IS NOT NULL AND b IS NOT NULL GROUP BY store, date""")
+def m08_domain_fusion(spark, sf_dir):
+    """Next to its own domain's regressor (county), every store-day is
+    predicted by those of all domains, weighted by exp(−MMD) between them."""
+    features = ["sale_dollars", "sale_dollars_rolling_mean_30D", "sale_dollars_rolling_std_30D"]
+    stores = store_attributes(sales(spark, sf_dir)).select("store", F.col("county").alias("domain"))
+    tf = cut_lineage(_tf(spark, sf_dir).select("store", "date", *features).join(stores, "store"))
+    fitted = dm.domain_regressors(tf, "sale_dollars", features[1])
+    preds = dm.source_predictions(tf, fitted, features[1], ["store", "date"])
+    return dm.fuse_predictions(preds, F.broadcast(dm.domain_similarities(tf, features)),  # pairs of counties
+                               ["store", "date"], ["domain", "source"])
+
+
 @register("m09_early_warning", sql=TEMPORAL_SQL + """SELECT tp, fp, fn, tn,
   ROUND(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 9) AS accuracy,
   ROUND(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 9) AS precision,

@@ -193,6 +193,20 @@ def d29_box_summary(spark, sf_dir):
     return prof.box_summary(prof.price_per_unit(sales(spark, sf_dir)), "category_name", "price_per_unit")
 
 
+@register("i10_profile_report", sql=with_ctes(GAPPY_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, {R(f'AVG({c})')} AS mean, "
+    f"{R(f'STDDEV_SAMP({c})')} AS std, {R(f'MIN({c})')} AS min, {R(f'QUANTILE_CONT({c}, 0.25)')} AS q25, "
+    f"{R(f'QUANTILE_CONT({c}, 0.5)')} AS q50, {R(f'QUANTILE_CONT({c}, 0.75)')} AS q75, {R(f'MAX({c})')} AS max, "
+    f"{R(f'CORR({c}, sale_dollars)')} AS with_sales FROM gappy" for c in NUMERIC))
+def i10_profile_report(spark, sf_dir):
+    """One profile call over lines with gaps: its tables of shape, nulls,
+    moments, quartiles and correlations, joined by column."""
+    p = prof.profile_report(gappy(spark, sf_dir).select(*NUMERIC, *CATEGORICAL), NUMERIC)
+    with_sales = p.correlations.where("col_a = 'sale_dollars'").select(F.col("col_b").alias("column"), F.col("value").alias("with_sales"))
+    return (p.describe.drop("count").join(p.nulls, "column").join(p.shape.select("column", "row_count"), "column").join(with_sales, "column")
+            .select("column", "row_count", "null_count", "mean", "std", "min", "q25", "q50", "q75", "max", "with_sales"))
+
+
 @register("h13_price_per_unit", sql=with_ctes() + "SELECT invoice_line_no, itemno, store, date, "
           + R("sale_dollars / NULLIF(CAST(sale_bottles AS DOUBLE), 0)") + " AS price_per_unit FROM sales")
 def h13_price_per_unit(spark, sf_dir):

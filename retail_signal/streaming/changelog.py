@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.fs import Folder
+
 
 class ChangeLog:
     """The newest row per ``keys``; ``schema`` is that of the rows."""
@@ -28,41 +30,19 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType | str):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        self._jvm = spark.sparkContext._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- small files -------------------------------------------------------
-
-    def _hadoop(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._hadoop(folder)
-        if not self._fs.exists(at):
-            return []
-        return [s.getPath().getName() for s in self._fs.listStatus(at)]
-
-    def _mark(self, folder: str, name: str) -> None:
-        """An empty file that is there at once or not at all."""
-        temporary = self._hadoop(f"tmp/{uuid.uuid4().hex}")
-        self._fs.create(temporary, True).close()
-        self._fs.mkdirs(self._hadoop(folder))
-        target = self._hadoop(f"{folder}/{name}")
-        if not self._fs.rename(temporary, target) and not self._fs.exists(target):
-            raise OSError(f"cannot write {target}")
+        self._files = Folder(spark, self.path)
 
     # -- batches -----------------------------------------------------------
 
     def snapshot(self) -> tuple[int, str | None]:
         """(last batch in the newest complete snapshot, its name)."""
-        found = [(int(n.split("-")[0]), n) for n in self._names("pointers")]
+        found = [(int(n.split("-")[0]), n) for n in self._files.names("pointers")]
         return max(found, default=(-1, None))
 
     def epochs(self) -> list[int]:
         """The complete batches that the snapshot does not hold."""
         last = self.snapshot()[0]
-        return sorted(n for n in map(int, self._names("done")) if n > last)
+        return sorted(n for n in map(int, self._files.names("done")) if n > last)
 
     def last(self) -> int:
         """The newest complete batch, -1 before the first."""
@@ -76,7 +56,7 @@ class ChangeLog:
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/changes/epoch={epoch}")
 
     def commit(self, epoch: int) -> None:
-        self._mark("done", str(epoch))
+        self._files.mark(f"done/{epoch}")
 
     # -- reading -----------------------------------------------------------
 
@@ -125,24 +105,24 @@ class ChangeLog:
         return name
 
     def publish(self, name: str) -> None:
-        self._mark("pointers", name)
+        self._files.mark(f"pointers/{name}")
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete batches that a snapshot holds and all but the newest
         ``keep`` + 1 snapshots; readers of older ones must have finished."""
-        pointers = sorted(self._names("pointers"), key=lambda n: int(n.split("-")[0]))
+        pointers = sorted(self._files.names("pointers"), key=lambda n: int(n.split("-")[0]))
         if not pointers:
             return
         last, kept = int(pointers[-1].split("-")[0]), set(pointers[-(keep + 1):])
-        for n in self._names("snapshots"):
+        for n in self._files.names("snapshots"):
             if n not in kept and int(n.split("-")[0]) <= last:
-                self._fs.delete(self._hadoop(f"snapshots/{n}"), True)
+                self._files.delete(f"snapshots/{n}")
         for n in pointers:
             if n not in kept:
-                self._fs.delete(self._hadoop(f"pointers/{n}"), False)
-        for n in self._names("changes"):
+                self._files.delete(f"pointers/{n}")
+        for n in self._files.names("changes"):
             if int(n.split("=")[1]) <= last:
-                self._fs.delete(self._hadoop(f"changes/{n}"), True)
-        for n in self._names("done"):
+                self._files.delete(f"changes/{n}")
+        for n in self._files.names("done"):
             if int(n) <= last:
-                self._fs.delete(self._hadoop(f"done/{n}"), False)
+                self._files.delete(f"done/{n}")
