@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialise, record_batch, table, texts_of
+from .common import column, map_arrow, materialise, record_batch, table, texts_of, whole_text
 from .components import components
 from ..session import ship_package
 
@@ -72,21 +72,26 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
 
 def _fingerprinter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield record_batch(_PRINTS, [column(batch, "doc_id"), prints])
+            yield record_batch(_PRINTS, [column(batch, "doc_id"), column(batch, "text_hash"), prints])
     return run
 
 
+def row_key() -> list:
+    """What tells rows of ``docs`` apart: the id and a hash of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash")]
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return map_arrow(slim, _fingerprinter(width), "doc_id long, fp long")
+    """(doc_id, text_hash, fp): the fingerprint's 64 bits as a signed long."""
+    slim = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
+    return map_arrow(slim, _fingerprinter(width), "doc_id long, text_hash long, fp long")
 
 
 def bands(count: int) -> list[tuple[int, int]]:
@@ -251,27 +256,57 @@ def fingerprint_links(distinct: DataFrame, radius: int, limit: int = BLOCK) -> D
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, limit: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, text_hash, fp, component_id, root) for every row of ``docs``;
+    ``root`` names the component by a fingerprint of it."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(fingerprint_links(classes.select("fp"), radius, limit))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"),
+    named = materialise(rooted.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id", "root"),
                         "fingerprint-components")
-    return prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one of its least doc_id,
-    and of rows that repeat that id any one.  Rows without an id stay."""
-    keep = (near_duplicates(docs, width, radius).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("k_id")).distinct())
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.col("doc_id").cast("long").alias("k"))
-    kept = inner.join(keep, F.col("k") == F.col("k_id"), "left_semi").groupBy("k").agg(F.first("row").alias("row"))
-    return kept.select("row").unionByName(inner.where("k is null").select("row")).select("row.*")
+    return prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+#: Keys of rows to drop that are sent to every task (16 bytes each); more are
+#: joined by a shuffle.
+SENT_KEYS = 2_000_000
+
+
+def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """``docs`` with one row of each component: of its rows the one with the
+    least (doc_id, hash of the text), ids before nulls.  Rows are told apart
+    by id and text, so rows that share an id stay unless their texts are near,
+    and rows without an id take part.  Of rows equal in both, the one with
+    the least hash over all columns stays.
+
+    Only keys of the rows that go, and of rows that repeat one that stays,
+    meet the texts: up to ``sent_keys`` of them are broadcast, so no text
+    moves; beyond that the join shuffles."""
+    key = ["doc_id", "text_hash"]
+    found = near_duplicates(docs, width, radius).groupBy("root", *key).agg(F.count(F.lit(1)).alias("copies"))
+    found = materialise(found, "near-duplicate-keys")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("keys"), F.sum("copies").alias("rows"))
+    # Most components are one row; the others give the marks.
+    first = first.where("rows > 1").drop("rows", "keys")
+    marks = (found.join(first, "root").withColumn("stays", order == F.col("first"))
+             .where(~F.col("stays") | (F.col("copies") > 1))
+             .select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "stays"))
+    marks = materialise(marks, "near-duplicate-marks")
+    n, repeats = marks.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+    if not n:
+        return docs
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    marked = inner.join(F.broadcast(marks) if n <= sent_keys else marks,
+                        F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    kept = marked.where("stays is null").select("row")
+    if repeats:
+        again = (marked.where("stays").withColumn("h", F.xxhash64(F.to_json("row")))
+                 .groupBy(*key).agg(F.min_by("row", "h").alias("row")))
+        kept = kept.unionByName(again.select("row"))
+    return kept.select("row.*")
 
 
 def op8_simhash_pivots(spark, sf_dir):

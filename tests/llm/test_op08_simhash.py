@@ -99,4 +99,23 @@ def test_odd_rows_and_empty_tables(spark):
     left = S.deduplicated(docs)
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "6", "7", "8", "9", "None"]
+    assert {r.text for r in left.collect()} == {r[1] for r in odd_rows()} - {"", " \n\t "}
     assert S.near_duplicates(frame(spark, [])).count() == 0 and S.deduplicated(frame(spark, [])).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, c), (None, c), (None, a), (3, None), (4, ""), (None, prose(50, 9)), (7, b + " x")]
+    docs = frame(spark, rows)
+    for sent in (S.SENT_KEYS, 0):
+        for parts in (1, 5):
+            left = S.deduplicated(docs.repartition(parts), sent_keys=sent)
+            assert left.columns == docs.columns
+            got = sorted((str(r.doc_id), r.text or "") for r in left.collect())
+            assert got == sorted([("1", a), ("1", b), ("None", c), ("3", ""), ("None", prose(50, 9))])
+
+
+def test_reruns_choose_the_same_of_rows_equal_in_id_and_text(spark):
+    docs = frame(spark, [(1, "one two three four five", "en", s) for s in "abcdefgh"])
+    first = {tuple(S.deduplicated(docs.repartition(n)).first()) for n in (1, 3, 8)}
+    assert len(first) == 1
