@@ -9,10 +9,11 @@ hot if its Shannon entropy reaches the limit of its character class (a class
 is decided by counts too, kept in the same way).  Hot windows that touch form
 one ``entropy`` span.
 
-Suppressed: known forms (reported already) and the plain word 'example' are cut
-out of a candidate, and windows slide over what stands between; spans that match
-the allow-list (identifiers that look random but are none, such as UUIDs, or
-published example keys), alone or with the word around them, are dropped.
+Suppressed: known forms (reported already) and what matches the allow-list
+(UUIDs, the plain word 'example', counting sequences, the alphabet, a published
+example key) are cut out of a candidate, and windows slide over what stands
+between, so a key beside them is found.  A span is dropped if all pieces it
+touches between the joints of a path or name read like words.
 
 Positions are code points, ends exclusive.  Defined results: a null or empty
 text has no findings; repeated rows are scanned each for itself; other columns
@@ -45,16 +46,21 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: do, digits are taken for numbers.
 LIMITS = {"one case": 4.1, "hex": 3.0, "one case and digits": 3.5, "both cases": 4.1, "both cases and digits": 3.8}
 
-#: Strings that look random but are no secrets.
+#: Strings that look random but are no secrets.  Each is cut out
+#: of a run where it stands, and what is left beside it is scanned.
 ALLOW = (
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i).*example.*",
-    r"(?i)(0123456789)+(abcdef)*.*",
-    r"(?i).*abcdefghijklmnopqrstuvwxyz.*",
-    r"[/_=-]*([A-Za-z]+[/_=-]+)+[A-Za-z]+[/_=-]*",
+    r"(?<![0-9A-Za-z])(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?![0-9A-Za-z])",
+    r"(?<![A-Za-z0-9])(?:[a-z]*example[a-z]*|[A-Z]*EXAMPLE[A-Z]*)(?![A-Za-z0-9])",
+    r"(?:0123456789)+(?:abcdef|ABCDEF)*",
+    r"(?i:abcdefghijklmnopqrstuvwxyz)",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
 )
-#: The plain word, which no key beside it shares.
-_EXAMPLE = re.compile(r"(?<![A-Za-z0-9])(?:[a-z]*example[a-z]*|[A-Z]*EXAMPLE[A-Z]*)(?![A-Za-z0-9])")
+#: A piece of a path or of a name: a word of one case, or with capitals where
+#: words begin, and short enough to be read.
+_WORDS = re.compile(r"(?:[a-z]{1,16}|[A-Z]{1,16}|(?:[A-Z]?[a-z]{2,15}){1,4})\Z")
+#: Vowels of words; a piece of five letters and more has one among any five.
+_JOINTS = "/_=+-"
+_NO_VOWEL = re.compile(r"(?i)[^aeiouy]{6}")
 
 
 @dataclass(frozen=True)
@@ -109,6 +115,17 @@ def hot_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, float]]:
     return [tuple(s) for s in spans]
 
 
+def in_words(text: str, start: int, end: int, first: int, last: int) -> bool:
+    """Whether the span stands in names only: all pieces it touches, between
+    the joints of paths and names in start to end, read like words."""
+    while first > start and text[first - 1] not in _JOINTS:
+        first -= 1
+    while last < end and text[last] not in _JOINTS:
+        last += 1
+    pieces = re.split(f"[{_JOINTS}]", text[first:last])
+    return all(not p or _WORDS.match(p) and not _NO_VOWEL.search(p) for p in pieces)
+
+
 def findings(text: str, spec: SecretSpec, allow: re.Pattern) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, bits) by start, then kind."""
     found = [("assign", m.start(), m.end(), None) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -122,14 +139,11 @@ def findings(text: str, spec: SecretSpec, allow: re.Pattern) -> list[tuple[str,
             known.append((start, end))
     for m in _CANDIDATE.finditer(text):
         cuts = [c for part in _outside(known, m.start(), m.end()) for c in _outside(
-            [(0, 0), *((w.start(), w.end()) for w in _EXAMPLE.finditer(text, *part))], *part)]
+            [(0, 0), *((w.start(), w.end()) for w in allow.finditer(text, *part))], *part)]
         for start, end in cuts:
             for first, last, bits in hot_spans(text[start:end], spec.window):
-                first, last = start + first, start + last
-                left = max(start, *(text.rfind(c, start, first) + 1 for c in "/+="))
-                right = min(end, *(i for c in "/+=" if (i := text.find(c, last, end)) >= 0), end)
-                if not allow.fullmatch(text[first:last]) and not allow.fullmatch(text[left:right]):
-                    found.append(("entropy", first, last, bits))
+                if not in_words(text, start, end, start + first, start + last):
+                    found.append(("entropy", start + first, start + last, bits))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 

@@ -69,6 +69,44 @@ def test_only_the_span_is_suppressed_not_its_whole_run():
     assert spans("qzjxkvwpfmbgthycdnsrl") == [("entropy", "qzjxkvwpfmbgthycdnsrl")]
 
 
+def test_keys_beside_sequences_examples_and_dashes_are_found():
+    def spans(text):
+        return [text[a:b] for k, a, b, _ in S.findings(text, S.SecretSpec(), _allow()) if k == "entropy"]
+    key = "xY7kQ9mZ2pL4vB8nR3tW6sJ5hG1dF0aC8eU2iO4q"
+    assert spans("0123456789" + key) == [key]
+    assert "".join(spans(key[:18] + "Example" + key[25:])) == key[:18] + "Example" + key[25:]
+    dashed = "qZjXkVwPfMbGtHyCdN-sRlQzJxKvWpFmBgTh"
+    assert spans(dashed) == [dashed]
+    assert spans("abcdefghijklmnopqrstuvwxyz" + key) == [key]
+    assert spans("123e4567-e89b-12d3-a456-426614174000/" + key)[0].endswith(key)
+    assert spans("src/main/java/org/sample/project/util/StringHelperFactory") == []
+    assert spans("very-long-article-title-with-many-plain-words-inside") == []
+
+
+def test_planted_keys_are_found_and_names_are_not():
+    import base64
+    import random
+    rnd = random.Random(11)
+    words = ["alpha", "river", "report", "Summer", "index", "value", "garden", "Window", "market", "number", "simple", "letter"]
+
+    def key():
+        raw = rnd.randbytes(rnd.choice([18, 24, 30, 36]))
+        return rnd.choice([base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="),
+                           "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32)),
+                           "".join(rnd.choice("abcdefghijkmnpqrstuvwxyz23456789") for _ in range(28))])
+
+    def name():
+        join = rnd.choice("/_-")
+        return rnd.choice([join.join(rnd.choices(words, k=rnd.randint(4, 8))), "".join(w.title() for w in rnd.choices(words, k=4)),
+                           str(rnd.getrandbits(90)), "%08x-%04x-%04x-%04x-%012x" % tuple(rnd.getrandbits(b) for b in (32, 16, 16, 16, 48))])
+
+    def entropy(text):
+        return any(k in ("entropy", "hex") for k, *_ in S.findings(text, S.SecretSpec(), _allow()))
+    found = sum(entropy(f"the {rnd.choice(words)} {key()} of") for _ in range(500))
+    false = sum(entropy(f"the {rnd.choice(words)} {name()} of") for _ in range(500))
+    assert found >= 0.9 * 500 and false <= 0.1 * 500, (found, false)
+
+
 def test_query_digest_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in S.op3_secret_entropy(spark, sf).collect()}
