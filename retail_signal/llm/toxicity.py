@@ -67,7 +67,10 @@ _SAME = re.compile(r"(.)\1*+", re.S)
 _DISGUISED = re.compile(r"[0-9@$!|+]|(.)\1|[^\W\d_][._*-]+[^\W\d_]", re.S)
 #: Tokens of a spaced word: lone characters, the first after and the last
 #: before punctuation, or each before punctuation.
-_SPACED = re.compile("[1(]1+[1)]|\\){3,}")
+_SPACED = re.compile("[1(]1+[1)]|\\){3,}|b{3,}")
+#: Lone letters, or signs like letters, with other signs between them.
+_LONE = re.compile(r"(?:[^\W_]|[@$!|+])(?:[^\w\s@$!|+]+(?:[^\W_]|[@$!|+])){2,}")
+_BETWEEN = re.compile(r"[^\w\s@$!|+]+")
 
 
 @dataclass(frozen=True)
@@ -164,13 +167,16 @@ def edge_costs(word: str) -> dict[int, float]:
 
 
 def _place(token: str) -> str:
-    """1 for a lone character, ( and ) for one after or before punctuation."""
+    """1 for a lone character, ( and ) for one after or before punctuation, b
+    for one between."""
     if len(token) == 1:
         return "1"
-    if len(token) > 8:  # no punctuation of a lone letter
-        return "0"
-    before, after = token.lstrip(_EDGE), token.rstrip(_EDGE)
-    return "(" if len(before) == 1 else ")" if len(after) == 1 else "0"
+    opens, closes = token[0] in _EDGE, token[-1] in _EDGE
+    if closes and len(token.rstrip(_EDGE)) == 1:
+        return ")"
+    if opens and len(token.lstrip(_EDGE)) == 1:
+        return "("
+    return "b" if opens and closes and len(token.strip(_EDGE)) == 1 else "0"
 
 
 class Restorer:
@@ -181,6 +187,8 @@ class Restorer:
 
     def token(self, token: str) -> list[str]:
         word = token.lower().strip(_PLAIN_EDGE)
+        if _LONE.fullmatch(word) and _LETTER.search(word):
+            word = _BETWEEN.sub(".", word)
         if not _DISGUISED.search(word):
             return [word.strip(_EDGE)]
         if not _LETTER.search(word):

@@ -27,7 +27,9 @@ def test_restores(costs, seen, words):
     ("m.0.r.0.n", ["moron"]), ("1.d.1.0.t", ["idiot"]), ("st.up.id", ["stupid"]), ("stuupid", ["stupid"]),
     ("iiddiioott", ["idiot"]), ("a$$ dumba$$", ["ass", "dumbass"]), ("!diot", ["idiot"]), ("you i d i o t. he", ["you", "idiot", "he"]),
     ('"m o r o n!"', ["moron"]), ("stupid$$$ THE!! OF,!!", ["stupid", "the", "of"]), ("455 ass hello", ["455", "ass", "hello"]),
-    ("a" + "idiot" + "t" * 100, ["aidiot"]),
+    ("a" + "idiot" + "t" * 100, ["aidiot"]), ("i/d/i/o/t", ["idiot"]), ("1/d/1/0/t", ["idiot"]), ("i~d~i~o~t", ["idiot"]),
+    ("i,d,i,o,t", ["idiot"]), ("you (i) (d) (i) (o) (t)", ["you", "idiot"]), ("i d i o t!!!!!!!!!!", ["idiot"]),
+    ("and/or 1/2/3 (a) b.", ["and/or", "1/2/3", "a", "b"]),
 ])
 def test_restores_every_form_of_disguise(costs, seen, words):
     assert T.Restorer(costs).words(seen) == words
