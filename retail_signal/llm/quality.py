@@ -6,10 +6,13 @@ the unbiased risk of a scorer z is
 
     R = pi E_P[l(z)] + max(0, E_U[l(-z)] - pi E_P[l(-z)])
 
-the second term being the risk of the negatives; held at zero or above, it
+the second term being the risk of the negatives, N; held at zero or above, it
 cannot be driven negative by overfitting the positives.  For the logistic loss
-l(z) - l(-z) = -z, so above zero R is convex, and Newton steps with halving
-minimise it; a step that would take the negatives' risk below zero is halved.
+l(z) - l(-z) = -z, so where N >= 0 the risk R is convex.  Newton steps minimise
+it; if the minimum lies where N < 0, they go along N = 0 instead, with a
+multiplier theta for that condition: theta R + (1 - theta) pi E_P[l(z)] has no
+slope there.  Fitting ends when the slope is below ``tolerance``, and reports
+slope, theta, N and passes.
 
 A document is described by ``FEATURES``, each cut into at most eight bins, and
 packed into one 64-bit pattern, so the scorer is a sum of bin weights.  The
@@ -29,6 +32,7 @@ if that is unknown too).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,7 +66,7 @@ SIZE = 8 * len(FEATURES) + 1
 class PuSpec:
     prior: float | None = None
     ridge: float = 1e-3
-    passes: int = 25
+    passes: int = 200  # never reached on convergent data; a warning says so
     tolerance: float = 1e-6
 
 
@@ -104,22 +108,25 @@ def _slots(codes: np.ndarray) -> np.ndarray:
 _SUMS = pa.schema([("sums", pa.list_(pa.float64()))])
 
 
+_UPPER = np.triu_indices(SIZE)
+
+
 def _pass(weights: np.ndarray):
     """One pass over the patterns at ``weights``: sums over U of the loss, the
-    negatives' loss of P, gradient and Hessian (upper part is symmetric)."""
+    negatives' loss of P; gradient and Hessian (upper part) of U as negatives,
+    then of P as positives."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + SIZE + SIZE * SIZE)
+        total = np.zeros(2 + 2 * SIZE + 2 * len(_UPPER[0]))
         for batch in batches:
             at = _slots(column(batch, "pattern").to_numpy())
             n_u, n_p = column(batch, "n_u").to_numpy(), column(batch, "n_p").to_numpy()
             z = weights[at].sum(1)
-            loss, s = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
+            loss, s = np.logaddexp(0, z), np.exp(-np.logaddexp(0, -z))
             hot = np.zeros((len(z), SIZE))
             hot[np.arange(len(z))[:, None], at] = 1
-            total[0] += n_u @ loss
-            total[1] += n_p @ loss
-            total[2:2 + SIZE] += (n_u * s) @ hot
-            total[2 + SIZE:] += ((hot * (n_u * s * (1 - s))[:, None]).T @ hot).ravel()
+            parts = [np.array([n_u @ loss, n_p @ loss]), (n_u * s) @ hot, (n_p * (s - 1)) @ hot]
+            parts += [((hot * (n * s * (1 - s))[:, None]).T @ hot)[_UPPER] for n in (n_u, n_p)]
+            total += np.concatenate(parts)
         yield record_batch(_SUMS, [[total.tolist()]])
     return run
 
@@ -139,10 +146,66 @@ def _summed(counted: DataFrame, fn) -> np.ndarray:
     return np.array([r.v for r in rows])
 
 
-def fit(codes: DataFrame, positives: DataFrame, prior: float, spec: PuSpec = PuSpec()) -> np.ndarray | None:
+@dataclass(frozen=True)
+class Point:
+    """The risk and its parts at ``w``: R, pi E_P[l(z)], N and their slopes."""
+    w: np.ndarray
+    risk: float
+    negatives: float
+    slope: np.ndarray       # of R
+    slope_p: np.ndarray     # of pi E_P[l(z)]
+    curve: np.ndarray
+    curve_p: np.ndarray
+
+    def residual(self, theta: float, ridge: float) -> np.ndarray:
+        """Zero at the minimum: the slope and, on the edge, N."""
+        slope = theta * self.slope + (1 - theta) * self.slope_p + ridge * self.w
+        return np.append(slope, self.negatives if theta != 1 else min(0.0, self.negatives))
+
+
+def minimum(at, spec: PuSpec) -> tuple[np.ndarray, dict]:
+    """Where ``at`` (weights to ``Point``) is least with N >= 0, and a report.
+    Cut short, it gives the best point met that keeps N >= 0."""
+    p, theta, passes = at(np.zeros(SIZE)), 1.0, 1
+    held = p  # the best point so far that keeps N >= 0
+    while True:
+        r = p.residual(theta, spec.ridge)
+        if np.abs(r).max() < spec.tolerance or passes >= spec.passes:
+            break
+        edge = theta != 1 or p.negatives < 0
+        curve = theta * p.curve + (1 - theta) * p.curve_p + spec.ridge * np.eye(SIZE)
+        if edge:
+            across = (p.slope - p.slope_p)[:, None]
+            move = -np.linalg.solve(np.block([[curve, across], [across.T, np.zeros((1, 1))]]), np.append(r[:-1], p.negatives))
+        else:
+            move = np.append(-np.linalg.solve(curve, r[:-1]), 0.0)
+        step = 1.0
+        while True:
+            new, passes, turned = at(p.w + step * move[:-1]), passes + 1, min(1.0, theta + step * move[-1])
+            if edge:
+                better = np.linalg.norm(new.residual(turned, spec.ridge)) < (1 - 0.1 * step) * np.linalg.norm(np.append(r[:-1], p.negatives))
+            else:
+                fall = spec.ridge / 2 * (new.w @ new.w - p.w @ p.w) + new.risk - p.risk
+                better = fall <= 1e-4 * step * (r[:-1] @ move[:-1])
+            if new.negatives >= 0 and new.risk + spec.ridge / 2 * new.w @ new.w < held.risk + spec.ridge / 2 * held.w @ held.w:
+                held = new
+            if better or step < 1e-4 or passes >= spec.passes:
+                break
+            step /= 2
+        p, theta = new, turned
+    report = {"passes": passes, "theta": theta, "negatives": p.negatives, "slope": float(np.abs(r).max()),
+              "converged": bool(np.abs(r).max() < spec.tolerance)}
+    if not report["converged"]:
+        p = held
+        warnings.warn(f"the non-negative risk is not minimised: {report}", RuntimeWarning, stacklevel=2)
+    return p.w, report
+
+
+def fit(codes: DataFrame, positives: DataFrame, prior: float, spec: PuSpec = PuSpec(), report: dict | None = None) -> np.ndarray | None:
     """Bin weights minimising the non-negative risk; None without positives.
 
-    ``codes``: (doc_id, pattern) of every document; ``positives``: (p_id)."""
+    ``codes``: (doc_id, pattern) of every document; ``positives``: (p_id).
+    ``report`` receives passes, theta, N, the slope left and ``converged``."""
     marked = codes.join(positives, codes.doc_id == positives.p_id, "left")
     counted = materialise(marked.groupBy("pattern").agg(
         F.count("*").alias("n_u"), F.count("p_id").alias("n_p")), "pu-patterns")
@@ -151,29 +214,23 @@ def fit(codes: DataFrame, positives: DataFrame, prior: float, spec: PuSpec = PuS
         return None
     mean_p = _summed(counted, _positive_sums) / n_p
 
-    def at(w: np.ndarray):
-        sums = _summed(counted, _pass(w))
+    def whole(upper: np.ndarray) -> np.ndarray:
+        m = np.zeros((SIZE, SIZE))
+        m[_UPPER] = upper
+        return m + np.triu(m, 1).T
+
+    def at(w: np.ndarray) -> Point:
+        sums, k = _summed(counted, _pass(w)), 2 + 2 * SIZE
+        own = sums[1] / n_p - mean_p @ w  # E_P[l(z)]
         negatives = sums[0] / n_u - prior * sums[1] / n_p
-        ridge = spec.ridge / 2 * w @ w
-        risk = prior * (sums[1] / n_p - mean_p @ w) + max(0.0, negatives) + ridge
-        gradient = sums[2:2 + SIZE] / n_u - prior * mean_p + spec.ridge * w
-        return risk, negatives, gradient, sums[2 + SIZE:].reshape(SIZE, SIZE) / n_u + spec.ridge * np.eye(SIZE)
-
-    w = np.zeros(SIZE)
-    risk, _, gradient, hessian = at(w)
-    passes, step = 1, 1.0
-    direction = np.linalg.solve(hessian, gradient)
-    while passes < spec.passes and step > 1e-3:
-        new, negatives, g, h = at(w - step * direction)
-        passes += 1
-        if negatives < 0 or new > risk:
-            step /= 2
-            continue
-        gain, w, risk, step = risk - new, w - step * direction, new, 1.0
-        direction = np.linalg.solve(h, g)
-        if gain < spec.tolerance:
-            break
-    return w
+        return Point(w, prior * own + negatives, negatives, sums[2:2 + SIZE] / n_u - prior * mean_p,
+                     prior * sums[2 + SIZE:k] / n_p, whole(sums[k:k + len(_UPPER[0])]) / n_u,
+                     prior * whole(sums[k + len(_UPPER[0]):]) / n_p)
+
+    weights, found = minimum(at, spec)
+    if report is not None:
+        report.update(found)
+    return weights
 
 
 def scored(codes: DataFrame, weights: np.ndarray | None, prior: float) -> DataFrame:

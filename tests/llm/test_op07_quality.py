@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from retail_signal.llm import quality as Q
@@ -29,6 +30,74 @@ def test_risk_of_negatives_stays_at_zero_or_above(spark):
     assert np.logaddexp(0, z).mean() - 0.99 * np.logaddexp(0, p).mean() >= -1e-9
 
 
+def _dense(codes, positive, prior, ridge):
+    """The least of max(R, pi E_P[l(z)]) by bisection on the multiplier of
+    plain Newton minima, on one machine."""
+    x = np.zeros((len(codes), Q.SIZE))
+    x[np.arange(len(codes))[:, None], Q._slots(codes)] = 1
+    xp = x[positive]
+
+    def value(w):
+        zu, zp = x @ w, xp @ w
+        own = prior * np.logaddexp(0, -zp).mean()
+        return np.logaddexp(0, zu).mean() - prior * zp.mean(), own, zu, zp
+
+    def newton(theta):
+        w = np.zeros(Q.SIZE)
+        for _ in range(200):
+            _, _, zu, zp = value(w)
+            su, sp = 1 / (1 + np.exp(-zu)), 1 / (1 + np.exp(zp))
+            g = theta * (x.T @ su / len(x) - prior * xp.mean(0)) - (1 - theta) * prior * xp.T @ sp / len(xp) + ridge * w
+            h = theta * (x.T * (su * (1 - su))) @ x / len(x) + (1 - theta) * prior * (xp.T * (sp * (1 - sp))) @ xp / len(xp) + ridge * np.eye(Q.SIZE)
+            d, step = np.linalg.solve(h, g), 1.0
+
+            def total(v):
+                return theta * value(v)[0] + (1 - theta) * value(v)[1] + ridge / 2 * v @ v
+            while total(w - step * d) > total(w) - 1e-4 * step * g @ d and step > 1e-9:
+                step /= 2
+            w = w - step * d
+            if np.abs(g).max() < 1e-9:
+                break
+        return w
+    low, high = 0.0, 1.0
+    w = newton(1.0)
+    if np.subtract(*value(w)[:2]) < 0:
+        for _ in range(45):
+            middle = (low + high) / 2
+            w = newton(middle)
+            low, high = (middle, high) if np.subtract(*value(w)[:2]) > 0 else (low, middle)
+    return max(value(w)[:2]) + ridge / 2 * w @ w, x, xp
+
+
+def test_fit_reaches_the_minimum_of_a_dense_solver(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
+    codes = Q.patterns(docs)
+    rows = codes.collect()
+    pattern, positive = np.array([r.pattern for r in rows]), np.array([r.doc_id in labels for r in rows])
+    assert len(rows) >= 200 and positive.sum() > 20
+    ids = spark.createDataFrame([(i,) for i in labels], "p_id long")
+    edges = set()
+    for prior in (0.5, 0.8, 0.9):
+        report = {}
+        spec = Q.PuSpec(ridge=1e-2, tolerance=1e-8)
+        w = Q.fit(codes, ids, prior, spec, report)
+        least, x, xp = _dense(pattern, positive, prior, spec.ridge)
+        zu, zp = x @ w, xp @ w
+        own, n = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        assert report["converged"] and report["passes"] < 60 and n >= -1e-7
+        assert abs(own + max(0, n) + spec.ridge / 2 * w @ w - least) < 1e-6
+        edges.add(report["theta"] < 1)
+    assert edges == {True, False}  # both kinds of minimum were met
+
+
+def test_a_fit_that_is_cut_short_says_so(spark):
+    codes = Q.patterns(frame(spark, [(i, prose(40, i)) for i in range(30)]))
+    ids = spark.createDataFrame([(i,) for i in range(3)], "p_id long")
+    with pytest.warns(RuntimeWarning, match="not minimised"):
+        Q.fit(codes, ids, 0.7, Q.PuSpec(passes=2))
+
+
 def test_distributed_pass_equals_the_definition(spark):
     codes = Q.patterns(frame(spark, odd_rows()[3:])).withColumns({"n_u": F.lit(2).cast("long"), "n_p": F.lit(1).cast("long")})
     w = np.linspace(-1, 1, Q.SIZE)
