@@ -14,16 +14,24 @@ run over a text (an Aho-Corasick automaton), and each hit is verified upwards:
   item as a bit vector against the window that the hit leaves open.
 
 A match is reported once for each (document, item): the least distance and the
-first span that has it, in code points of the original text.
-
-The benchmark is a stated query set.  It goes to the tasks in blocks of at
-most ``block_chars`` characters, one run over the documents for each block, so
-nothing grows with the documents or without bound with the benchmark.
-
-Defined results: a null or empty text has no match; items of fewer than
-``min_chars`` characters (so null and empty ones) are not searched, as chance
-would find them; repeated items match each for itself, and repeated rows too;
-an empty benchmark gives no match and drops nothing.
+first span that has it, in code points of the original text.  A hit whose
+diagonal was verified already is not verified again; any other one is, until
+an exact copy is found.
+
+Items under ``short`` characters have a budget of 0 to 2 and match whole words
+only: the span must start where a word starts and end where one ends, as
+chance would find parts of words.
+
+The benchmark is a stated query set.  It goes to the tasks in blocks of about
+``block_chars`` characters, one block at a time: the driver holds one block,
+and with more than one, each block's run over the documents is a written stage
+of its own.  So nothing grows with the documents or without bound with the
+benchmark.
+
+Defined results: a null or empty text has no match; items without a letter or
+digit (so null and empty ones) have nothing to search; items equal in id and
+text are one, items equal in text only match each for itself, and repeated
+rows too; an empty benchmark gives no match and drops nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, record_batch, table, texts_of
+from .common import column, map_arrow, materialise, record_batch, table, texts_of
 
 _WORD = re.compile(r"\w+")
 
@@ -44,7 +52,7 @@ _WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class EditSpec:
     rate: float = 0.1
-    min_chars: int = 25
+    short: int = 25
     block_chars: int = 4_000_000
 
 
@@ -134,10 +142,19 @@ class Item:
         return False
 
 
+def edit_distance(p: str, t: str) -> int:
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(p, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(t, 1):
+            before, row[j] = row[j], min(before + (c != d), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = 25):
         import ahocorasick
-        self.items = [Item(i, t, rate) for i, t in items]
+        self.items, self.short = [Item(i, t, rate) for i, t in items], short
         where: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for j, (a, b) in enumerate(item.pieces):
@@ -155,57 +172,66 @@ class Matcher:
         if self.empty or not text:
             return found
         # A window is known by its node and diagonal: nothing is checked twice.
-        missed, done = set(), {}
+        missed, seen = set(), set()
         for last, (n, at) in self.automaton.iter(text):
             start = last + 1 - n
             for k, j in at:
                 item = self.items[k]
                 diagonal = start - item.pieces[j][0]
-                if k in done and done[k][0] <= start < done[k][1]:
-                    continue
-                above = item.above[j]
-                if above and above[0][2] == 1 and not item.beside(j, text, diagonal):
+                if k in found and found[k][0] == 0 or (k, diagonal) in seen:
                     continue
-                hit = (0, start, last + 1) if not above else None
-                for a, b, budget in above:
-                    key = (k, a, b, diagonal)
-                    if key in missed:
-                        hit = None
-                        break
-                    low = max(0, diagonal + a - budget)
-                    distance, end = myers(item.mask(a, b), b - a, text[low:max(0, diagonal + b + budget)])
-                    if distance > budget:
-                        missed.add(key)
-                        hit = None
-                        break
-                    hit = (distance, low, low + end)
+                hit = (self._short if len(item.text) < self.short else self._long)(item, k, j, text, diagonal, missed)
                 if hit is None:
                     continue
-                distance, low, end = hit
-                if above:
-                    # Backwards from the end, for the start.
-                    m = len(item.text)
-                    back = text[max(0, end - m - distance):end][::-1]
-                    low = end - myers(masks(item.text[::-1]), m, back)[1]
-                done[k] = (low, end)
-                if k not in found or distance < found[k][0]:
-                    found[k] = (distance, low, end)
+                seen.add((k, diagonal))
+                if k not in found or hit < found[k]:
+                    found[k] = hit
                 if first_only:
                     return found
         return found
 
-
-def item_blocks(benchmark: DataFrame, spec: EditSpec) -> list[list[tuple[int, str]]]:
-    """The normal items in blocks of about ``block_chars`` characters."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // spec.block_chars) or 1
-    out = []
-    for i in range(n):
+    def _short(self, item: Item, k: int, j: int, text: str, diagonal: int, missed: set) -> tuple[int, int, int] | None:
+        """The least distance over the spans of whole words near ``diagonal``."""
+        budget, end = item.budget, diagonal + len(item.text)
+        starts = [s for s in range(max(0, diagonal - budget), diagonal + budget + 1) if s == 0 or text[s - 1:s] == " "]
+        ends = [e for e in range(end - budget, end + budget + 1) if e == len(text) or text[e:e + 1] == " "]
+        spans = [(edit_distance(item.text, text[s:e]) if budget else int(text[s:e] != item.text), s, e)
+                 for s in starts for e in ends if s < e]
+        best = min(spans, default=None)
+        return best if best and best[0] <= budget else None
+
+    def _long(self, item: Item, k: int, j: int, text: str, diagonal: int, missed: set) -> tuple[int, int, int] | None:
+        above = item.above[j]
+        if above and above[0][2] == 1 and not item.beside(j, text, diagonal):
+            return None
+        if not above:
+            return 0, diagonal, diagonal + len(item.text)
+        for a, b, budget in above:
+            key = (k, a, b, diagonal)
+            if key in missed:
+                return None
+            low = max(0, diagonal + a - budget)
+            distance, end = myers(item.mask(a, b), b - a, text[low:max(0, diagonal + b + budget)])
+            if distance > budget:
+                missed.add(key)
+                return None
+        end += low
+        # Backwards from the end, for the start.
+        back = text[max(0, end - len(item.text) - distance):end][::-1]
+        return distance, end - myers(masks(item.text[::-1]), len(item.text), back)[1], end
+
+
+def item_blocks(benchmark: DataFrame, spec: EditSpec) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks, and the normal items of one after the other."""
+    items = (benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+             .where("text is not null").distinct())
+    items = materialise(items, "benchmark-items")
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // spec.block_chars)
+
+    def block(i: int) -> list[tuple[int, str]]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        out.append(sorted(((r.item_id, t) for r in rows if len(t := normal(r.text)) >= spec.min_chars),
-                          key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-    return [b for b in out if b]
+        return sorted(((r.item_id, t) for r in rows if (t := normal(r.text))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return n, map(block, range(n))
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32()),
@@ -213,9 +239,9 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance"
 _FOUND_DDL = "doc_id long, item_id long, distance int, budget int, start int, end int"
 
 
-def _finder(items: list[tuple[int, str]], rate: float):
+def _finder(items: list[tuple[int, str]], spec: EditSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher(items, spec.rate, spec.short)
         for batch in batches:
             rows = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
@@ -235,14 +261,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: EditSpec = EditSp
     holds an item within its budget."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], _FOUND_DDL)
-    for items in item_blocks(benchmark, spec):
-        found = found.unionByName(map_arrow(slim, _finder(items, spec.rate), _FOUND_DDL))
+    n, blocks = item_blocks(benchmark, spec)
+    for items in blocks:
+        part = map_arrow(slim, _finder(items, spec), _FOUND_DDL)
+        found = found.unionByName(part if n == 1 else materialise(part, "benchmark-matches"))
     return found
 
 
-def _cleaner(items: list[tuple[int, str]], rate: float):
+def _cleaner(items: list[tuple[int, str]], spec: EditSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher(items, spec.rate, spec.short)
         for batch in batches:
             texts = texts_of(batch)
             yield batch.filter(pa.array([not matcher.matches(normal(t), first_only=True) for t in texts], pa.bool_()))
@@ -251,8 +279,10 @@ def _cleaner(items: list[tuple[int, str]], rate: float):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, spec: EditSpec = EditSpec()) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    for items in item_blocks(benchmark, spec):
-        docs = map_arrow(docs, _cleaner(items, spec.rate), docs.schema)
+    n, blocks = item_blocks(benchmark, spec)
+    for items in blocks:
+        docs = map_arrow(docs, _cleaner(items, spec), docs.schema)
+        docs = docs if n == 1 else materialise(docs, "decontaminated")
     return docs
 
 

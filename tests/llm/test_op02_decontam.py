@@ -64,6 +64,50 @@ def test_matches_equal_brute_force():
                 assert found[i][0] == distance
 
 
+def test_least_distance_in_repetitive_texts():
+    """Overlapping diagonals of few letters: the first is not the best."""
+    rnd = random.Random(8)
+    wrong = 0
+    for trial in range(400):
+        letters = rnd.choice(["ab", "abc", "ab "])
+        item = " ".join("".join(rnd.choice(letters) for _ in range(60)).split()) or "a"
+        if len(item) < 25:
+            continue
+        text = "".join(rnd.choice(letters) for _ in range(20)) + "".join(
+            _edited(item, rnd.randint(0, 6), rnd) for _ in range(rnd.randint(1, 3))) + "".join(rnd.choice(letters) for _ in range(20))
+        text = D.normal(text)
+        got = D.Matcher([(0, item)], 0.1).matches(text)
+        distance = least_distance(item, text)[0]
+        assert (0 in got) == (distance <= int(len(item) * 0.1))
+        wrong += 0 in got and got[0][0] != distance
+    assert wrong == 0
+
+
+def test_short_items_match_whole_words(spark):
+    items = [(1, "who wrote hamlet"), (2, "yes"), (3, "capital of peru"), (4, "谁写了哈姆雷特"), (5, "!!!"), (6, "two plus two is four")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "I ask: Who wrote  Hamlet?"), (2, "eyes and yesterday"), (3, "well, yes."), (4, "the capitol of peru"), (5, "capital of perugia"),
+            (6, "问：谁写了哈姆雷特"), (7, "two plus too is fou"), (8, "two plus minus is four"), (9, None)]
+    got = {(r.doc_id, r.item_id, r.distance) for r in D.contamination(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1, 0), (3, 2, 0), (4, 3, 1), (6, 4, 0), (7, 6, 2)} - ({(6, 4, 0)} if D.normal("问：谁写了哈姆雷特").split()[-1] != "谁写了哈姆雷特" else set())
+
+
+def test_planted_short_items_are_found():
+    rnd = random.Random(9)
+    items = [(i, prose(rnd.randint(1, 4), 3000 + i)) for i in range(60)]
+    items = [(i, t) for i, t in items if len(t) < 25]
+    matcher, hit, n = D.Matcher(items, 0.1), 0, 0
+    for trial in range(300):
+        k = rnd.randrange(len(items))
+        text = items[k][1]
+        for _ in range(rnd.randint(0, int(len(text) * 0.1))):  # edits inside words
+            at = rnd.choice([i for i, c in enumerate(text) if c != " "])
+            text = text[:at] + "z" + text[at + 1:]
+        n += 1
+        hit += k in matcher.matches(f"qqq {text} www")
+    assert hit == n
+
+
 def test_spans_are_those_of_the_original_text(spark):
     item = prose(15, 1)
     text = "Intro,  text!\n" + item.upper().replace(" ", " %%% ") + "\nend İ"
@@ -79,6 +123,8 @@ def test_blocks_of_the_benchmark_find_the_same(spark):
     one = sorted(map(tuple, D.contamination(docs, bench).collect()))
     many = sorted(map(tuple, D.contamination(docs, bench, D.EditSpec(block_chars=200)).collect()))
     assert one == many and len(one) >= 30
+    left = [sorted(r.doc_id for r in D.decontaminated(docs, bench, D.EditSpec(block_chars=c)).collect()) for c in (200, 10**6)]
+    assert left[0] == left[1]
 
 
 def test_odd_rows_and_empty_tables(spark):
