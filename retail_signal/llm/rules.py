@@ -3,19 +3,25 @@
 Each rule is a share of a document (symbols, repeated lines, words in repeated
 windows, capitals) and rejects documents above a cutoff.  The cutoffs are
 chosen per stratum (language) from labelled documents so that, with confidence
-1 - ``delta`` over all strata and rules together, the rules reject at most a
-share ``alpha`` of a stratum's good documents:
-
-* each rule gets ``alpha / rules``; a cutoff is certified if the exact
-  one-sided binomial (Clopper-Pearson) upper bound on its false rejection rate
-  is within that share, which is the case if P[Bin(n, alpha) <= k] <= delta';
-* delta' = ``delta`` / (strata x rules) (Bonferroni); within a rule the cutoffs
-  are tested from the loosest to the strictest until the first failure, a
-  fixed sequence that needs no further correction;
-* the strictest certified cutoff is used; a rule without one is off there.
-
-Histograms of good documents by (stratum, rule, bin) are the only thing that
-meets in a task: at most ``BINS`` + 1 rows a group, summed before the exchange.
+1 - ``delta`` over all strata together, the rules reject at most a share
+``alpha`` of a stratum's good documents:
+
+* the cutoffs of all rules lie on one path: at step t each rule rejects what
+  reaches a share that at most ``t * reach / STEPS`` of the stratum's documents
+  reach, labelled or not, so rules and languages of other scales go together
+  and no label has a say in the path;
+* a step is certified if the exact one-sided binomial (Clopper-Pearson) upper
+  bound on the false rejection rate of all rules together is within alpha,
+  which is the case if P[Bin(n, alpha) <= k] <= delta';
+* steps are tested from the loosest to the strictest until the first failure,
+  a fixed sequence that needs no further correction; delta' = ``delta`` /
+  strata (Bonferroni);
+* the strictest certified step is used; a stratum without one rejects nothing.
+
+A document's place on the path is the step that first rejects it.  Histograms
+by (stratum, rule, bin) and of good documents by (stratum, place) are the only
+things that meet in a task: at most ``BINS`` + 1 or ``STEPS`` + 1 rows a
+group, summed before the exchange.
 
 Defined results: a null text has no words and fails the base; a null language
 is a stratum of its own; a document labelled twice counts once, by its lowest
@@ -30,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialise, record_batch, table, texts_of
@@ -39,6 +45,7 @@ from .measures import UPPER, lines_and_repeats, repeated_words, share_of, symbol
 
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share")
 BINS = 200
+STEPS = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 
@@ -46,6 +53,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 class RiskSpec:
     alpha: float = 0.02
     delta: float = 0.05
+    reach: float = 0.25  # the strictest step: a share of all documents, per rule
 
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string())]
@@ -104,37 +112,56 @@ def certified_cutoff(good: np.ndarray, alpha: float, delta: float) -> int | None
     return best
 
 
+def _place(levels: str = "levels"):
+    """How strict a path must be to reject a document: 0 never, ``STEPS`` at
+    the first step."""
+    return F.greatest(F.lit(0), *[F.coalesce(F.try_element_at(F.col(levels), F.concat(F.lit(f"{r}:"), _bin(r).cast("string"))), F.lit(0))
+                                  for r in RULES])
+
+
+def path(stats: DataFrame, spec: RiskSpec = RiskSpec()) -> DataFrame:
+    """(c_stratum, levels): for each "rule:bin" the place that it gives."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES])
+    hist = (stats.where(~F.col("base_failed")).select("stratum", F.explode(pairs).alias("p"))
+            .groupBy("stratum", "p.rule", "p.bin").agg(F.count("*").alias("n")))
+    rule = Window.partitionBy("stratum", "rule")
+    reached = F.sum("n").over(rule.orderBy(F.desc("bin"))) / F.sum("n").over(rule)
+    place = F.lit(STEPS + 1) - F.ceil(reached * STEPS / spec.reach).cast("int")
+    placed = hist.withColumn("place", place).where("place > 0")
+    entry = F.struct(F.concat_ws(":", "rule", F.col("bin").cast("string")), "place")
+    return placed.groupBy(F.col("stratum").alias("c_stratum")).agg(F.map_from_entries(F.collect_list(entry)).alias("levels"))
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, spec: RiskSpec = RiskSpec()) -> DataFrame:
-    """(stratum, rule, n_good, cutoff): the certified cutoff bin, null if none."""
+    """(c_stratum, n_good, cutoff, levels): documents whose place is above the
+    certified cutoff are rejected; null if none is certified."""
     good = (labels.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.min("quality").alias("q"))
             .where("q = 1").select("l_id"))
+    levels = materialise(path(stats, spec), "rule-path")
     held = stats.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("l_id"), "left_semi")
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("bin")) for r in RULES])
-    hist = materialise(held.select("stratum", F.explode(pairs).alias("p"))
-                       .groupBy("stratum", "p.rule", "p.bin").agg(F.count("*").alias("n")), "rule-histogram")
-    families = max(1, hist.select("stratum", "rule").distinct().count())
-    alpha, delta = spec.alpha / len(RULES), spec.delta / families
+    held = held.join(levels, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
+    hist = materialise(held.select("stratum", _place().alias("place")).groupBy("stratum", "place").agg(F.count("*").alias("n")),
+                       "rule-histogram")
+    delta = spec.delta / max(1, hist.select("stratum").distinct().count())
 
     ship_package(stats.sparkSession)
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = np.bincount(pdf["bin"].clip(0, BINS), weights=pdf["n"], minlength=BINS + 1).astype(np.int64)
-        return pd.DataFrame({"stratum": pdf["stratum"].iloc[:1], "rule": pdf["rule"].iloc[:1], "n_good": [hist.sum()],
-                             "cutoff": pd.array([certified_cutoff(hist, alpha, delta)], dtype="Int32")})
+        hist = np.bincount(pdf["place"], weights=pdf["n"], minlength=STEPS + 1).astype(np.int64)
+        return pd.DataFrame({"stratum": pdf["stratum"].iloc[:1], "n_good": [hist.sum()],
+                             "cutoff": pd.array([certified_cutoff(hist, spec.alpha, delta)], dtype="Int32")})
 
-    return hist.groupBy("stratum", "rule").applyInPandas(certify, "stratum string, rule string, n_good long, cutoff int")
+    certified = hist.groupBy("stratum").applyInPandas(certify, "stratum string, n_good long, cutoff int")
+    return (levels.join(certified, F.col("c_stratum").eqNullSafe(F.col("stratum")), "left")
+            .select("c_stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), "cutoff", "levels"))
 
 
 def verdicts(stats: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``stats`` with ``kept``: neither the base nor a certified rule rejects."""
-    wide = materialise(cuts.groupBy(F.col("stratum").alias("c_stratum")).agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]), "rule-cutoffs")
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(_bin(r) > F.col(f"cut_{r}"), F.lit(False))
-    return (stats.join(wide, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
-            .withColumn("kept", ~F.col("base_failed") & ~over)
-            .drop("c_stratum", *[f"cut_{r}" for r in RULES]))
+    """``stats`` with ``kept``: neither the base nor a certified step rejects."""
+    cuts = materialise(cuts.select("c_stratum", "cutoff", "levels"), "rule-cutoffs")
+    over = F.coalesce(_place() > F.col("cutoff"), F.lit(False))
+    return (stats.join(cuts, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
+            .withColumn("kept", ~F.col("base_failed") & ~over).drop("c_stratum", "cutoff", "levels"))
 
 
 def op9_risk_rules(spark, sf_dir):

@@ -72,3 +72,45 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     stats = R.counts(frame(spark, []))
     assert R.verdicts(stats, R.cutoffs(stats, labels)).where(F.col("kept")).count() == 0
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Path, certificate and decision over again, on plain lists."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stats = R.materialise(R.counts(spark.read.parquet(f"{sf}/documents.parquet")), "t")
+    spec = R.RiskSpec()
+    cuts = R.cutoffs(stats, labels, spec)
+    got = {r.doc_id: r.kept for r in R.verdicts(stats, cuts).collect()}
+    good = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").collect()}
+    groups = {}
+    for r in stats.collect():
+        groups.setdefault(r.stratum, []).append(r)
+    certified = {r.c_stratum: r.cutoff for r in cuts.collect()}
+    assert set(certified) == set(groups) and all(c is not None for c in certified.values())  # all four languages
+    rejected = 0
+    for stratum, rows in groups.items():
+        live = [r for r in rows if not r.base_failed]
+        bins = {r.doc_id: [int(np.ceil(r[x] * R.BINS)) for x in R.RULES] for r in live}
+        rare = {}
+        for j in range(len(R.RULES)):
+            ordered = np.sort([b[j] for b in bins.values()])
+            for i, b in bins.items():
+                share = (len(ordered) - np.searchsorted(ordered, b[j])) / len(ordered)
+                rare[i] = min(rare.get(i, 1.0), share)
+        def rejects(step, i):
+            return np.ceil(rare[i] * R.STEPS / spec.reach) <= step
+        mine, step = [i for i in bins if i in good], None
+        for t in range(R.STEPS + 1):
+            k, n = sum(rejects(t, i) for i in mine), len(mine)
+            cdf = sum(float(comb(n, j)) * spec.alpha**j * (1 - spec.alpha) ** (n - j) for j in range(k + 1))
+            if cdf > spec.delta / len(groups):
+                break
+            step = t
+        assert certified[stratum] == R.STEPS - step
+        false = sum(rejects(step, i) for i in mine)
+        assert false <= spec.alpha * len(mine)
+        for r in rows:
+            assert got[r.doc_id] == (not r.base_failed and not rejects(step, r.doc_id))
+            rejected += not r.base_failed and not got[r.doc_id]
+    assert rejected > 20
