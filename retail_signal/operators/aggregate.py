@@ -3,24 +3,24 @@ notebooks (D13–D18, D33).
 
 Scale notes
 -----------
-* Lines are aggregated once per (store, date): partial aggregation runs
-  map-side, so a hot store or day sends one buffer per task, not its rows.
-* The aggregates are split in three ``groupBy``s on the same keys:
-  declarative moments (code-generated hash aggregate), object-buffer
-  aggregates (exact medians, the item set) and distinct counts.  Spark
-  plans ``count(DISTINCT)`` by shuffling on (keys, value) first, which
-  spreads a hot group.  Mixing the kinds in one aggregate forces all of
-  them onto the slowest path (measured 1.6–1.9× slower at sf0.1).  The
-  three results are hash-partitioned on (store, date), so joining them
-  adds no exchange of the lines.
-* Store attributes come from one row per distinct combination of them, and
-  item records from an aggregate of their own.
+* Store-days of up to ``BUFFER_LINES`` lines, all but a few, are aggregated by
+  one exchange: their lines are collected once per store-day (a bounded list)
+  and the 60 aggregates, medians and distinct counts included, are array
+  expressions over it; item records are a set in the same aggregate.  Three
+  aggregates of their own (moments, medians, distinct counts) were measured
+  about four times slower on these.
+* Larger store-days are found by a count and never held: declarative moments
+  in a hash aggregate with map-side partial aggregation, distinct counts by
+  Spark's shuffle on (keys, value), medians by value counts ranked in a
+  spillable window.
+* Store attributes come from one row per distinct combination of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.aggs import AGG_FUNCS, first_non_null, pd_median, pd_nunique, pd_sum
 from ..functions.scalar import geo_lat, geo_lon, safe_div, weekday_name
@@ -88,51 +88,100 @@ def _store_day_exprs(exact_median: bool):
     return plain, medians, distinct
 
 
-# A store-day with more lines than this takes the spill-safe rank path; the
-# value buffers of all others hold at most this many values each.
-MEDIAN_BUFFER_LINES = 10_000
-
-
-def _exact_medians(lines: DataFrame, medians, limit: int) -> DataFrame:
-    """Exact medians per store-day.  ``percentile`` keeps a value→count map
-    per group, which is the fastest way as long as groups are bounded, so
-    groups beyond ``limit`` lines go through ``grouped_quantile_columns``:
-    (group, value) counts are spread over tasks and ranked in a sorted,
-    spillable window.  Both interpolate to the same bits."""
-    from ..session import cut_lineage
+# A store-day with more lines than this is never held in one list.
+BUFFER_LINES = 10_000
+
+
+def _from_lists(lines: DataFrame, with_items: bool) -> DataFrame:
+    """The 60 aggregates of store-days of few lines, from one list of lines
+    each: sorted arrays give least, greatest and middle values, sums are
+    folds, and the central moments are taken about the mean."""
+    types = {f.name: f.dataType for f in lines.schema.fields}
+    aggs = dict(STORE_DAY_AGGS)
+    numeric = [c for c, fs in STORE_DAY_AGGS if "mean" in fs]
+    other = [c for c in aggs if c not in numeric]
+    items = [item_details_agg()] if with_items else []
+    out = lines.groupBy(*KEYS).agg(F.collect_list(F.struct(*numeric, *other)).alias("_v"), *items)
+
+    def values(c):
+        return F.filter(F.transform("_v", lambda r: r[c]), lambda x: x.isNotNull())
+    out = out.withColumns({f"_a_{c}": F.sort_array(values(c).cast("array<double>")) for c in numeric}
+                          | {f"_a_{c}": values(c) for c in other}).drop("_v")
+    out = out.withColumns({f"_s_{c}": F.aggregate(f"_a_{c}", F.lit(0.0), lambda s, x: s + x) for c in numeric})
+    out = out.withColumns({f"_m_{c}": F.try_divide(F.col(f"_s_{c}"), F.size(f"_a_{c}").cast("double")) for c in numeric})
+
+    def power(c, k):
+        def add(s, x):
+            d = x - F.col(f"_m_{c}")
+            return s + (d * d if k == 2 else d * d * d)
+        # A constant group has no moments, whatever the rounding of its mean.
+        constant = F.get(f"_a_{c}", F.lit(0)) == F.element_at(f"_a_{c}", -1)
+        return F.when(constant, F.lit(0.0)).otherwise(F.aggregate(f"_a_{c}", F.lit(0.0), add))
+    full = out.withColumns({f"_2_{c}": F.when(F.size(f"_a_{c}") > 1, power(c, 2)) for c in numeric if "std" in aggs[c]}
+                           | {f"_3_{c}": F.when(F.size(f"_a_{c}") > 2, power(c, 3)) for c in numeric if "skew" in aggs[c]})
+    result = []
+    for c, fs in STORE_DAY_AGGS:
+        a, n = F.col(f"_a_{c}"), F.size(f"_a_{c}")
+        m2, d = F.col(f"_2_{c}") if "std" in fs else None, n.cast("double")
+        whole = isinstance(types[c], IntegralType)
+        made = {
+            "count": lambda: n.cast("long"),
+            "nunique": lambda: F.size(F.array_distinct(a)).cast("long"),
+            "sum": lambda: F.col(f"_s_{c}").cast("long" if whole else "double"),
+            "mean": lambda: F.col(f"_m_{c}"),
+            "min": lambda: F.get(a, F.lit(0)).cast(types[c]),
+            "max": lambda: F.get(a, n - 1).cast(types[c]),
+            "median": lambda: _middle(a, n),
+            "std": lambda: F.sqrt(m2 / (d - 1)),
+            "sem": lambda: F.sqrt(m2 / (d - 1)) / F.sqrt(d),
+            "skew": lambda: F.when(n >= 3, F.when(m2 == 0, F.lit(0.0)).otherwise(
+                F.col(f"_3_{c}") / d / F.pow(m2 / d, 1.5) * F.sqrt(d * (d - 1)) / (d - 2))),
+        }
+        result += [made[f]().alias(agg_name(c, f)) for f in fs]
+    return full.select(*KEYS, *result, *(["item_details"] if with_items else []))
+
+
+def _middle(a, n):
+    """The median of a sorted array, in the form ``percentile`` interpolates."""
+    low, high = F.get(a, F.floor((n - 1) / 2).cast("int")), F.get(a, F.ceil((n - 1) / 2).cast("int"))
+    return F.when(low == high, low).otherwise(F.lit(0.5) * low + F.lit(0.5) * high)
+
+
+def _separate(lines: DataFrame, exact_median: bool, median_method: str) -> DataFrame:
+    """The 60 aggregates by three aggregates on the same keys: declarative
+    moments, medians and distinct counts, each with its own partial step."""
     from .quantile import grouped_quantile_columns
-    large = cut_lineage(lines.groupBy(*KEYS).count().where(F.col("count") > limit).select(*KEYS))
-    if large.isEmpty():
-        return lines.groupBy(*KEYS).agg(*medians)
-    small = lines.join(large, KEYS, "left_anti").groupBy(*KEYS).agg(*medians)
+    plain, medians, distinct = _store_day_exprs(exact_median)
+    out = lines.groupBy(*KEYS).agg(*plain).join(lines.groupBy(*KEYS).agg(*distinct), KEYS, "inner")
+    if not exact_median or median_method == "percentile":
+        return out.join(lines.groupBy(*KEYS).agg(*medians), KEYS, "inner")
     columns = [c for c, aggs in STORE_DAY_AGGS if "median" in aggs]
-    return small.unionByName(grouped_quantile_columns(
-        lines.join(large, KEYS, "left_semi"), KEYS, columns, 0.5, [agg_name(c, "median") for c in columns]))
+    return out.join(grouped_quantile_columns(lines, KEYS, columns, 0.5, [agg_name(c, "median") for c in columns]), KEYS, "left")
 
 
-def store_day_aggregates(sales: DataFrame, exact_median: bool = True,
-                         median_method: str = "bounded", buffer_lines: int = MEDIAN_BUFFER_LINES) -> DataFrame:
+def store_day_aggregates(sales: DataFrame, exact_median: bool = True, median_method: str = "bounded",
+                         buffer_lines: int = BUFFER_LINES, with_items: bool = False) -> DataFrame:
     """The 60 store-day aggregates (D3–D12), one row per (store, date).
 
-    Three aggregates on the same keys, each with its own map-side partial
-    step: the declarative moments (sum, mean, std, skew, …) compile into one
-    code-generated hash aggregate; the medians need object buffers, which
-    would drag every moment into the slower object-hash path; the distinct
-    counts use Spark's expand plan.  All three come out hash-partitioned on
-    (store, date), so the joins add no exchange of the lines.
-
-    ``median_method``: 'bounded' (see ``_exact_medians``), 'rank' (the
-    spill-safe path for every group) or 'percentile' (buffers for every
-    group); ``exact_median=False`` uses a bounded sketch."""
+    ``median_method``: 'bounded' (store-days of up to ``buffer_lines`` lines
+    from lists, larger ones without holding them), 'rank' (nothing held, for
+    every group) or 'percentile' (value buffers for every group);
+    ``exact_median=False`` uses a bounded sketch.  ``with_items`` adds
+    ``item_details`` (D2)."""
+    from ..session import cut_lineage
     lines = valid_lines(sales)
-    plain, medians, distinct = _store_day_exprs(exact_median)
-    out = lines.groupBy(*KEYS).agg(*plain).join(lines.groupBy(*KEYS).agg(*distinct), KEYS, "inner")
-    if not exact_median or median_method == "percentile":
-        out = out.join(lines.groupBy(*KEYS).agg(*medians), KEYS, "inner")
-    else:
-        limit = 0 if median_method == "rank" else buffer_lines
-        out = out.join(_exact_medians(lines, medians, limit), KEYS, "left")
-    return out.select(*KEYS, *[agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs])
+    names = [*KEYS, *[agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs], *(["item_details"] if with_items else [])]
+
+    def separate(some: DataFrame, method: str) -> DataFrame:
+        out = _separate(some, exact_median, method)
+        return out.join(item_details(some), KEYS, "left") if with_items else out
+    if not exact_median or median_method != "bounded":
+        return separate(lines, median_method).select(names)
+    large = cut_lineage(lines.groupBy(*KEYS).count().where(F.col("count") > buffer_lines).select(*KEYS))
+    if large.isEmpty():
+        return _from_lists(lines, with_items).select(names)
+    small = _from_lists(lines.join(large, KEYS, "left_anti"), with_items)
+    return small.select(names).unionByName(separate(lines.join(large, KEYS, "left_semi"), "rank").select(names))
 
 
 def item_details_agg():
@@ -188,7 +237,7 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
     table is checkpointed before the fill, so the median subquery reads the
     checkpoint instead of re-running the aggregation.
     """
-    sd = store_day_aggregates(sales, exact_median=exact_median, median_method=median_method)
+    sd = store_day_aggregates(sales, exact_median=exact_median, median_method=median_method, with_items=with_item_details)
     # Coordinates are parsed once per store; the written table's size is known,
     # so Spark broadcasts it when it is small and the store-days stay put.
     attributes = store_attributes(sales).withColumns({"lon": geo_lon("store_location"), "lat": geo_lat("store_location")})
@@ -196,8 +245,6 @@ def store_day(sales: DataFrame, *, exact_median: bool = True,
         from ..session import cut_lineage
         attributes = cut_lineage(attributes)
     sd = sd.join(attributes, "store")
-    if with_item_details:
-        sd = sd.join(item_details(sales), KEYS, "left")
     agg_cols = [agg_name(c, a) for c, aggs in STORE_DAY_AGGS for a in aggs]
     extra = ["item_details"] if with_item_details else []
     sd = sd.select(*KEYS, *STORE_ATTRIBUTES, *extra, *agg_cols, "lon", "lat")

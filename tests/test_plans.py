@@ -61,6 +61,42 @@ def test_large_store_days_take_the_spill_safe_path_to_the_same_bits(spark):
     assert plain == mixed == rank
 
 
+def test_lists_give_what_the_separate_aggregates_give(spark):
+    import datetime as dt
+    from retail_signal.operators.aggregate import STORE_DAY_AGGS, store_day_aggregates
+    rng = np.random.default_rng(8)
+    columns = list(dict.fromkeys(c for c, _ in STORE_DAY_AGGS))
+    whole = {"sale_bottles", "pack", "bottle_volume_ml", "itemno", "category"}
+    rows = []
+    for i in range(500):
+        store = int(rng.integers(1, 60)) if i % 4 else 1
+        values = [None if rng.random() < 0.15 else (int(rng.integers(-3, 9)) if c in whole else str(int(rng.integers(0, 9))) if c in ("invoice_line_no", "category_name")
+                  else float(rng.choice([0.1, 0.3, float(rng.normal())]))) for c in columns]
+        rows.append((store, dt.date(2021, 1, 1 + i % 3), *values, f"im{i % 4}"))
+    rows += [(99, dt.date(2021, 1, 1), *[None] * (len(columns) + 1)), (None, dt.date(2021, 1, 1), *[None] * (len(columns) + 1))]
+    ddl = "store long, date date, " + ", ".join(
+        f"{c} {'int' if c in whole else 'string' if c in ('invoice_line_no', 'category_name') else 'double'}" for c in columns) + ", im_desc string"
+    df = spark.createDataFrame(rows, ddl).repartition(5)
+    lists, split, separate = (store_day_aggregates(df, with_items=True, **kw) for kw in ({}, {"buffer_lines": 20}, {"median_method": "percentile"}))
+    assert lists.dtypes == split.dtypes == separate.dtypes
+
+    def table(d):
+        return {(r.store, r.date): [round(v, 9) + 0.0 if isinstance(v, float) else v for v in r] for r in d.collect()}
+    a, b, c = table(lists), table(split), table(separate)
+    assert a.keys() == b.keys() == c.keys() and (99, dt.date(2021, 1, 1)) in a
+    for k in c:
+        for x, y, z in zip(a[k], b[k], c[k]):
+            assert x == y == z or abs(x - z) < 1e-8 and abs(y - z) < 1e-8, k
+
+
+def test_few_lines_a_day_need_one_exchange(spark):
+    from retail_signal.operators.aggregate import prepared_lines, store_day_aggregates
+    from retail_signal.plans.registry import sales
+    lines = prepared_lines(sales(spark, "/root/testdata/sf0.001"))
+    plan = store_day_aggregates(lines, with_items=True)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_store_day_reads_the_lines_once(spark):
     from retail_signal.operators.aggregate import prepared_lines, store_day
     from retail_signal.plans.registry import sales
