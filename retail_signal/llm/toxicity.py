@@ -179,15 +179,25 @@ def _place(token: str) -> str:
     return "b" if opens and closes and len(token.strip(_EDGE)) == 1 else "0"
 
 
+class _Places(dict):
+    """``_place`` of tokens, remembered."""
+
+    def __missing__(self, token: str) -> str:
+        place = _place(token)
+        if len(token) <= LONGEST:
+            self[token] = place
+        return place
+
+
 class Restorer:
     """Restored words of a text; remembers at most ``limit`` tokens."""
 
     def __init__(self, costs: np.ndarray, limit: int = 300_000):
-        self.costs, self.limit, self.known = costs.tolist(), limit, {}
+        self.costs, self.limit, self.known, self.places = costs.tolist(), limit, {}, _Places()
 
     def token(self, token: str) -> list[str]:
         word = token.lower().strip(_PLAIN_EDGE)
-        if _LONE.fullmatch(word) and _LETTER.search(word):
+        if not word.isalpha() and _LONE.fullmatch(word) and _LETTER.search(word):
             word = _BETWEEN.sub(".", word)
         if not _DISGUISED.search(word):
             return [word.strip(_EDGE)]
@@ -203,8 +213,8 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         tokens, out = text.split(), []
         if len(self.known) > self.limit:
-            self.known = {}
-        single = "".join([_place(t) for t in tokens])
+            self.known, self.places = {}, _Places()
+        single = "".join(map(self.places.__getitem__, tokens))
         at = 0
         for run in _SPACED.finditer(single):
             out += self._plain(tokens[at:run.start()])
