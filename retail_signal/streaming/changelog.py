@@ -16,8 +16,9 @@ Spark itself writes to.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,7 +54,7 @@ class ChangeLog:
 
     def put(self, rows: DataFrame, epoch: int) -> None:
         """Write batch ``epoch`` (again, if an attempt died before ``commit``)."""
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/changes/epoch={epoch}")
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/changes/epoch={epoch}")
 
     def commit(self, epoch: int) -> None:
         self._files.mark(f"done/{epoch}")
@@ -63,28 +64,42 @@ class ChangeLog:
     def _part(self, path: str, epoch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(path).withColumn("_epoch", F.lit(epoch))
 
+    def _parts(self) -> list[DataFrame]:
+        """The snapshot and the complete batches after it, with ``_epoch``."""
+        last, name = self.snapshot()
+        parts = [self._part(f"{self.path}/snapshots/{name}", last)] if name else []
+        return parts + [self._part(f"{self.path}/changes/epoch={n}", n) for n in self.epochs()]
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The row before which no newer one of its key stands: one exchange of
+        the rows, and none if they are dealt by key already."""
+        newer = F.lag(F.lit(1)).over(Window.partitionBy(*self.keys).orderBy(F.desc("_epoch")))
+        return rows.withColumn("_newer", newer).where("_newer IS NULL").drop("_newer")
+
     def read(self, columns: list[str] | None = None, only: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
         """The newest row of every key, with its keys and ``columns`` (all by
         default).  ``only``: a table of some of the key columns; other keys
-        are left out before rows are compared.  ``extra``: rows newer than all."""
-        last, name = self.snapshot()
-        parts = [self._part(f"{self.path}/snapshots/{name}", last)] if name else []
-        parts += [self._part(f"{self.path}/changes/epoch={n}", n) for n in self.epochs()]
+        are left out before rows are compared.  ``extra``: rows newer than all.
+
+        The newest part stays where it is: only its keys meet the rows of the
+        older ones."""
+        rest = [c for c in (self.schema.fieldNames() if columns is None else columns) if c not in self.keys]
+        parts = self._parts()
         if extra is not None:
             parts.append(extra.select(*self.schema.fieldNames()).withColumn("_epoch", F.lit(1 << 30)))
-        rest = [c for c in columns or self.schema.fieldNames() if c not in self.keys]
         if not parts:
             return self.spark.createDataFrame([], self.schema).select(*self.keys, *rest)
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        union = union.select(*self.keys, *rest, "_epoch")
         if only is not None:
-            union = union.join(only, only.columns, "left_semi")
+            parts = [p.join(only, only.columns, "left_semi") for p in parts]
+        if not rest:
+            return reduce(DataFrame.unionByName, parts).select(*self.keys).distinct()
+        newest = parts[-1].select(*self.keys, *rest)
         if len(parts) == 1:
-            return union.select(*self.keys, *rest)
-        newest = union.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_row"))
-        return newest.select(*self.keys, "_row.*")
+            return newest
+        older = reduce(DataFrame.unionByName, parts[:-1]).select(*self.keys, "_epoch", F.struct(*rest).alias("_row"))
+        hidden = parts[-1].select(*self.keys, "_epoch", F.lit(None).cast(older.schema["_row"].dataType).alias("_row"))
+        left = self._newest(older.unionByName(hidden)).where("_row IS NOT NULL")
+        return newest.unionByName(left.select(*self.keys, "_row.*"))
 
     # -- compaction --------------------------------------------------------
 
@@ -99,9 +114,11 @@ class ChangeLog:
 
     def write_snapshot(self, last: int) -> str:
         name = f"{last}-{uuid.uuid4().hex[:8]}"
-        # Sorted by key, so that readers of some keys skip row groups.
-        (self.read().repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
-         .select(*self.schema.fieldNames()).write.parquet(f"{self.path}/snapshots/{name}"))
+        # Sorted by key, so that readers of some keys skip row groups.  Ranges
+        # of keys hold all rows of a key, so the newest are found in place.
+        rows = reduce(DataFrame.unionByName, self._parts())
+        (self._newest(rows.repartitionByRange(*self.keys)).sortWithinPartitions(*self.keys)
+         .select(*self.schema.fieldNames()).write.option("compression", "zstd").parquet(f"{self.path}/snapshots/{name}"))
         return name
 
     def publish(self, name: str) -> None:

@@ -21,6 +21,8 @@ and a replayed one that is committed already is left out.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -93,11 +95,28 @@ def affected_rows(days: DataFrame, reach: int = REACH) -> DataFrame:
     return marked.withColumn("_read", read).where("_read = 1").drop("_read", DN)
 
 
+@contextmanager
+def shuffle_cleanup(*sessions: SparkSession):
+    """Jobs inside delete their shuffle files when they end, not when the
+    driver collects garbage: a stream runs many that write wide tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [(s, s.conf.get(name, None)) for s in sessions]
+    for s in sessions:
+        s.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        for s, value in reversed(before):
+            s.conf.set(name, value) if value else s.conf.unset(name)
+
+
 class StoreDayView:
-    """Incremental store-day states and temporal features under ``path``."""
+    """Incremental store-day states and temporal features under ``path``.
+    ``keep``: after a compaction, what the snapshots hold is deleted but for
+    so many older snapshots (None: nothing, for readers of any age)."""
 
-    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16):
-        self.spark, self.compact_every = spark, compact_every
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16, keep: int | None = None):
+        self.spark, self.compact_every, self.keep = spark, compact_every, keep
         self.states = ChangeLog(spark, f"{path}/states", KEYS, STATE_DDL)
         empty = spark.createDataFrame([], f"store long, date date, {TARGET} double")
         self.schema: StructType = temporal_features(empty).schema
@@ -107,6 +126,10 @@ class StoreDayView:
     def apply(self, lines: DataFrame, epoch: int) -> dict[str, int]:
         """Apply batch ``epoch``; a second time changes nothing.  Returns how
         many days were touched and how many feature rows computed again."""
+        with shuffle_cleanup(self.spark, lines.sparkSession):
+            return self._apply(lines, epoch)
+
+    def _apply(self, lines: DataFrame, epoch: int) -> dict[str, int]:
         done = {"touched": 0, "recomputed": 0}
         if self.states.holds(epoch) and self.features.holds(epoch):
             return done
@@ -123,8 +146,10 @@ class StoreDayView:
         if not self.states.holds(epoch):
             self.states.commit(epoch)
         if len(self.states.epochs()) >= self.compact_every:
-            self.states.compact()
-            self.features.compact()
+            for log in (self.states, self.features):
+                log.compact()
+                if self.keep is not None:
+                    log.vacuum(self.keep)
         return done
 
     def _recomputed(self, part: DataFrame) -> DataFrame:
@@ -142,10 +167,11 @@ class StoreDayView:
 
     def temporal(self) -> DataFrame:
         """The view: what ``temporal_features`` gives over all lines so far."""
-        rows = self.features.read()
         span = F.datediff(F.max("date"), F.min("date"))
-        gap = rows.groupBy("store").agg(safe_div(span, F.count(F.lit(1)) - 1).alias("_gap"))
-        out = rows.join(gap, "store").withColumns({c: F.col("_gap") for c in GAPS})
+        # From the keys alone and written: its size is known, so the wide rows
+        # are not dealt by store for it.
+        gap = cut_lineage(self.features.read([]).groupBy("store").agg(safe_div(span, F.count(F.lit(1)) - 1).alias("_gap")))
+        out = self.features.read().join(gap, "store").withColumns({c: F.col("_gap") for c in GAPS})
         return out.select(*self.schema.fieldNames())
 
 
