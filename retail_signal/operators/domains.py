@@ -200,26 +200,50 @@ def mine_and_check(df: DataFrame, conditions: dict[str, str], level: str, min_su
                    min_confidence: float = 0.5, top: int = 20, keys=("store", "date")) -> DataFrame:
     """M4 → M5: mine rules over the items of ``conditions`` and evaluate them
     per value of ``level``."""
-    from ..session import cut_lineage
-    baskets = cut_lineage(transaction_items(df, conditions, keys))
-    mined = rules_as_predicates(mine_rules(baskets, min_support, min_confidence), conditions, top)
+    baskets = transaction_items(df, conditions, keys, coded=True)
+    mined = rules_as_predicates(mine_rules(baskets, min_support, min_confidence, list(conditions)), conditions, top)
     if not mined:
         return rule_compliance(df.limit(0), [("none", "false", "false")], level)
     return rule_compliance(df, mined, level)
 
 
-def transaction_items(features: DataFrame, conditions: dict[str, str], keys=("store", "date")) -> DataFrame:
+def transaction_items(features: DataFrame, conditions: dict[str, str], keys=("store", "date"), coded: bool = False) -> DataFrame:
     """M4 input: each store-day becomes a basket of the condition names that
-    hold (conditions are SQL predicates on the feature columns)."""
-    items = F.array_compact(F.array(*[F.when(F.expr(expr), F.lit(name)) for name, expr in conditions.items()]))
+    hold (conditions are SQL predicates on the feature columns), or of their
+    places among the conditions if ``coded``: a tenth of the names' memory."""
+    items = F.array_compact(F.array(*[F.when(F.expr(expr), F.lit(i if coded else name))
+                                      for i, (name, expr) in enumerate(conditions.items())]))
     return features.select(*keys, items.alias("items")).where(F.size("items") > 0)
 
 
-def mine_rules(baskets: DataFrame, min_support: float = 0.1, min_confidence: float = 0.5) -> DataFrame:
-    """M4: frequent itemsets and association rules (FP-growth)."""
+def _mined(baskets: DataFrame, min_support: float, min_confidence: float, names: list[str] | None, table: str) -> DataFrame:
+    """A table of the FP-growth model of ``baskets``, written, the places of
+    ``names`` in it as names.  FP-growth goes over the baskets several times,
+    also when its tables are read: they are held, one column in compact form
+    that may go to disk, until the table is there."""
     from pyspark.ml.fpm import FPGrowth
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    return model.associationRules
+    from ..session import cut_lineage
+    rows = baskets.select("items").persist()
+    try:
+        found = getattr(FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows), table)
+        if names is not None:
+            text = F.array(*[F.lit(n) for n in names])
+            found = found.withColumns({c: F.transform(c, lambda i: F.get(text, i)) for c, t in found.dtypes if t.startswith("array")})
+        return cut_lineage(found)
+    finally:
+        rows.unpersist()
+
+
+def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, names: list[str] | None = None) -> DataFrame:
+    """M4: frequent itemsets (FP-growth): items, freq.  ``names``: baskets are
+    coded as places in it."""
+    return _mined(baskets, min_support, 0.5, names, "freqItemsets")
+
+
+def mine_rules(baskets: DataFrame, min_support: float = 0.1, min_confidence: float = 0.5, names: list[str] | None = None) -> DataFrame:
+    """M4: frequent itemsets and association rules (FP-growth); ``names`` as
+    in ``frequent_itemsets``."""
+    return _mined(baskets, min_support, min_confidence, names, "associationRules")
 
 
 def rule_compliance(df: DataFrame, rules: list[tuple[str, str, str]], level: str) -> DataFrame:

@@ -93,8 +93,8 @@ BASKET_CONDITIONS = {
 @register("m04_rule_mining")
 def m04_rule_mining(spark, sf_dir):
     """FP-growth rules (min support 0.1) over store-day condition baskets."""
-    baskets = dm.transaction_items(_tf(spark, sf_dir), BASKET_CONDITIONS)
-    return dm.mine_rules(baskets, min_support=0.1, min_confidence=0.3)
+    baskets = dm.transaction_items(_tf(spark, sf_dir), BASKET_CONDITIONS, coded=True)
+    return dm.mine_rules(baskets, min_support=0.1, min_confidence=0.3, names=list(BASKET_CONDITIONS))
 
 
 MINED = ["sale_dollars", "sale_dollars_lag_7d", "sale_dollars_rolling_mean_30D", "sale_dollars_rolling_std_30D", "days_since_last_purchase"]
@@ -117,10 +117,10 @@ SELECT items, CAST(freq AS BIGINT) AS freq FROM sets, n WHERE freq >= 0.05 * n""
 def m04_frequent_items(spark, sf_dir):
     """Items and pairs of items in at least 5 % of store-days, the items being
     learned intervals of temporal features (FP-growth)."""
-    from pyspark.ml.fpm import FPGrowth
     tf = cut_lineage(_tf(spark, sf_dir).select("store", "date", *MINED))
-    baskets = dm.transaction_items(tf, dm.interval_conditions(dm.cut_points(tf, MINED)))
-    found = FPGrowth(itemsCol="items", minSupport=0.05).fit(baskets).freqItemsets.where(F.size("items") <= 2)
+    conditions = dm.interval_conditions(dm.cut_points(tf, MINED))
+    baskets = dm.transaction_items(tf, conditions, coded=True)
+    found = dm.frequent_itemsets(baskets, 0.05, list(conditions)).where(F.size("items") <= 2)
     return found.select(F.array_join(F.sort_array("items"), " & ").alias("items"), "freq")
 
 
