@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 import struct
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,12 +60,16 @@ class _Target:
         if self.hi - self.lo == 1:
             self.value = double_at(self.hi)
 
-    def bracket(self, accuracy: int):
-        x, rel = F.col(self.column), (self.rank - self.below) / max(self.rows - 1, 1)
+    def around(self, accuracy: int) -> list[float]:
+        """The shares of the interval's rows just before and after the rank."""
+        rel = (self.rank - self.below) / max(self.rows - 1, 1)
+        return [max(0.0, rel - 2.0 / accuracy), min(1.0, rel + 2.0 / accuracy)]
+
+    def inside(self):
+        """Whether the column's value lies in the interval."""
+        x = F.col(self.column)
         inside = (x <= F.lit(double_at(self.hi)))
-        if self.below:
-            inside = inside & (x > F.lit(double_at(self.lo)))
-        return F.percentile_approx(F.when(inside, x), [max(0.0, rel - 2.0 / accuracy), min(1.0, rel + 2.0 / accuracy)], accuracy)
+        return inside & (x > F.lit(double_at(self.lo))) if self.below else inside
 
     def middle(self) -> float:
         return double_at((self.lo + self.hi) // 2)
@@ -108,13 +114,28 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], *, accuracy: in
     while open_t := [t for t in targets.values() if t.value is None]:
         if trace is not None:
             trace.append(len(open_t))
-        brackets = base.agg(*[t.bracket(accuracy).alias(f"t{i}") for i, t in enumerate(open_t)]).first()
-        asked = [(t, x) for t, found in zip(open_t, brackets) for x in {*found, t.middle()}]
-        exact = base.agg(*[F.struct(F.count_if(F.col(t.column) <= F.lit(x)).alias("le"),
-                                    F.count_if(F.col(t.column) < F.lit(x)).alias("lt")).alias(f"c{i}")
-                           for i, (t, x) in enumerate(asked)]).first()
-        for (t, x), at in zip(asked, exact):
-            t.learn(x, at.le, at.lt)
+        # Targets of one interval, in the first round all of a column, share a sketch.
+        shared: dict[tuple, list[_Target]] = {}
+        for t in open_t:
+            shared.setdefault((t.column, t.lo, t.hi), []).append(t)
+        # Rows in no interval, after the first round nearly all, reach no sketch.
+        near = base.where(reduce(or_, [ts[0].inside() for ts in shared.values()]))
+        brackets = near.agg(*[F.percentile_approx(F.when(ts[0].inside(), F.col(ts[0].column)), [p for t in ts for p in t.around(accuracy)], accuracy).alias(f"t{i}")
+                              for i, ts in enumerate(shared.values())]).first()
+        # A counted value serves every target of its column; an aggregate per
+        # column, all in one job, stays small enough to be compiled.
+        asked: dict[str, set[float]] = {}
+        for ts, found in zip(shared.values(), brackets):
+            asked.setdefault(ts[0].column, set()).update(found, [t.middle() for t in ts])
+        asked = {c: sorted(xs) for c, xs in asked.items()}
+        exact = reduce(DataFrame.union, [
+            base.agg(F.lit(c), F.array(*[F.struct(F.count_if(F.col(c) <= F.lit(x)), F.count_if(F.col(c) < F.lit(x))) for x in xs]))
+            for c, xs in asked.items()]).collect()
+        for c, at in exact:
+            for x, (le, lt) in zip(asked[c], at):
+                for t in open_t:
+                    if t.column == c:
+                        t.learn(x, le, lt)
     value = {key: t.value for key, t in targets.items()}
 
     out = {}
