@@ -112,6 +112,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_wide_code(spark: SparkSession) -> None:
+    """The JVM compiles no method of over 8,000 bytes of bytecode: the one
+    method of a whole stage that computes dozens of columns stays interpreted.
+    From that size on Spark is to run the stage from split methods instead,
+    unless the session names a limit of its own."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":  # Spark's default
+        spark.conf.set(key, "8000")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per Spark context, so
     that functions that run in tasks import there without an installation."""

@@ -47,3 +47,24 @@ def test_distinct_counts_of_large_store_days_are_not_held(spark):
             assert _rows(split) == expected
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_store_day_aggregates_need_no_lists(spark):
+    lines = _lines(spark)
+    made = agg.store_day_aggregates(lines)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    names = made.columns
+    assert _rows(made) == _rows(agg._from_lists(agg.valid_lines(lines), False).select(names))
+
+
+def test_run_measures_do_not_depend_on_batches(spark):
+    lines = _lines(spark, 600)
+    expected = _rows(agg.store_day_aggregates(lines))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        assert _rows(agg.store_day_aggregates(lines)) == expected
+        assert _rows(agg.store_day_aggregates(lines.limit(0))) == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
