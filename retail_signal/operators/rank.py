@@ -30,7 +30,7 @@ def global_index(df: DataFrame, keys: list[Column], name: str = "row_index") ->
     # Range bounds come from sampling, and partition ids are only stable
     # within one evaluation: materialise once so the per-partition counts
     # and the rows they offset are the same rows.
-    local = cut_lineage(local)
+    local = cut_lineage(local, "zstd")  # whole rows: written once, read twice
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the running sum is over the partition count only.
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(
