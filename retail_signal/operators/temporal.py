@@ -61,7 +61,8 @@ def temporal_features(df: DataFrame, target: str = "sale_dollars",
     out = df.withColumn(DN, day_number(date))
     if method == "runs":
         out = _measured_frames(out, target, key, lags, windows, with_median, dealt)
-        return _derived(out, target, date, lags, windows, F.col(PREV[0]), F.col(PREV[1]), F.col(DN) - F.col(PREV_DAY)).drop(DN, *PREV, PREV_DAY)
+        falls = two_declines(t, F.col(PREV[0]), F.col(PREV[1]))
+        return derived_features(out, F.col(DN) - F.col(PREV_DAY), falls, target, date, lags, windows).drop(DN, *PREV, PREV_DAY)
     w = series_window(key)
     w_all = Window.partitionBy(key)
     cols = {}
@@ -84,12 +85,20 @@ def temporal_features(df: DataFrame, target: str = "sale_dollars",
         cols[f"avg_days_between_purchases_{lab}"] = gap
     out = out.withColumns(cols)
     since = F.datediff(F.col(date), F.lag(F.col(date), 1).over(w))
-    return _derived(out, target, date, lags, windows, F.lag(t, 1).over(w), F.lag(t, 2).over(w), since).drop(DN)
+    falls = two_declines(t, F.lag(t, 1).over(w), F.lag(t, 2).over(w))
+    return derived_features(out, since, falls, target, date, lags, windows).drop(DN)
 
 
-def _derived(out: DataFrame, target: str, date: str, lags, windows, prev1, prev2, since) -> DataFrame:
-    """Momentum, decline flags and cyclic codes from lags and frames, the two
-    rows before and the days ``since`` the previous one."""
+def two_declines(t, prev1, prev2):
+    """Two declines in a row over the last three rows (row based); fewer than
+    three rows leave a NULL operand and therefore 0."""
+    return flag((t < prev1) & (prev1 < prev2))
+
+
+def derived_features(out: DataFrame, since, falls, target: str = "sale_dollars", date: str = "date",
+                     lags=LAG_DAYS, windows=ROLLING_DAYS) -> DataFrame:
+    """What follows from a row's lags and frames: momentum, decline flags and
+    cyclic codes, beside the days ``since`` the previous row and ``falls``."""
     t = F.col(target)
     derived = {}
     for d in windows:
@@ -107,9 +116,7 @@ def _derived(out: DataFrame, target: str, date: str, lags, windows, prev1, prev2
         m30 = F.col(f"{target}_rolling_mean_30D")
         derived[f"{target}_decrease_30d_avg"] = flag(t < m30)
         derived[f"{target}_significant_decrease"] = flag(t < m30 * F.lit(SIGNIFICANT_DROP))
-    # Two declines in a row over the last three rows (row based); fewer
-    # than three rows leave a NULL operand and therefore 0.
-    derived["consecutive_decrease"] = flag((t < prev1) & (prev1 < prev2))
+    derived["consecutive_decrease"] = falls
     derived["month_sin"] = cyclic(F.month(date), 12, "sin")
     derived["month_cos"] = cyclic(F.month(date), 12, "cos")
     derived["day_of_month_sin"] = cyclic(F.dayofmonth(date), 31, "sin")

@@ -13,7 +13,8 @@ come in any order, late and in pieces.
 before it changes, or one of the two rows before it does.  Only those rows are
 computed again, from those rows and the ones their own frames read.  What
 depends on a whole series, the mean gap between purchases, comes from one row
-per store when the view is read.
+per store when the view is read; momentum, flags and cyclic codes, which follow
+from a row's own lags and frames, are worked out then too.
 
 A batch is applied once: it is committed in both logs after both are written,
 and a replayed one that is committed already is left out.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import day_number, safe_div
-from ..operators.aggregate import KEYS, valid_lines
-from ..operators.temporal import DN, LAG_DAYS, ROLLING_DAYS, temporal_features
+from ..operators.aggregate import KEYS, few_lines_a_day, valid_lines
+from ..operators.runs import measure_runs
+from ..operators.temporal import DN, LAG_DAYS, ROLLING_DAYS, derived_features, temporal_features
 from ..session import cut_lineage
 from .changelog import ChangeLog
 
@@ -38,23 +40,46 @@ TARGET = "sale_dollars"
 #: Days that a change reaches forward: the longest frame or lag.
 REACH = max(*[d - 1 for d in ROLLING_DAYS], *LAG_DAYS)
 GAPS = [f"avg_days_between_purchases_{d}D" for d in ROLLING_DAYS]
+#: What the log of features keeps of a row; the rest follows from it.
+STORED = [*KEYS, TARGET, *[f"{TARGET}_lag_{k}d" for k in LAG_DAYS],
+          *[f"{TARGET}_rolling_{kind}_{d}D" for d in ROLLING_DAYS for kind in ("mean", "std", "max", "min", "median")],
+          "days_since_last_purchase", "consecutive_decrease"]
 
 _MOMENTS = "struct<n:bigint,sum:double,mean:double,m2:double,low:double,high:double>"
 STATE_DDL = "store long, date date, lines long, " + ", ".join(f"{m} {_MOMENTS}" for m in MEASURES) + ", items array<string>"
 
 
 def line_states(lines: DataFrame) -> DataFrame:
-    """Mergeable states of the (store, date) of ``lines``."""
+    """Mergeable states of the (store, date) of ``lines``: runs of lines dealt
+    by store-day (a batch may come in few files), or aggregates where a
+    store-day has too many lines to be held."""
+    lines = valid_lines(lines).select(*KEYS, *MEASURES, F.col("itemno").cast("string").alias("itemno"))
+    if few_lines_a_day(lines):
+        return _run_states(lines)
+
     def moments(c):
         x = F.col(c).cast("double")
         n = F.count(x)
         return F.struct(n.alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"), F.avg(x).alias("mean"),
                         F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("m2"), F.min(x).alias("low"), F.max(x).alias("high")).alias(c)
-    items = F.array_sort(F.collect_set(F.col("itemno").cast("string"))).alias("items")
-    return (valid_lines(lines).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"), *[moments(c) for c in MEASURES], items)
+    items = F.array_sort(F.collect_set("itemno")).alias("items")
+    return (lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"), *[moments(c) for c in MEASURES], items)
             .select(F.col("store").cast("long"), "date", "lines", *MEASURES, "items"))
 
 
+def _run_states(lines: DataFrame) -> DataFrame:
+    rows = lines.select(F.col("store").cast("long").alias("store"), "date", F.lit(True).alias("line"),
+                        *[F.col(c).cast("double").alias(c) for c in MEASURES], "itemno")
+    runs = measure_runs(rows, KEYS, {c: 2 for c in MEASURES}, ["line"], records=["itemno"])
+
+    def moments(c):
+        n, total = F.col(f"_n_{c}"), F.col(f"_s_{c}")
+        return F.struct(n.alias("n"), total.alias("sum"), F.try_divide(total, n.cast("double")).alias("mean"),
+                        F.coalesce(F.col(f"_m2_{c}"), F.lit(0.0)).alias("m2"), F.col(f"_a_{c}").alias("low"), F.col(f"_z_{c}").alias("high")).alias(c)
+    items = F.filter(F.transform("_records", lambda r: r["itemno"]), lambda i: i.isNotNull()).alias("items")
+    return runs.select(*KEYS, F.col("_n_line").alias("lines"), *[moments(c) for c in MEASURES], items)
+
+
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
     """The states of the keys of ``new``, merged with ``old``."""
     both = new.alias("b").join(old.alias("a"), KEYS, "left")
@@ -120,8 +145,7 @@ class StoreDayView:
         self.states = ChangeLog(spark, f"{path}/states", KEYS, STATE_DDL)
         empty = spark.createDataFrame([], f"store long, date date, {TARGET} double")
         self.schema: StructType = temporal_features(empty).schema
-        stored = temporal_features(empty).drop(*GAPS).schema
-        self.features = ChangeLog(spark, f"{path}/features", KEYS, stored)
+        self.features = ChangeLog(spark, f"{path}/features", KEYS, temporal_features(empty).select(*STORED).schema)
 
     def apply(self, lines: DataFrame, epoch: int) -> dict[str, int]:
         """Apply batch ``epoch``; a second time changes nothing.  Returns how
@@ -159,8 +183,9 @@ class StoreDayView:
         days = self.states.read([TARGET], stores, part).select(*KEYS, F.col(TARGET)["sum"].alias(TARGET))
         touched = part.select(*KEYS, F.lit(1).alias("touched"))
         days = days.join(touched, KEYS, "left").withColumn("touched", F.coalesce("touched", F.lit(0)))
+        # The windows of affected_rows leave the rows dealt by store and in order.
         needed = affected_rows(days).select(*KEYS, TARGET, "affected")
-        return temporal_features(needed).where("affected = 1").select(*self.features.schema.fieldNames())
+        return temporal_features(needed, method="runs", dealt=True).where("affected = 1").select(*self.features.schema.fieldNames())
 
     def store_day(self) -> DataFrame:
         return store_days(self.states.read())
@@ -172,7 +197,7 @@ class StoreDayView:
         # are not dealt by store for it.
         gap = cut_lineage(self.features.read([]).groupBy("store").agg(safe_div(span, F.count(F.lit(1)) - 1).alias("_gap")))
         out = self.features.read().join(gap, "store").withColumns({c: F.col("_gap") for c in GAPS})
-        return out.select(*self.schema.fieldNames())
+        return derived_features(out, F.col("days_since_last_purchase"), F.col("consecutive_decrease")).select(*self.schema.fieldNames())
 
 
 def maintain_store_days(stream: DataFrame, view: StoreDayView, checkpoint: str, available_now: bool = True):

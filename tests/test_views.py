@@ -161,3 +161,25 @@ def test_waiting_rows_rewrite_only_their_own_entries():
         list(p.handleInputRows((1,), iter([pd.DataFrame({"day": [day], "value": [1.0]})]), None))
         sizes.append(p.waiting.written - before)
     assert max(sizes) <= 2 * streams.ENTRY_DAYS
+
+
+def test_states_of_runs_are_those_of_aggregates(spark, monkeypatch):
+    df = spark.createDataFrame(lines(300) + [(1, dt.date(2020, 1, 1), "a", None, None, None, None)] * 2, LINES)
+    runs = views.line_states(df)
+    assert "MapInArrow" in runs._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(views, "few_lines_a_day", lambda _: False)
+    aggregates = views.line_states(df)
+    assert runs.dtypes == aggregates.dtypes
+
+    def flat(states):
+        return rounded(states.select(*views.KEYS, "lines", "items", *[F.col(m)[k].alias(f"{m}_{k}") for m in views.MEASURES
+                                                                     for k in ("n", "sum", "mean", "m2", "low", "high")]))
+    assert flat(runs) == flat(aggregates)
+
+
+def test_features_are_stored_without_what_follows_from_them(spark, tmp_path):
+    view = views.StoreDayView(spark, str(tmp_path))
+    view.apply(spark.createDataFrame(lines(100), LINES), 0)
+    kept, shown = view.features.schema.fieldNames(), view.temporal().columns
+    assert set(kept) < set(shown) and len(kept) <= len(shown) - 24
+    assert rounded(view.temporal()) == rounded(temporal_features(batch_days(spark.createDataFrame(lines(100), LINES))))
